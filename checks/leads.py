@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadloom.plans.session import spread
+
 TABLES = ("orders", "customer", "pages", "documents", "events")
 
 #: raw column -> target of the plain mapping
@@ -160,7 +162,17 @@ def raw_leads(
     spark: SparkSession, sf_dir: str, columns=RAW_COLUMNS, source_file: bool = False
 ) -> DataFrame:
     """The contact table, reading only what ``columns`` need."""
-    return spark.sql(raw_leads_sql(columns, source_file, **_paths(sf_dir)))
+    names = _paths(sf_dir) | {"orders": "{orders}"}
+    return spark.sql(raw_leads_sql(columns, source_file, **names), orders=_orders(spark, sf_dir))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return spread(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +184,11 @@ def feed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paths(sf_dir)
     return spark.sql(
-        feed_cells_sql(
-            f"({raw_leads_sql(**p)})", p["orders"], f"({feeds_sql(p['customer'])})"
-        )
+        feed_cells_sql("{leads}", "{orders}", "{feeds}"),
+        leads=raw_leads(spark, sf_dir),
+        orders=_orders(spark, sf_dir),
+        feeds=feeds(spark, sf_dir),
     )
 
 

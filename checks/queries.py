@@ -81,7 +81,7 @@ def csv_feeds(spark, sf_dir):
 def _language_files(spark, sf_dir) -> str:
     """Documents as CSV files per language, French ones in Latin-1."""
     path = new_path(spark, "languages")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = fixture.documents(spark, sf_dir, "doc_id", "lang", "text")
     for part, encoding in ((F.col("lang") == "fr", "ISO-8859-1"), (F.col("lang") != "fr", "UTF-8")):
         documents.where(part).withColumn("folder", F.col("lang")).write.mode("append").partitionBy(
             "folder"
@@ -388,7 +388,7 @@ def queries() -> dict[str, Query]:
             "page_id", L.normalize_website(F.col("url")).alias("website")
         ),
         "normalize_summary": _field("about", L.normalize_summary, "company_summary"),
-        "summary_documents": lambda s, d: table(s, d, "documents").select(
+        "summary_documents": lambda s, d: fixture.documents(s, d, "doc_id", "text").select(
             "doc_id", L.normalize_summary(F.col("text")).alias("company_summary")
         ),
         "normalize_sources": _field("src", L.normalize_sources, "sources"),
@@ -397,7 +397,7 @@ def queries() -> dict[str, Query]:
         "source_label": source_label,
         "company_from_email": company_from_email,
         "extract_contacts": lambda s, d: extract.extract_contacts(
-            table(s, d, "documents"), "doc_id", "text"
+            fixture.documents(s, d, "doc_id", "text"), "doc_id", "text"
         ),
         # filters
         "non_empty_rows": _full,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Re-plan joins with measured sizes, split skewed and merge small partitions.
@@ -21,3 +21,16 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it has fewer.
+
+    A table in one small file is scanned by one task, and all costly work on
+    its rows would stay there.  Call this on the narrow scan, before anything
+    wide is joined to it.  Tables of many files are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
