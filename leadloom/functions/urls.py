@@ -29,7 +29,8 @@ _PLAIN = r"^https?://[A-Za-z0-9.\-]+(?::[0-9]+)?(?:/[^?#;\x00-\x20]*)?$"
 
 #: A host with one kind of bracket only cannot be parsed.
 _ONE_BRACKET = r"(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)"
-_BROKEN_SITE = rf"^(?:{_SCHEME}//|(?!{_SCHEME})(?://)?){_ONE_BRACKET}"
+_BROKEN_SITE = rf"^[\x00-\x20]*(?:{_SCHEME}//|(?!{_SCHEME})(?://)?){_ONE_BRACKET}"
+_NO_ADDRESS_START = rf"^(?![\x00-\x20]*(?:{_SCHEME}|//))"
 _PROFILE = rf"(?i)(?:{_SCHEME})?//(?!{_ONE_BRACKET})[^/?#]*linkedin\.com"
 
 #: ``;`` that ends the last path segment and carries nothing.
@@ -76,7 +77,7 @@ def normalize_linkedin_url(c: Column, allow_schemeless: bool = False) -> Column:
     reads it as if it began with ``https://``.
     """
     if allow_schemeless:
-        c = F.regexp_replace(strip(c), rf"^(?!{_SCHEME}|//)(?=.)", "https://")
+        c = F.regexp_replace(strip(c), _NO_ADDRESS_START + "(?=.)", "https://")
     url = F.regexp_replace(_parser_text(c), "^//", "https://")
     base = F.substring_index(F.substring_index(url, "#", 1), "?", 1)
     return F.when(is_profile_url(c), F.regexp_replace(base, _EMPTY_PARAMS, "$1")).otherwise("")
@@ -101,6 +102,6 @@ def normalize_website(c: Column) -> Column:
         url = F.regexp_replace(url, pattern, replacement)
     return (
         F.when(text.rlike(_PLAIN), text)
-        .when(text.rlike(_BROKEN_SITE), F.regexp_replace(text, rf"^(?!{_SCHEME}|//)", "https://"))
+        .when(text.rlike(_BROKEN_SITE), F.regexp_replace(text, _NO_ADDRESS_START, "https://"))
         .otherwise(url)
     )
