@@ -14,7 +14,7 @@ from leadloom.operators.mapping import HeaderMapping
 from leadloom.plans.pipeline import CleanOptions, clean, clean_leads, filled_rows, finish
 from leadloom.schema import SOURCE_FILE, TARGET
 from leadloom.sources import feeds, sinks
-from leadloom.sources.scratch import new_path
+from leadloom.sources.scratch import materialize, new_path
 from leadloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,8 +192,10 @@ def apply_feed_mapping(spark, sf_dir):
     headers = fixture.feed_headers(spark, sf_dir)
     return maps.apply_mapping_table(
         fixture.feed_cells(spark, sf_dir),
-        headers,
-        maps.mapping_table(_parsed(spark, sf_dir), headers),
+        materialize(
+            maps.cell_positions(headers, maps.mapping_table(_parsed(spark, sf_dir), headers)),
+            "positions",
+        ),
     )
 
 

@@ -178,18 +178,12 @@ def apply_mapping(df: DataFrame, mapping: HeaderMapping, strict_titles: bool = F
     return mapped if mapping.pairs else mapped.where(F.lit(False))
 
 
-def apply_mapping_table(
-    rows: DataFrame, headers: DataFrame, mapping: DataFrame, strict_titles: bool = False
-) -> DataFrame:
-    """Targets of many feeds at once: ``rows`` hold ``cells`` by position.
-
-    The mapping is turned into one row per file (ten cell positions), which is
-    joined to the rows; files without an accepted pair give no rows.
-    """
+def cell_positions(headers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The mapping as one row per file: the cell position of each target."""
     located = mapping.withColumnRenamed("pos", "reply_pos").join(
         headers.select(SOURCE_FILE, "pos", "input_header"), [SOURCE_FILE, "input_header"]
     )
-    positions = located.groupBy(SOURCE_FILE).agg(
+    return located.groupBy(SOURCE_FILE).agg(
         *(
             F.max(F.when((F.col("kind") == "direct") & (F.col("target") == t), F.col("pos"))).alias(
                 f"at_{t}"
@@ -198,6 +192,18 @@ def apply_mapping_table(
         ),
         F.max_by("pos", F.when(F.col("kind") == "split", F.col("reply_pos"))).alias("at_split"),
     )
+
+
+def apply_mapping_table(
+    rows: DataFrame, positions: DataFrame, strict_titles: bool = False
+) -> DataFrame:
+    """Targets of many feeds at once: ``rows`` hold ``cells`` by position.
+
+    ``positions`` (``cell_positions``) is joined to the rows; files without an
+    accepted pair give no rows.  Land it first for large inputs: Spark then
+    knows its size and broadcasts it if, and only if, it is small; otherwise a
+    file with very many rows is split by the adaptive skew join.
+    """
     split_name = L.split_names(F.get("cells", "at_split"), strict_titles)
 
     def cell(target: str) -> Column:

@@ -12,6 +12,7 @@ from leadloom.operators.cleaning import non_empty_rows, normalize_fields
 from leadloom.operators.mapping import (
     HeaderMapping,
     apply_mapping_table,
+    cell_positions,
     collect_mapping,
     column_profile,
     mapping_table,
@@ -144,7 +145,8 @@ def run_feeds(
         f"{output}/unmapped"
     )
     phases.end("llm")
-    rows = apply_mapping_table(feeds.rows, headers, table, options.strict_titles)
+    positions = materialize(cell_positions(headers, table), "positions")
+    rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
     paths = _outputs(
         spark, normalize_fields(rows, options.allow_schemeless), feeds.rows, HeaderMapping(),
         options, output, phases, correlation_id,
