@@ -33,8 +33,17 @@ def normalize_job_title(c: Column) -> Column:
 
 
 def normalize_summary(c: Column) -> Column:
-    """Stripped text, at most 2,000 characters (code points) long."""
-    return F.substring(strip(c), 1, SUMMARY_LENGTH)
+    """Stripped text, at most 2,000 characters (code points) long.
+
+    White space at the end is looked for only where the cut text may end with
+    it, since trimming at the right walks through the whole text.
+    """
+    spaces = F.lit(WHITESPACE)
+    begun = F.ltrim(c, spaces)
+    cut = F.substring(begun, 1, SUMMARY_LENGTH)
+    goes_on = F.ltrim(F.substr(begun, F.lit(SUMMARY_LENGTH + 1)), spaces) != ""
+    trimmed = F.when(F.instr(spaces, F.right(cut, F.lit(1))) > 0, F.rtrim(cut, spaces)).otherwise(cut)
+    return F.coalesce(F.when(goes_on, cut).otherwise(trimmed), F.lit(""))
 
 
 def normalize_sources(c: Column) -> Column:

@@ -222,6 +222,8 @@ def apply_mapping_table(
 
 _EMAIL_LIKE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 _PHONE_LIKE = r"^\+?[0-9 ().\-]{7,20}$"
+_PHONE_LENGTH = 21
+_URL_START = r"^(https?://|www\.)"
 _URL_LIKE = r"^(https?://|www\.)[^\s]+$"
 _TWO_WORDS = r"^[^\s0-9@/]+ [^\s0-9@/]+$"
 _LONG_TEXT = 200
@@ -238,12 +240,15 @@ def column_profile(df: DataFrame, columns: Sequence[str], distinct: bool = True)
     aggregates: list[Column] = []
     for i, name in enumerate(columns):
         cell = L.strip(F.col(f"`{name}`"))
+        # A cheap test goes first and spares long cells the regular expression.
         tests = {
             "filled": cell != "",
-            "email": cell.rlike(_EMAIL_LIKE),
-            "phone": cell.rlike(_PHONE_LIKE),
-            "linkedin": F.contains(F.lower(cell), F.lit("linkedin.com/")),
-            "url": F.lower(cell).rlike(_URL_LIKE),
+            "email": F.contains(cell, F.lit("@")) & cell.rlike(_EMAIL_LIKE),
+            "phone": (F.octet_length(cell) <= _PHONE_LENGTH) & cell.rlike(_PHONE_LIKE),
+            "linkedin": F.contains(cell, F.lit("/"))
+            & F.contains(F.lower(cell), F.lit("linkedin.com/")),
+            "url": F.lower(F.substring(cell, 1, 8)).rlike(_URL_START)
+            & F.lower(cell).rlike(_URL_LIKE),
             "two_words": cell.rlike(_TWO_WORDS),
             "long_text": F.length(cell) > _LONG_TEXT,
         }

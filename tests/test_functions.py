@@ -37,9 +37,8 @@ def test_strip_and_sources(spark):
 
 def test_summary_counts_code_points(spark):
     long = " " + "\U0001f600" * 1999 + "ab" + "tail "
-    assert apply(spark, L.normalize_summary, [long, "x" * 2001, " y ", None]) == [
-        "\U0001f600" * 1999 + "a", "x" * 2000, "y", "",
-    ]
+    texts = [long, "x" * 2001, " y ", "", "\xa0", "a" * 2000 + "  ", "a" * 1995 + " " * 9, "a" * 1995 + " " * 9 + "b", "a" * 1999 + "\u3000", "\n" * 2100 + "z\t"]
+    assert apply(spark, L.normalize_summary, [*texts, None]) == [*(t.strip()[:2000] for t in texts), ""]
 
 
 def test_names_follow_capitalize(spark):
