@@ -65,6 +65,7 @@ def _outputs(
     output: str,
     phases: _Phases,
     correlation_id: str,
+    ordered: bool,
 ) -> RunPaths:
     paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics")))
     seen = Observation("normalized")
@@ -74,7 +75,7 @@ def _outputs(
     )
     phases.end("normalize")
     clean = materialize(finish(non_empty_rows(landed), options), "clean")
-    write_clean_csv(clean, paths.clean)
+    write_clean_csv(clean, paths.clean, ordered)
     ledger = drops(landed, options.one_contact_per_company, options.word_match)
     ledger.write.parquet(paths.drops)
     ledger = spark.read.schema(ledger.schema).parquet(paths.drops)
@@ -105,10 +106,12 @@ def run(
     mapping: HeaderMapping | None = None,
     options: CleanOptions = CleanOptions(),
     correlation_id: str = "",
+    ordered: bool = True,
 ) -> RunPaths:
     """Clean files that share one header line.
 
     Without a mapping, one is proposed from the headers and the cells.
+    ``ordered=False`` spares very large outputs the sort of the whole table.
     """
     phases = _Phases()
     table = read_table(spark, inputs)
@@ -121,7 +124,7 @@ def run(
     phases.end("llm")
     return _outputs(
         spark, normalized_rows(table, mapping, options), table, mapping, options, output,
-        phases, correlation_id,
+        phases, correlation_id, ordered,
     )
 
 
@@ -132,6 +135,7 @@ def run_feeds(
     output: str,
     options: CleanOptions = CleanOptions(),
     correlation_id: str = "",
+    ordered: bool = True,
 ) -> tuple[RunPaths, Feeds]:
     """Clean files with different headers, each mapped by its reply."""
     phases = _Phases()
@@ -149,6 +153,6 @@ def run_feeds(
     rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
     paths = _outputs(
         spark, normalize_fields(rows, options.allow_schemeless), feeds.rows, HeaderMapping(),
-        options, output, phases, correlation_id,
+        options, output, phases, correlation_id, ordered,
     )
     return paths, feeds
