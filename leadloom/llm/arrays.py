@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # 5 modulo 8: powers of it differ as long as possible
 _STEP = np.random.default_rng(20250101)
-_BYTE = _STEP.integers(0, 2**64, 256, dtype=U64)
+BYTE = _STEP.integers(0, 2**64, 256, dtype=U64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
+_BYTE_LOWER = BYTE[_LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
@@ -44,13 +44,13 @@ def _power(which: str, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
+def prefix_sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, U64)
     np.cumsum(values * _power("up", len(values)), dtype=U64, out=out[1:])
     return out
 
 
-def _span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     low = _power("down", len(prefix))[start]
     return mix((prefix[end] - prefix[start]) * low + (end - start).astype(U64) * U64(_BASE))
 
@@ -94,9 +94,9 @@ def words(
     begins[1:] &= ~inside[:-1] | edge[1:n]
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    prefix = _prefix((_BYTE_LOWER if lower else _BYTE)[data])
+    prefix = prefix_sums((_BYTE_LOWER if lower else BYTE)[data])
     first = np.searchsorted(start, offsets)
-    hashes = _span_hash(prefix, start, end)
+    hashes = span_hash(prefix, start, end)
     return (first, hashes, start, end) if spans else (first, hashes)
 
 
@@ -112,7 +112,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begins[offsets[:-1][offsets[:-1] < n]] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], n) if len(start) else start
-    hashes = _span_hash(_prefix(_BYTE[data]), start, end)
+    hashes = span_hash(prefix_sums(BYTE[data]), start, end)
     return np.searchsorted(start, offsets), hashes, start, end
 
 
@@ -123,9 +123,9 @@ def ngrams(first: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, n
     whole = np.arange(n) + k <= last
     out = np.zeros(n, U64)
     if n >= k:
-        prefix = _prefix(hashes)
+        prefix = prefix_sums(hashes)
         start = np.arange(n - k + 1)
-        out[: n - k + 1] = _span_hash(prefix, start, start + k)
+        out[: n - k + 1] = span_hash(prefix, start, start + k)
     return out, whole
 
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import language, sharding, url_filter
+from leadloom.llm import bpe_sql, fingerprint, language, sharding, token_files, url_filter
 from leadloom.llm.tables import read
+from leadloom.sources.scratch import new_path
 
 SHARDS = 40
 
@@ -41,6 +42,30 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    docs = read(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path, ids=False)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_sql.encode_documents(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        ids=False,
+    )
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op2_sharding,
         op3_language,
+        op4_token_files,
+        op5_bpe,
+        op6_fingerprint,
         op7_url_filter,
     )
     return {f.__name__: f for f in found}

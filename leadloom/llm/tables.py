@@ -17,3 +17,9 @@ def parts_for(df: DataFrame, column: str, bytes_each: int) -> int:
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total // bytes_each))
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold 16 MB of rows at most (one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
