@@ -1,5 +1,36 @@
 """DuckDB SQL for the operators that SQL can express, written from their definition."""
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP1 = rf"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w
+  FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT item_id, len(w) AS size, array_to_string(w, ' ') AS win FROM item_words WHERE len(w) BETWEEN 1 AND 9
+  UNION ALL
+  SELECT item_id, 10, array_to_string(w[i : i + 9], ' ') FROM (
+    SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM item_words WHERE len(w) >= 10)
+), sizes AS (SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size)
+), found AS (
+  SELECT DISTINCT d.doc_id, d.i, d.size, b.item_id FROM doc_windows d JOIN item_windows b ON d.win = b.win AND d.size = b.size
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+  sha256(coalesce(l.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
+
 _OP7 = r"""
 WITH split AS (
   SELECT page_id,
@@ -24,4 +55,4 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _OP7}
+    return {"op1_decontaminate": _OP1, "op7_url_filter": _OP7}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import bpe_sql, fingerprint, language, sharding, token_files, url_filter
+from leadloom.llm import bpe_sql, decontaminate, fingerprint, language, sharding, token_files, url_filter
 from leadloom.llm.tables import read
 from leadloom.sources.scratch import new_path
 
@@ -28,6 +28,17 @@ def remainder(divisor: int, id_column: str = "doc_id"):
     return F.when(F.col(id_column).isNull(), 0).otherwise(number % divisor)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -72,6 +83,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_decontaminate,
         op2_sharding,
         op3_language,
         op4_token_files,
