@@ -145,3 +145,17 @@ def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket 0 to ``buckets`` - 1 of hashed keys, by their high bits."""
+    return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
+    """Least (or ``best``) of the ``width`` values from each place on; short ends are cut off."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out, have = best(out[: len(out) - have], out[have:]), have * 2
+    rest = width - have
+    return best(out[: len(out) - rest], out[rest:]) if rest else out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import bpe_sql, decontaminate, fingerprint, language, sharding, token_files, url_filter
+from leadloom.llm import bpe_sql, decontaminate, fingerprint, language, sharding, substring_dedup, token_files, url_filter
 from leadloom.llm.tables import read
 from leadloom.sources.scratch import new_path
 
@@ -81,6 +81,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate,
@@ -90,5 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_bpe,
         op6_fingerprint,
         op7_url_filter,
+        op8_substring_dedup,
     )
     return {f.__name__: f for f in found}
