@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import bpe_sql, decontaminate, fingerprint, language, sharding, substring_dedup, token_files, url_filter
+from leadloom.llm import (
+    bpe_sql,
+    decontaminate,
+    fingerprint,
+    jaccard_join,
+    language,
+    sharding,
+    substring_dedup,
+    token_files,
+    url_filter,
+)
 from leadloom.llm.tables import read
 from leadloom.sources.scratch import new_path
 
@@ -85,6 +95,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate,
@@ -95,5 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_fingerprint,
         op7_url_filter,
         op8_substring_dedup,
+        op10_jaccard_join,
     )
     return {f.__name__: f for f in found}
