@@ -141,12 +141,16 @@ def fit(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         F.xxhash64(F.lit("language"), F.col(id_column)).alias("draw"),
     )
-    first = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    # Draws are chosen without their texts; texts are read for the chosen ones alone.
+    first = Window.partitionBy("lang").orderBy("draw")
+    drawn = rows.select("lang", "draw").withColumn("n", F.row_number().over(first))
+    draws = sorted({r["draw"] for r in drawn.where(F.col("n") <= per_language).collect()})
+    if not draws:
+        return None
+    # Rows that share an id share a draw; one text of each is enough.
+    sample = rows.where(F.col("draw").isin(draws)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     table = sample.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     label = np.array(table["lang"].to_pylist(), object)
-    if not len(label):
-        return None
     x = _features(table["text"])
     scale = np.sqrt(np.maximum((x**2).mean(axis=0), 1e-8))
     x = x / scale / np.sqrt(DIMENSIONS)
