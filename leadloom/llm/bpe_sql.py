@@ -197,7 +197,7 @@ def encode_documents(
     ids and repeated rows stay; an empty table gives an empty one; other columns
     are not read.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     with open(ranks_path, "rb") as f:
         content = f.read()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))

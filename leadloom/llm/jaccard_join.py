@@ -53,7 +53,7 @@ SMALL_GROUP = 8
 EMPTY_COST = 64
 #: Rounds in which groups of near copies are linked through one member.
 STAR_ROUNDS = 3
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _SEED = [U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]

@@ -11,6 +11,7 @@ from leadloom.llm import (
     decontaminate,
     fingerprint,
     jaccard_join,
+    katz,
     language,
     sharding,
     substring_dedup,
@@ -95,6 +96,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_fingerprint,
         op7_url_filter,
         op8_substring_dedup,
+        op9_katz,
         op10_jaccard_join,
     )
     return {f.__name__: f for f in found}

@@ -38,7 +38,7 @@ WINDOW = 50
 #: Words of a reference block; every window holds WINDOW - BLOCK + 1 of them.
 BLOCK = 26
 #: Bytes of text whose windows meet in one bucket, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 _PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
@@ -75,7 +75,9 @@ def _pack_batch(batch: pa.RecordBatch, buckets: int, window: int, block: int) ->
         wide, chosen, whole = blocks_of_windows(first, hashes, window, block)
         at = np.flatnonzero(whole)
         row = text_of_word(first)[at]
-        parts.append((row + rows.start, at - first[row], wide[at], chosen[at]))
+        parts.append(
+            ((row + rows.start).astype(np.int32), (at - first[row]).astype(np.int32), wide[at], chosen[at])
+        )
     if not parts or not sum(len(p[0]) for p in parts):
         return
     row, start, wide, chosen = (np.concatenate(x) for x in zip(*parts))

@@ -19,7 +19,7 @@ def parts_for(df: DataFrame, column: str, bytes_each: int) -> int:
     return max(least, -(-total // bytes_each))
 
 
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Let Arrow batches hold 16 MB of rows at most (one row at least)."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
+    """Let Arrow batches hold ``size`` bytes of rows at most (one row at least)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark

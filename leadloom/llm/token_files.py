@@ -90,7 +90,7 @@ def write_tokens(
     null ids come first; repeated rows and equal ids stay, ordered by text.
     An empty table writes no block.  Other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BLOCK_BYTES)
     with open(tokenizer, encoding="utf-8") as f:
         content = f.read()
 
