@@ -393,21 +393,8 @@ def _across(members: DataFrame, label: DataFrame, nth: int | None, percent: int)
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    k: int = SHINGLE,
-    percent: int = PERCENT,
-    id_column: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """Per row: ``id_column, n_shingles, component_id`` (least id it is linked with, directly or not).
-
-    Sets hold the distinct ``k``-word shingles of the lower-cased (A-Z) text; a text with fewer
-    words is one shingle.  Two rows link if ``100 * common >= percent * united``.
-    Null or empty texts, or ones without words, have no shingles and link with nothing.
-    Repeated rows link with each other.  A null id counts as none: it takes the least id
-    of its component, null if there is none.  An empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """``id, twin, n, part`` of every row: equal parts are connected; no part without shingles."""
     bounded_batches(docs.sparkSession)
     rows = _keyed(docs, id_column, text)
     buckets = parts_for(docs, text, BUCKET_BYTES)
@@ -434,13 +421,61 @@ def near_duplicates(
             more = materialize(_verified(pairs, rows, sets, k, percent), "hot_links")
             links = links.union(more)
             label = components(links)
+    labelled = sets.join(label.select(F.col("node").alias("key"), "label"), "key", "left")
+    return labelled.select(
+        "id", "twin", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("part")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Per row: ``id_column, n_shingles, component_id`` (least id it is linked with, directly or not).
 
-    some = sets.where("n > 0").join(label.select(F.col("node").alias("key"), "label"), "key", "left")
-    some = some.select("id", "n", F.coalesce("label", "key").alias("part"))
+    Sets hold the distinct ``k``-word shingles of the lower-cased (A-Z) text; a text with fewer
+    words is one shingle.  Two rows link if ``100 * common >= percent * united``.
+    Null or empty texts, or ones without words, have no shingles and link with nothing.
+    Repeated rows link with each other.  A null id counts as none: it takes the least id
+    of its component, null if there is none.  An empty table gives an empty one.
+    """
+    classes = _classes(docs, k, percent, id_column, text)
     real = F.when(F.col("id") != F.lit(int(_NO_ID)), F.col("id"))
+    some = classes.where("part is not null")
     least = some.groupBy("part").agg(F.min(real).alias("component_id"))
     grouped = some.join(least, "part").select("id", "n", "component_id")
-    alone = sets.where("n = 0").select("id", "n", real.alias("component_id"))
+    alone = classes.where("part is null").select("id", "n", real.alias("component_id"))
     return grouped.union(alone).select(
         real.alias(id_column), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+def survivors(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component.
+
+    It is the row with the least id (null is the largest); of rows that repeat an id and
+    its text, any one.  Rows without words stay, each of them.
+    """
+    classes = _classes(docs, k, percent, id_column, text)
+    winners = (
+        classes.where("part is not null")
+        .groupBy("part").agg(F.min(F.struct("id", "twin")).alias("row"))
+        .select(F.col("row.id").alias("__id"), F.col("row.twin").alias("__twin"))
+    )
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumn(
+        "__id", F.coalesce(F.col(id_column).cast("bigint"), F.lit(int(_NO_ID)))
+    ).withColumn("__twin", F.hash(body))
+    has_words = body.rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.where(has_words).join(winners, ["__id", "__twin"], "left_semi")
+    kept = kept.dropDuplicates(["__id", "__twin"]).select(*docs.columns)
+    return kept.union(rows.where(~has_words).select(*docs.columns))

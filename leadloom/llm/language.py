@@ -171,41 +171,49 @@ def fit(
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    model: LanguageModel | None,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    names: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """``keep`` with ``lang_pred`` and ``score`` (0 to 1) for every row, from its whole text.
+    """``keep`` with the language and its score (0 to 1), called ``names``, for every row's whole text.
 
     Text that is null or has no letter (Unicode category L) is ``und`` with
     score 0; so is all text if there is no model.  Repeated rows stay and get equal
     results, an empty table gives an empty one, and names of other columns
     don't matter.
     """
+    kept = [f"k{i}" for i in range(len(keep))]
+    body = kept[keep.index(text)] if text in keep else "text"
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
-        F.col(text).alias("text"),
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)],
+        *[F.col(text).alias("text")] * (body == "text"),
         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
-    kept = [f"k{i}" for i in range(len(keep))]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            found, scores = [], []
             if model is None:
-                names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+                found, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             else:
-                for _, data, offsets in pieces(batch.column("text"), _PIECE):
+                for _, data, offsets in pieces(batch.column(body), _PIECE):
                     best, score = model.predict(data, offsets)
-                    names += best
+                    found += best
                     scores += score.tolist()
                 letters = batch.column("letters").to_pylist()
-                names = [x if some else UNKNOWN for x, some in zip(names, letters)]
+                found = [x if some else UNKNOWN for x, some in zip(found, letters)]
                 scores = [x if some else 0.0 for x, some in zip(scores, letters)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(names, pa.string()),
+                [*(batch.column(c) for c in kept), pa.array(found, pa.string()),
                  pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [*kept, "found", "score"],
             )
 
     fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
-    found = rows.mapInArrow(predict, f"{fields}lang_pred string, score double")
-    return found.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], "lang_pred", "score")
+    made = rows.mapInArrow(predict, f"{fields}found string, score double")
+    return made.select(
+        *[F.col(k).alias(c) for k, c in zip(kept, keep)],
+        F.col("found").alias(names[0]), F.col("score").alias(names[1]),
+    )
