@@ -250,9 +250,9 @@ def remove_repeats(
 ) -> DataFrame:
     """Every document without the words that its factors cover.
 
-    Returns ``id_column, n_words, n_removed, kept_sha256`` (kept words joined by one space) and
-    ``keep``; with ``texts`` also ``kept`` and ``factors`` (start, words, ref).  A word
-    goes if it lies in ``window`` consecutive words that also start in a document
+    Returns ``id_column, n_words, n_removed, kept_sha256`` (of the kept words joined by one space) and
+    ``keep``; with ``texts`` also ``kept`` (these joined words, or the text as it is if none
+    goes) and ``factors`` (start, words, ref).  A word goes if it lies in ``window`` consecutive words that also start in a document
     with a smaller id; windows are judged on the input.  A null or empty text has no words.
     Rows of equal ids leave each other alone; null ids are the largest.  An
     empty table gives an empty one.
@@ -279,7 +279,7 @@ def remove_repeats(
                 out["n_removed"].append(n - len(own))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 if texts:
-                    out["kept"].append(left.decode())
+                    out["kept"].append(left.decode() if n > len(own) else body.as_py())
                     out["factors"].append([{"start": s, "words": w, "ref": r} for s, w, r in parsed])
             names = [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256"]
             arrays = [
