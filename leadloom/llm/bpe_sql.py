@@ -5,6 +5,11 @@ rows of token and position.  A recursive query joins neighbouring tokens
 with the merge table, contracts every piece's leftmost pair of the lowest rank,
 and goes on with the pieces that had one until none has.  Decoding is an
 ordered aggregation of the tokens' bytes.
+
+A recursive query holds the rows of all its rounds, so it stops after as many as
+fit into ``HELD_ROWS`` and the next query goes on from there.  In long pieces a round contracts
+all pairs of the lowest rank that the leftmost rule would come to one after the other;
+else a run of n letters would take n rounds over n rows.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadloom.llm.arrays import pieces
+from leadloom.llm.arrays import group_starts, pieces
 from leadloom.llm.segments import cut, flatten, gather
 from leadloom.llm.tables import bounded_batches
 
@@ -26,6 +31,10 @@ from leadloom.llm.tables import bounded_batches
 BATCH_BYTES = 12 << 20
 #: Bytes of distinct pieces per recursive query; bounds what its rounds hold.
 QUERY_BYTES = 200_000
+#: Rows that the rounds of one recursive query may hold together (two rounds at least).
+HELD_ROWS = 3_000_000
+#: Pieces with more bytes than this are long.
+LONG_PIECE = 64
 
 _ENCODE = """
 WITH RECURSIVE token(piece, round, pos, id) AS (
@@ -43,10 +52,44 @@ WITH RECURSIVE token(piece, round, pos, id) AS (
       CASE WHEN t.pos > best & 4294967295 THEN t.pos - 1 ELSE t.pos END,
       CASE WHEN t.pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t.id END
     FROM token t JOIN pair USING (piece)
-    WHERE t.pos <> (best & 4294967295) + 1
+    WHERE t.pos <> (best & 4294967295) + 1 AND t.round < $rounds
+  )
+)
+SELECT id, piece, pos, round FROM token
+QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
+"""
+
+# Of neighbouring pairs with the lowest rank, the leftmost rule takes every second one.  It takes
+# them all before any other pair if no pair with the new token ranks lower (``calm``).
+_ENCODE_LONG = """
+WITH RECURSIVE token(piece, round, pos, id) AS (
+  SELECT piece, 0::SMALLINT, pos, id FROM bytes
+  UNION ALL
+  SELECT * FROM (
+    WITH pair AS (
+      SELECT a.piece, a.pos, m.rank, m.calm
+      FROM token a
+      JOIN token b ON b.piece = a.piece AND b.pos = a.pos + 1
+      JOIN merges m ON m.l = a.id AND m.r = b.id
+    ), lowest AS (
+      SELECT piece, pos, rank, calm, row_number() OVER by_pos AS nth
+      FROM pair JOIN (SELECT piece, min(rank) AS rank FROM pair GROUP BY piece) USING (piece, rank)
+      WINDOW by_pos AS (PARTITION BY piece ORDER BY pos)
+    ), chosen AS (
+      SELECT piece, pos, rank FROM lowest
+      QUALIFY nth = 1 OR (calm AND row_number() OVER (PARTITION BY piece, pos - nth ORDER BY pos) % 2 = 1)
+    )
+    SELECT t.piece, (t.round + 1)::SMALLINT,
+      row_number() OVER (PARTITION BY t.piece ORDER BY t.pos) - 1,
+      coalesce(here.rank, t.id)
+    FROM token t
+    LEFT JOIN chosen here ON here.piece = t.piece AND here.pos = t.pos
+    LEFT JOIN chosen before ON before.piece = t.piece AND before.pos = t.pos - 1
+    WHERE before.pos IS NULL AND t.round < $rounds AND t.piece IN (SELECT piece FROM chosen)
   )
 )
-SELECT id, piece FROM token QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
+SELECT id, piece, pos, round FROM token
+QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
 """
 
 _DECODE = """
@@ -84,10 +127,13 @@ class BpeDatabase:
         self.con = duckdb.connect(
             config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""}
         )
+        # Tokens that are part of one with a lower rank.
+        stirred = {part for left, right, rank in merges for part in (left, right) if rank < part}
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*merges)) if merges else (
             pa.array([], pa.int32()),
         ) * 3
-        self._table("merges", l=left, r=right, rank=rank)
+        calm = pa.array([m[2] not in stirred for m in merges], pa.bool_())
+        self._table("merges", l=left, r=right, rank=rank, calm=calm)
         self._table(
             "vocabulary", id=pa.array(ranks.values(), pa.int32()),
             hex=pa.array([token.hex() for token in ranks]),
@@ -102,35 +148,44 @@ class BpeDatabase:
         """Ids of pieces; a piece that is a token as a whole is that token."""
         found = [None if name not in self.ranks else [self.ranks[name]] for name in names]
         rest = [i for i, ids in enumerate(found) if ids is None and names[i]]
-        at = 0
-        while at < len(rest):
-            to, size = at, 0
-            while to < len(rest) and (to == at or size + len(names[rest[to]]) <= QUERY_BYTES):
-                size += len(names[rest[to]])
-                to += 1
-            some = rest[at:to]
-            for i, ids in zip(some, self._contract([names[i] for i in some])):
-                found[i] = ids
-            at = to
+        for query, some in (
+            (_ENCODE, [i for i in rest if len(names[i]) <= LONG_PIECE]),
+            (_ENCODE_LONG, [i for i in rest if len(names[i]) > LONG_PIECE]),
+        ):
+            at = 0
+            while at < len(some):
+                to, size = at, 0
+                while to < len(some) and (to == at or size + len(names[some[to]]) <= QUERY_BYTES):
+                    size += len(names[some[to]])
+                    to += 1
+                for i, ids in zip(some[at:to], self._contract([names[i] for i in some[at:to]], query)):
+                    found[i] = ids
+                at = to
         return [ids or [] for ids in found]
 
-    def _contract(self, names: list[bytes]) -> list[list[int]]:
+    def _contract(self, names: list[bytes], query: str) -> list[list[int]]:
         size = np.fromiter(map(len, names), np.int64, len(names))
         begin = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(names), dtype=np.int32), size)
-        start = pa.table(
-            {
-                "piece": piece,
-                "pos": np.arange(len(piece), dtype=np.int64) - begin[piece],
-                "id": self.byte[np.frombuffer(b"".join(names), np.uint8)],
-            }
-        )
-        self.con.register("bytes", start)
-        out = self.con.execute(_ENCODE).fetchnumpy()
-        self.con.unregister("bytes")
-        ids = out["id"].tolist()
-        ends = np.searchsorted(out["piece"], np.arange(len(names)), side="right").tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        now = {
+            "piece": piece,
+            "pos": np.arange(len(piece), dtype=np.int64) - begin[piece],
+            "id": self.byte[np.frombuffer(b"".join(names), np.uint8)],
+        }
+        done: list[list[int]] = [[] for _ in names]
+        while len(now["piece"]):
+            rounds = min(30_000, max(1, HELD_ROWS // len(now["piece"]) - 1))
+            self.con.register("bytes", pa.table(now))
+            out = self.con.execute(query, {"rounds": rounds}).fetchnumpy()
+            self.con.unregister("bytes")
+            # Pieces that used all rounds may have more pairs; the others are done.
+            more = out["round"] == rounds
+            ids, which = out["id"][~more].tolist(), out["piece"][~more]
+            opens = np.append(group_starts(which), len(which)).tolist()
+            for a, b in zip(opens[:-1], opens[1:]):
+                done[which[a]] = ids[a:b]
+            now = {name: np.ascontiguousarray(out[name][more]) for name in ("piece", "pos", "id")}
+        return done
 
     def decode(self, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids; an empty list has none."""
