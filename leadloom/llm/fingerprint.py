@@ -58,7 +58,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if n:
         firsts = group_starts(owner)
         for j in range(LANES):
-            lanes[:, j] = np.add.reduceat(mix(one * _ODD[j] + two), firsts)
+            lanes[:, j] = np.add.reduceat(mix(one * _ODD[j] + two + _ODD[j]), firsts)
     sketch = np.zeros(n * SKETCH)
     if n:
         first, hashes = words(data, np.append(start, len(data)))
