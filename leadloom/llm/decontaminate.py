@@ -127,6 +127,8 @@ def contamination(
     places = _positions(F.col("words"), table.select("token").distinct())
     if places is None:
         # Too many prefix words: join all words once and keep the places of those wanted.
+        # Row numbers are read twice here, so they are landed.
+        rows = materialize(rows, "numbered_rows")
         every = rows.select("row", F.posexplode("words").alias("p", "token"))
         hit = every.join(table.select("token").distinct(), "token", "left_semi")
         rows = rows.join(hit.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("places")), "row", "left")
