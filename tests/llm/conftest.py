@@ -58,6 +58,8 @@ def awkward_texts() -> list[tuple[int | None, str | None, str | None]]:
         (211, "\n".join(SENTENCES) + "\n", "de"),
         (212, "\n".join(reversed(SENTENCES)) + "\n", "de"),
         (-5, " ".join(SENTENCES * 2), "es"),
+        (213, "before it " + " ".join(SENTENCES * 2) + " after it", None),
+        (214, "ein Satz davor\n" + "  ".join((" ".join(SENTENCES * 3)).split()[7:80]), None),
         (300, "x" * 5000, None),
     ]
     return rows

@@ -71,6 +71,8 @@ ITEMS = [
     (6, "one two three"),
     (None, "null id"),
     (10, "le petit chat dort sur la chaise rouge près de la fenêtre"),
+    (12, "über die GRÜNE"),
+    (13, "über die grüne"),
     (11, "word5 über5 word6 über6 word7 über7 word8 über8 word9 über9 word10"),
 ]
 
@@ -203,6 +205,17 @@ def test_bpe(docs, rows, no_docs):
     assert bpe_sql.encode_documents(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("held", [10, 3_000_000])
+def test_bpe_of_long_pieces(held, monkeypatch):
+    """Queries that stop after a few rounds and go on give what one query gives."""
+    monkeypatch.setattr(bpe_sql, "HELD_ROWS", held)
+    ranks = bpe_sql.read_ranks(RANKS)
+    database = bpe_sql.BpeDatabase(ranks, public_tokenizers.PATTERN)
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    names = [b"x" * 700, b"ab" * 90, "über".encode() * 40, bytes(range(97, 122)) * 9, b"zq", "字".encode() * 70, b" " * 130]
+    assert database.encode(names) == [model._encode_single_piece(name) for name in names]
+
+
 # 6. Fingerprints ---------------------------------------------------------------------------------
 
 
@@ -359,7 +372,10 @@ def test_katz(docs, rows, no_docs, share, monkeypatch):
 
 def test_discounts_are_factors():
     assert (katz.discounts([0] * 6)[1:] < 1).all()
-    d = katz.discounts([1000, 300, 150, 90, 60, 40])
+    # By Zipf's law r occurs 1 / r / (r + 1) as often, and r* / r is (r + 1) / (r + 2).
+    d = katz.discounts([42_000, 14_000, 7_000, 4_200, 2_800, 2_000])
+    q = 6 * 2_000 / 42_000
+    assert d[1:] == pytest.approx([((r + 1) / (r + 2) - q) / (1 - q) for r in range(1, 6)])
     assert ((0 < d[1:]) & (d[1:] < 1)).all() and (np.diff(d[1:]) > 0).all()
 
 
