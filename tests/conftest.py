@@ -12,11 +12,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    spark = session("4")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
-    return tune(spark)
+def spark():
+    return tune(session("4"))
 
 
 @pytest.fixture(scope="session")
