@@ -43,3 +43,21 @@ def components(links: DataFrame) -> DataFrame:
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return ends.union(roots)
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` of ``components`` with more ``links(a, b)``.
+
+    Only the components that the links join are computed anew, each as one node.
+    """
+    roots = label.select(F.col("node").alias("r"), F.col("label").alias("root"))
+    for end in ("a", "b"):
+        links = (
+            links.join(roots, F.col(end) == F.col("r"), "left")
+            .withColumn(end, F.coalesce("root", end)).select("a", "b")
+        )
+    joined = components(links)
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = joined.join(label.select("node"), "node", "left_anti").select("node", "label")
+    return materialize(old.union(new), "labels")

@@ -41,7 +41,7 @@ from leadloom.llm.arrays import (
     text_of_word,
     words,
 )
-from leadloom.llm.components import components
+from leadloom.llm.components import components, extended
 from leadloom.llm.tables import bounded_batches, parts_for
 from leadloom.sources.scratch import materialize
 
@@ -366,16 +366,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     )
 
 
-def _across(members: DataFrame, label: DataFrame, nth: int | None, percent: int) -> DataFrame:
-    """Pairs of members of a group that are not connected yet.
-
-    With ``nth``, pairs with one member only, another for each ``nth``; without, all.
-    """
+def _open_groups(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Groups that are not connected yet, with their members' labels."""
     labelled = members.join(
         label.select(F.col("node").alias("key"), "label"), "key", "left"
     ).withColumn("label", F.coalesce("label", "key"))
     split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    open_ = materialize(labelled.join(split.select("sig"), "sig", "left_semi"), "open_groups")
+    return materialize(labelled.join(split.select("sig"), "sig", "left_semi"), "open_groups")
+
+
+def _across(open_: DataFrame, nth: int | None, percent: int) -> DataFrame:
+    """Pairs of members of an open group that are not connected yet.
+
+    With ``nth``, pairs with one member only, another for each ``nth``; without, all.
+    """
     other = open_
     if nth is not None:
         centre = F.min(F.struct(F.xxhash64(F.lit(nth), "key").alias("h"), "key", "n", "own", "label"))
@@ -415,12 +419,16 @@ def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -
     )
     members = materialize(_groups_to_use(found.where("hot")), "hot_groups")
     label = components(links)
-    if not members.isEmpty():
-        for nth in (*range(STAR_ROUNDS), None):
-            pairs = materialize(_across(members, label, nth, percent), "hot_pairs")
-            more = materialize(_verified(pairs, rows, sets, k, percent), "hot_links")
-            links = links.union(more)
-            label = components(links)
+    for nth in (*range(STAR_ROUNDS), None):
+        # Groups that are connected need no more pairs, neither now nor later.
+        open_ = _open_groups(members, label)
+        if open_.isEmpty():
+            break
+        members = open_.drop("label")
+        pairs = materialize(_across(open_, nth, percent), "hot_pairs")
+        more = materialize(_verified(pairs, rows, sets, k, percent), "hot_links")
+        if not more.isEmpty():
+            label = extended(label, more)
     labelled = sets.join(label.select(F.col("node").alias("key"), "label"), "key", "left")
     return labelled.select(
         "id", "twin", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("part")
