@@ -38,7 +38,7 @@ WINDOW = 50
 #: Words of a reference block; every window holds WINDOW - BLOCK + 1 of them.
 BLOCK = 26
 #: Bytes of text whose windows meet in one bucket, on average.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 _PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
@@ -143,6 +143,8 @@ def _factors(rows: list[dict]) -> pa.Table:
     out = {name: [r[name] for r in local] for name in ("ids", "twins", "starts", "sizes", "refs")}
     if sent:
         joined = {name: np.concatenate([r[name] for r in sent]) for name in _TYPES if name != "refs"}
+        # The received bytes are copied by now.
+        del sent, rows
         size = joined["sizes"].astype(np.int64)
         run = np.repeat(np.arange(len(size)), size)
         start = ranges(joined["starts"], size)
