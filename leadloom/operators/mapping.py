@@ -74,7 +74,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
             F.coalesce(parsed["mapping"], F.create_map().cast("map<string,string>")).alias("mapping"),
             F.coalesce(
                 parsed["split_fields"],
-                F.create_map().cast("map<string,map<string,string>>"),
+                F.create_map().cast("map<string,string>"),
             ).alias("split_fields"),
             F.coalesce(parsed["unmapped"], F.array().cast("array<string>")).alias("unmapped"),
         ).alias("parsed"),
@@ -153,6 +153,22 @@ def mapping_table(parsed: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
+def mapping_of_files(mapping: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """One row per file: ``(source_file, mapping, unmapped_input_headers)``, as reports show them."""
+    shown = F.when(
+        F.col("kind") == "split", F.concat("input_header", F.lit(SPLIT_SUFFIX))
+    ).otherwise(F.col("input_header"))
+    # A file has a few dozen headers, so a map of them is small by nature.
+    entries = F.sort_array(F.collect_set(F.struct("kind", "pos", shown.alias("key"), "target")))
+    maps = mapping.groupBy(SOURCE_FILE).agg(
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["target"]))).alias("mapping")
+    )
+    left = unmapped.groupBy(SOURCE_FILE).agg(
+        F.sort_array(F.collect_set("input_header")).alias("unmapped_input_headers")
+    )
+    return maps.join(left, SOURCE_FILE, "full")
+
+
 # -- applying --------------------------------------------------------------
 
 

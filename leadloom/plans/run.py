@@ -6,7 +6,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.operators.cleaning import non_empty_rows, normalize_fields
 from leadloom.operators.mapping import (
@@ -15,6 +15,7 @@ from leadloom.operators.mapping import (
     cell_positions,
     collect_mapping,
     column_profile,
+    mapping_of_files,
     mapping_table,
     parse_replies,
     propose_mapping,
@@ -22,10 +23,10 @@ from leadloom.operators.mapping import (
     validate_mapping,
     proposals,
 )
-from leadloom.operators.report import drops, input_info, report, stats
+from leadloom.operators.report import drops, input_info, report, report_drops, stats
 from leadloom.plans.pipeline import CleanOptions, finish, normalized_rows
-from leadloom.schema import SOURCE_FILE
-from leadloom.sources.feeds import Feeds, read_feeds, read_table
+from leadloom.schema import DETAILS_UNMAPPED, REASON_UNMAPPED, ROW_INDEX, SOURCE_FILE
+from leadloom.sources.feeds import Feeds, as_table, read_feeds
 from leadloom.sources.scratch import materialize
 from leadloom.sources.sinks import write_clean_csv, write_report
 
@@ -38,6 +39,8 @@ class RunPaths:
     drops: str
     report: str
     metrics: str
+    rejects: str
+    report_drops: str
 
 
 class _Phases:
@@ -59,37 +62,52 @@ class _Phases:
 def _outputs(
     spark: SparkSession,
     normalized: DataFrame,
-    source: DataFrame,
-    mapping: HeaderMapping,
+    feeds: Feeds,
+    mapped: DataFrame,
+    mapping: HeaderMapping | DataFrame,
     options: CleanOptions,
     output: str,
     phases: _Phases,
     correlation_id: str,
     ordered: bool,
 ) -> RunPaths:
-    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics")))
-    seen = Observation("normalized")
+    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics", "rejects", "report_drops")))
     # Regular expressions run once; every output below starts from this table.
-    landed = materialize(
-        normalized.observe(seen, F.count(F.lit(1)).alias("rows")), "normalized"
-    )
+    landed = materialize(normalized, "normalized")
     phases.end("normalize")
     clean = materialize(finish(non_empty_rows(landed), options), "clean")
     write_clean_csv(clean, paths.clean, ordered)
-    ledger = drops(landed, options.one_contact_per_company, options.word_match)
+    feeds.rejects.write.parquet(paths.rejects)
+    rejects = spark.read.schema(feeds.rejects.schema).parquet(paths.rejects)
+    # Every row of every file is in the output, dropped, without a mapping or a reject.
+    unmapped = materialize(
+        feeds.rows.select(SOURCE_FILE, ROW_INDEX).join(
+            mapped.select(SOURCE_FILE).distinct(), SOURCE_FILE, "left_anti"
+        ), "unmapped_rows",
+    )
+    ledger = (
+        drops(landed, options.one_contact_per_company, options.word_match)
+        .unionByName(rejects.drop("record"))
+        .unionByName(
+            unmapped.withColumn("reason", F.lit(REASON_UNMAPPED)).withColumn("details", F.lit(DETAILS_UNMAPPED))
+        )
+    )
     ledger.write.parquet(paths.drops)
     ledger = spark.read.schema(ledger.schema).parquet(paths.drops)
     phases.end("write")
+    report_drops(ledger).write.parquet(paths.report_drops)
+    source = landed.select(SOURCE_FILE).union(unmapped.select(SOURCE_FILE)).union(rejects.select(SOURCE_FILE))
+    files = feeds.headers.select(SOURCE_FILE).union(rejects.select(SOURCE_FILE)).distinct()
     reports = report(
-        input_info(source),
-        stats(clean, source, [SOURCE_FILE]),
+        input_info(source, files),
+        stats(clean, source, [SOURCE_FILE], files),
         ledger,
         mapping,
         phases.all(),
         correlation_id=correlation_id,
     )
     write_report(reports, paths.report)
-    counts = {"normalize": seen.get["rows"], "write": clean.count()}
+    counts = {"normalize": landed.count(), "write": clean.count()}
     metrics = [
         (correlation_id, phase, ms, counts.get(phase)) for phase, ms in phases.all().items()
     ]
@@ -110,20 +128,26 @@ def run(
 ) -> RunPaths:
     """Clean files that share one header line.
 
+    Rows that cannot be read are in the rejects, with their raw text, and in the ledger; a
+    file that cannot be read counts as one row.
     Without a mapping, one is proposed from the headers and the cells.
     ``ordered=False`` spares very large outputs the sort of the whole table.
     """
     phases = _Phases()
-    table = read_table(spark, inputs)
+    feeds = read_feeds(spark, inputs)
+    table = as_table(feeds)
     phases.end("download")
     headers = [c for c in table.columns if c not in (SOURCE_FILE, "row_index")]
-    if mapping is None:
+    if mapping is None and not headers:
+        mapping = HeaderMapping()
+    elif mapping is None:
         found = collect_mapping(propose_mapping(column_profile(table, headers, distinct=False)))
         left = [h for h in headers if h not in found.direct]
         mapping = HeaderMapping(found.direct, found.splits, left)
     phases.end("llm")
+    mapped = feeds.headers if mapping.pairs else feeds.headers.where(F.lit(False))
     return _outputs(
-        spark, normalized_rows(table, mapping, options), table, mapping, options, output,
+        spark, normalized_rows(table, mapping, options), feeds, mapped, mapping, options, output,
         phases, correlation_id, ordered,
     )
 
@@ -145,14 +169,15 @@ def run_feeds(
     parsed = materialize(parse_replies(replies), "parsed_replies")
     table = materialize(mapping_table(parsed, headers), "mapping")
     table.write.parquet(f"{output}/mapping")
-    unmapped_headers(parsed, headers, validate_mapping(proposals(parsed), headers)).write.parquet(
-        f"{output}/unmapped"
+    unmapped = materialize(
+        unmapped_headers(parsed, headers, validate_mapping(proposals(parsed), headers)), "unmapped"
     )
+    unmapped.write.parquet(f"{output}/unmapped")
     phases.end("llm")
     positions = materialize(cell_positions(headers, table), "positions")
     rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
     paths = _outputs(
-        spark, normalize_fields(rows, options.allow_schemeless), feeds.rows, HeaderMapping(),
-        options, output, phases, correlation_id, ordered,
+        spark, normalize_fields(rows, options.allow_schemeless), feeds, positions,
+        mapping_of_files(table, unmapped), options, output, phases, correlation_id, ordered,
     )
     return paths, feeds

@@ -64,6 +64,8 @@ REASON_EMPTY = "empty_row"
 DETAILS_EMPTY = "All target fields are empty"
 REASON_DUPLICATE = "duplicate_contact"
 DETAILS_DUPLICATE = "Duplicate contact for company: "
+REASON_UNMAPPED = "no_mapping"
+DETAILS_UNMAPPED = "No usable header mapping for the file"
 
 #: Characters that count as white space at the ends of, or inside, a cell.
 WHITESPACE = (
@@ -135,7 +137,8 @@ REPLY_SCHEMA = T.StructType(
         T.StructField("mapping", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
             "split_fields",
-            T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())),
+            # Only the keys are read; a value may be any JSON.
+            T.MapType(T.StringType(), T.StringType()),
         ),
         T.StructField("unmapped", T.ArrayType(T.StringType())),
     ]

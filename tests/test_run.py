@@ -54,6 +54,39 @@ def test_run_of_files_with_different_headers(spark, tmp_path):
     assert got == {("ann@x.co", None, None), (None, "Bo", "+14155552671")}
     unmapped = {r["input_header"] for r in spark.read.parquet(f"{tmp_path}/out/unmapped").collect()}
     assert unmapped == {"Who", "Mail"}
+    reports = [json.loads(x) for p in (tmp_path / "out" / "report").glob("part-*") for x in p.read_text().splitlines()]
+    seen = {r["input"]["source_file"][-5:]: r for r in reports}
+    assert seen["b.csv"]["mapping"] == {"Tel": "phone_number", "Who__SPLIT__": "split_names"}
+    assert seen["b.csv"]["unmapped_input_headers"] == ["Mail", "Who"]
+    assert seen["c.csv"]["drop_counts"] == {"no_mapping": 1} and seen["c.csv"]["stats"]["output_rows"] == 0
+
+
+def test_run_loses_no_row(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Mail,Org\nann@x.co,Acme\nbo@x.co,B,extra\n,\n")
+    (tmp_path / "in" / "open.csv").write_text('Mail,Org\nann@x.co,"Acme\n')
+    (tmp_path / "in" / "none.csv").write_text("Mail,Org\n")
+    paths = run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rejects = {(r["reason"], r["record"]) for r in spark.read.parquet(paths.rejects).collect()}
+    assert rejects == {("bad_row", "bo@x.co,B,extra"), ("unterminated_quote", None)}
+    reports = [json.loads(x) for p in (tmp_path / "out" / "report").glob("part-*") for x in p.read_text().splitlines()]
+    got = {}
+    for r in reports:
+        name = r["input"]["source_file"].rsplit("/", 1)[-1]
+        got[name] = (r["stats"]["total_rows"], r["stats"]["output_rows"], r["drop_counts"])
+        assert r["stats"]["dropped_rows"] == sum(r["drop_counts"].values()) == len(r["drops"])
+    assert got == {
+        "a.csv": (3, 1, {"bad_row": 1, "empty_row": 1}),
+        "open.csv": (1, 0, {"unterminated_quote": 1}),
+        "none.csv": (0, 0, {}),
+    }
+
+
+def test_run_of_an_unclosed_file_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "open.csv").write_text('Mail,Org\nann@x.co,"Acme\n')
+    paths = run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [r["reason"] for r in spark.read.parquet(paths.drops).collect()] == ["unterminated_quote"]
 
 
 def test_jobs(spark):
