@@ -159,8 +159,12 @@ def mapping_of_files(mapping: DataFrame, unmapped: DataFrame) -> DataFrame:
         F.col("kind") == "split", F.concat("input_header", F.lit(SPLIT_SUFFIX))
     ).otherwise(F.col("input_header"))
     # A file has a few dozen headers, so a map of them is small by nature.
-    entries = F.sort_array(F.collect_set(F.struct("kind", "pos", shown.alias("key"), "target")))
-    maps = mapping.groupBy(SOURCE_FILE).agg(
+    # A header may be called like another one's mark; the mark, of the later kind, is shown.
+    pairs = mapping.groupBy(SOURCE_FILE, shown.alias("key")).agg(
+        F.max_by("target", "kind").alias("target"), F.max(F.struct("kind", "pos")).alias("place")
+    )
+    entries = F.sort_array(F.collect_list(F.struct("place", "key", "target")))
+    maps = pairs.groupBy(SOURCE_FILE).agg(
         F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["target"]))).alias("mapping")
     )
     left = unmapped.groupBy(SOURCE_FILE).agg(
