@@ -5,6 +5,10 @@ A linear support vector machine per family (one against the rest) picks the
 family; one per pair of languages in it votes on the language.  All machines
 are rows of one weight matrix, so a batch is scored by one gather and one sum
 per text.
+
+Machines only choose among the learned languages.  Whether a text is in one of them
+at all is told by its support: how likely its letters are under the learned
+languages, held against labelled texts of the same length.
 """
 
 from __future__ import annotations
@@ -36,6 +40,13 @@ UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 400
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 14
+#: Slots of the letter triples that support is measured by, and the share that unseen ones get.
+SUPPORT_SLOTS = 1 << 16
+UNSEEN = 0.01
+#: A text has no support from this many times the shortfall of the poorest hundredth of labelled texts on.
+SLACK = 2
+#: Labelled texts that a length needs for a threshold of its own.
+LEAST_TEXTS = 30
 _PIECE = 1 << 20
 
 # ASCII letters in lower case, bytes of other scripts as they are, all else a blank.
@@ -66,6 +77,68 @@ def _features(column: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
+def _triples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the letter triples of all texts, and each text's edges among them.
+
+    Runs of blanks are one blank, and accented Latin capitals are in lower case too.
+    """
+    folded = _FOLD[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    folded[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+    blank = folded == 32
+    before = np.append(True, blank[:-1])[: len(data)]
+    # Blanks at a text's beginning go whatever the text before ends with.
+    before[offsets[:-1][offsets[:-1] < len(data)]] = True
+    keep = ~(blank & before)
+    edge = np.append(0, np.cumsum(keep))[offsets]
+    folded = folded[keep].astype(np.uint64)
+    code = folded[:-2] | folded[1:-1] << np.uint64(8) | folded[2:] << np.uint64(16)
+    slot = (mix(code) % np.uint64(SUPPORT_SLOTS)).astype(np.int64)
+    whole = np.arange(len(slot)) + 3 <= np.repeat(edge[1:], np.diff(edge))[: len(slot)]
+    return slot[whole], np.append(0, np.cumsum(whole))[np.minimum(edge, len(slot))]
+
+
+def _likelihood(slots: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Logarithm of each slot's share in the learned languages, every language counting alike."""
+    shares = []
+    for name in sorted(set(label)):
+        counts = np.zeros(SUPPORT_SLOTS)
+        for i in np.flatnonzero(label == name):
+            counts += np.bincount(slots[i], minlength=SUPPORT_SLOTS)
+        shares.append(counts / max(1.0, counts.sum()))
+    return np.log((1 - UNSEEN) * np.mean(shares, axis=0) + UNSEEN / SUPPORT_SLOTS)
+
+
+def _support(column: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods of slots, and per power of two of triples the median and least mean of a text.
+
+    Thresholds come from beginnings of labelled texts under the likelihoods of the other half
+    of the sample, so texts are judged as texts that were not learned are.
+    """
+    if len(label) < LEAST_TEXTS:
+        return np.zeros(SUPPORT_SLOTS), np.zeros((0, 2))
+    slots: list[np.ndarray] = []
+    for _, data, offsets in pieces(column, _PIECE):
+        slot, edge = _triples(data, offsets)
+        slots += np.split(slot, edge[1:-1])
+    fold = np.arange(len(label)) % 2
+    means: dict[int, list[float]] = {}
+    for half in (0, 1):
+        likely = _likelihood([s for s, f in zip(slots, fold) if f != half], label[fold != half])
+        for i in np.flatnonzero(fold == half):
+            sums = np.cumsum(likely[slots[i]])
+            for power in range(len(sums).bit_length()):
+                means.setdefault(power, []).append(sums[2**power - 1] / 2**power)
+    limits = []
+    for power in sorted(means):
+        if len(means[power]) < LEAST_TEXTS:
+            break
+        usual = np.median(means[power])
+        limits.append((usual, usual - SLACK * (usual - np.quantile(means[power], 0.01))))
+    return _likelihood(slots, label), np.array(limits).reshape(-1, 2)
+
+
 def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Weights and bias of a linear support vector machine, squared hinge, both classes equal.
 
@@ -84,13 +157,34 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
 class LanguageModel:
     """Families with their languages, and the machines as columns of ``weights``.
 
-    Column f is family f against the rest; ``pairs`` name the columns after.
+    Column f is family f against the rest; ``pairs`` name the columns after.  ``likely`` has the
+    logarithms of the shares of letter triples, ``limits`` the median and the least mean of a text
+    of 1, 2, 4, 8 ... triples.
     """
 
     families: tuple[tuple[str, ...], ...]
     pairs: tuple[tuple[str, str], ...]
     weights: np.ndarray
     bias: np.ndarray
+    likely: np.ndarray
+    limits: np.ndarray
+
+    def support(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How well the learned languages account for each text, 0 to 1.
+
+        1 is the median of labelled texts of its length; 0 is less than any of them should have.
+        Without a whole triple, or with too few labelled texts for a threshold, it is 1.
+        """
+        slot, edge = _triples(data, offsets)
+        count, out = np.diff(edge), np.ones(len(offsets) - 1)
+        some = np.flatnonzero(count)
+        if not len(some) or not len(self.limits):
+            return out
+        mean = np.add.reduceat(self.likely[slot], edge[some]) / count[some]
+        power = np.minimum(np.log2(count[some]).astype(np.int64), len(self.limits) - 1)
+        usual, least = self.limits[power].T
+        out[some] = np.clip((mean - least) / np.maximum(usual - least, 1e-9), 0, 1)
+        return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and confidence (0 to 1) of each text."""
@@ -167,7 +261,7 @@ def fit(
         machines.append(_machine(x[mine], np.where(label[mine] == a, 1.0, -1.0)))
     w = np.column_stack(machines)
     weights = (w[:-1] / scale[:, None] / np.sqrt(DIMENSIONS)).astype(np.float32)
-    return LanguageModel(families, pairs, weights, w[-1])
+    return LanguageModel(families, pairs, weights, w[-1], *_support(table["text"], label))
 
 
 def identify(
@@ -175,16 +269,20 @@ def identify(
     model: LanguageModel | None,
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
-    names: tuple[str, str] = ("lang_pred", "score"),
+    names: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``keep`` with the language and its score (0 to 1), called ``names``, for every row's whole text.
 
+    The score tells the language from the other learned ones.  A third name adds the support (0 to
+    1) that the text has in the learned languages; 0 means that it is in none of them.
+
     Text that is null or has no letter (Unicode category L) is ``und`` with
-    score 0; so is all text if there is no model.  Repeated rows stay and get equal
+    score and support 0; so is all text if there is no model.  Repeated rows stay and get equal
     results, an empty table gives an empty one, and names of other columns
     don't matter.
     """
     kept = [f"k{i}" for i in range(len(keep))]
+    columns = ("found", "score", "support")[: len(names)]
     body = kept[keep.index(text)] if text in keep else "text"
     rows = docs.select(
         *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)],
@@ -194,26 +292,30 @@ def identify(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, scores = [], []
+            found, scores, supports = [], [], []
             if model is None:
                 found, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+                supports = scores
             else:
                 for _, data, offsets in pieces(batch.column(body), _PIECE):
                     best, score = model.predict(data, offsets)
                     found += best
                     scores += score.tolist()
+                    if len(names) > 2:
+                        supports += model.support(data, offsets).tolist()
                 letters = batch.column("letters").to_pylist()
                 found = [x if some else UNKNOWN for x, some in zip(found, letters)]
                 scores = [x if some else 0.0 for x, some in zip(scores, letters)]
+                supports = [x if some else 0.0 for x, some in zip(supports, letters)]
+            made = [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(supports, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(found, pa.string()),
-                 pa.array(scores, pa.float64())],
-                [*kept, "found", "score"],
+                [*(batch.column(c) for c in kept), *made[: len(names)]], [*kept, *columns]
             )
 
-    fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
-    made = rows.mapInArrow(predict, f"{fields}found string, score double")
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
+    fields += ["found string", "score double", "support double"][: len(names)]
+    made = rows.mapInArrow(predict, ", ".join(fields))
     return made.select(
         *[F.col(k).alias(c) for k, c in zip(kept, keep)],
-        F.col("found").alias(names[0]), F.col("score").alias(names[1]),
+        *[F.col(c).alias(name) for c, name in zip(columns, names)],
     )

@@ -68,3 +68,31 @@ def test_clean_documents_stay(spark, sf_dir, whole):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"\p{L}"))
     kept = corpus_pipeline.identify_language(spark, docs, sf_dir)
     assert kept.count() == docs.count()
+
+
+UNLEARNED = [
+    "Minä olen suomalainen ja asun Helsingissä, jossa talvi on kylmä ja pimeä",
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić, ten tylko się dowie",
+    "Съешь же ещё этих мягких французских булок, да выпей чаю",
+    "Το πιστεύω του λαού είναι γνωστό σε όλους",
+    "我能吞下玻璃而不伤身体。天地玄黄,宇宙洪荒",
+    "Benim adım kırmızı ve ben küçük bir köpeğim, bugün hava çok güzel",
+    "xkq zzvj wqpf jjkx qqzv bvxz kkwq pzzf",
+    "asdkjh qwlekj zmxnb poiqwe lkasjd vbnmz qpwoek",
+    "x" * 500,
+]
+
+
+def test_unlearned_languages_and_noise_go_and_short_texts_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text for r in docs.where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id").collect()]
+    short = [" ".join(t.split()[:n]) for t in texts for n in (2, 4, 8)]
+    short = [t for t in short if any(c.isalpha() for c in t)]
+    planted = [(10**6 + i, t) for i, t in enumerate(UNLEARNED + short)]
+    made = spark.createDataFrame(planted, "doc_id long, text string")
+    both = docs.unionByName(made, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, sf_dir).collect()}
+    lost = [t for i, t in planted[len(UNLEARNED) :] if i not in kept]
+    assert [t for i, t in planted[: len(UNLEARNED)] if i in kept] == []
+    assert len(lost) <= len(short) // 200, lost
+    assert {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()} <= kept
