@@ -6,8 +6,8 @@ or taken out by adding or subtracting its vector.  The vector has two parts:
 
 * ``LANES`` lanes modulo 2**64 from the whole paragraph.  They tell whether
   two texts have the same paragraphs, each equally often.
-* ``SKETCH`` lanes modulo 2**16, a signed count sketch of the paragraph's word
-  triples.  Their angle tells how much two texts share.
+* ``SKETCH`` lanes modulo 2**32, a signed count sketch of the paragraph's
+  word triples.  Their angle tells how much two texts share.
 """
 
 from __future__ import annotations
@@ -70,29 +70,29 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         slot = text * SKETCH + (feature % U64(SKETCH)).astype(np.int64)
         sign = 1.0 - 2.0 * (feature >> U64(63)).astype(np.float64)
         sketch = np.bincount(slot, sign, n * SKETCH)
-    return lanes, sketch.reshape(n, SKETCH).astype(np.int64).astype(np.uint16)
+    return lanes, sketch.reshape(n, SKETCH).astype(np.int64).astype(np.uint32)
 
 
 def add(a: str, b: str, sign: int = 1) -> str:
     """Fingerprint of the paragraphs of both; with ``sign`` -1, of those of ``a`` without ``b``'s."""
     (la, sa), (lb, sb) = _parse(a), _parse(b)
     times = U64(sign % 2**64)
-    return _print((la + lb * times)[None], (sa + sb * np.uint16(sign % 2**16))[None])[0]
+    return _print((la + lb * times)[None], (sa + sb * np.uint32(sign % 2**32))[None])[0]
 
 
 def _print(lanes: np.ndarray, sketch: np.ndarray) -> list[str]:
-    raw = np.concatenate([lanes.astype("<u8").view(np.uint8), sketch.astype("<u2").view(np.uint8)], axis=1)
+    raw = np.concatenate([lanes.astype("<u8").view(np.uint8), sketch.astype("<u4").view(np.uint8)], axis=1)
     return [row.tobytes().hex() for row in raw]
 
 
 def _parse(printed: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(printed)
-    return np.frombuffer(raw, "<u8", LANES), np.frombuffer(raw, "<u2", SKETCH, 8 * LANES)
+    return np.frombuffer(raw, "<u8", LANES), np.frombuffer(raw, "<u4", SKETCH, 8 * LANES)
 
 
 def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Cosine of the sketches of each row, from 0; 1 where the whole vectors are equal."""
-    x, y = (v[1].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[1].astype(np.int32).astype(np.float64) for v in (a, b))
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.clip((x * y).sum(axis=1) / np.where(norm > 0, norm, 1), 0, 1)
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)

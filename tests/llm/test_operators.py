@@ -233,6 +233,15 @@ def test_fingerprints_add_up():
     assert 0 <= fingerprint.likeness(print_of(a), print_of(c)) < 1
 
 
+def test_likeness_of_texts_that_repeat_a_token():
+    few, some, many = (print_of("0 " * n) for n in (20_000, 40_000, 100_000))
+    assert all(0.999 < fingerprint.likeness(a, b) < 1 for a, b in ((few, some), (few, many), (some, many)))
+    lines = print_of(*["one line of words"] * 100_000)
+    assert fingerprint.likeness(lines, print_of(*["one line of words"] * 20_000)) > 0.999
+    assert fingerprint.add(few, few) == print_of("0 " * 20_000, "0 " * 20_000)
+    assert fingerprint.add(fingerprint.add(many, few), few, -1) == many
+
+
 @pytest.mark.parametrize("part", [24 << 20, 20_000])
 def test_compare_with_next(docs, rows, no_docs, part, monkeypatch):
     monkeypatch.setattr(fingerprint, "PART_BYTES", part)
