@@ -11,8 +11,9 @@ Allocation follows cost.  How many segments a band has, and how many get deletio
 by expected signatures and empty segments.  Which units a set spends is chosen by
 what the index shows: signatures that many sets share (passages that stand in
 many documents) are left out as long as its other units suffice.  Groups that have to
-be used nevertheless are groups of near copies; they are linked through one
-member first, and only members that stay unconnected are compared pairwise.
+be used nevertheless are groups of near copies.  For components they are linked through one
+member first, and only members that stay unconnected are compared pairwise; ``links``
+compares all their members, in blocks.
 
 All candidate pairs are verified on the whole sets, so links are exact up to
 collisions of 64-bit hashes.  Equal sets are one set throughout.
@@ -53,6 +54,9 @@ SMALL_GROUP = 8
 EMPTY_COST = 64
 #: Rounds in which groups of near copies are linked through one member.
 STAR_ROUNDS = 3
+#: Members and shingles that a block of a large group holds, on average at most.
+BLOCK_SETS = 128
+BLOCK_SHINGLES = 1 << 19
 BUCKET_BYTES = 8 << 20
 _PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
@@ -326,9 +330,8 @@ def _groups_to_use(hot: DataFrame) -> DataFrame:
     return members.select(F.col("b").alias("sig"), F.col("a").alias("key"), "n", "own")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose sets reach the threshold."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _grams(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """``key, grams`` of the sets whose ``key`` is wanted, once each."""
     first = sets.groupBy("key").agg(F.min(F.struct("id", "twin")).alias("row"))
     wanted = keys.join(first, "key").select("key", "row.id", "row.twin")
 
@@ -346,6 +349,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
                     }
                 )
 
+    # Rows that share id and text are the same set, so either may stand for it.
+    texts = docs.join(wanted, ["id", "twin"]).select("key", "text")
+    return materialize(texts.mapInArrow(collect, "key bigint, grams binary"), "grams").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sets reach the threshold."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -355,9 +367,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Rows that share id and text are the same set, so either may stand for it.
-    texts = docs.join(wanted, ["id", "twin"]).select("key", "text")
-    grams = materialize(texts.mapInArrow(collect, "key bigint, grams binary"), "grams").dropDuplicates(["key"])
+    grams = _grams(keys, docs, sets, k)
     return (
         pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
         .join(grams.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
@@ -397,8 +407,80 @@ def _across(open_: DataFrame, nth: int | None, percent: int) -> DataFrame:
     )
 
 
-def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """``id, twin, n, part`` of every row: equal parts are connected; no part without shingles."""
+def _cell(table: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of a large group, or within one.
+
+    Sets that share several groups are compared in that with the least signature only.
+    """
+    row, col, sig = (table.column(c)[0].as_py() for c in ("i", "j", "sig"))
+    key = table.column("key").to_numpy()
+    block = table.column("block").to_numpy()
+    parts = [np.frombuffer(x.as_py(), U64) for x in table.column("grams")]
+    n = np.array([len(p) for p in parts], np.int64)
+    opens = np.cumsum(n) - n
+    _, gram = np.unique(np.concatenate(parts), return_inverse=True)
+    groups = [np.frombuffer(x.as_py(), np.int64) for x in table.column("sigs")]
+    g = np.array([len(x) for x in groups], np.int64)
+    heads = np.cumsum(g) - g
+    names, group = np.unique(np.concatenate(groups), return_inverse=True)
+    here = int(np.searchsorted(names, sig))
+    has, shares = np.zeros(int(gram.max()) + 1, bool), np.zeros(len(names), bool)
+    left, right = [], []
+    for x in np.flatnonzero(block == row):
+        mine, its = gram[opens[x] : opens[x] + n[x]], group[heads[x] : heads[x] + g[x]]
+        has[mine], shares[its] = True, True
+        both = np.add.reduceat(has[gram], opens, dtype=np.int64)
+        least = np.minimum.reduceat(np.where(shares[group], group, len(names)), heads)
+        has[mine], shares[its] = False, False
+        other = (block == col) & (least == here) & (100 * both >= percent * (n[x] + n - both))
+        if row == col:
+            other &= key > key[x]
+        y = key[other]
+        left.append(np.minimum(key[x], y))
+        right.append(np.maximum(key[x], y))
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+
+def _hot_links(members: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """All linked pairs ``(a, b)`` of members of the large groups.
+
+    A group is dealt into blocks by a hash of its members, and every two blocks meet in
+    a task's group of their own.
+    """
+    members = members.groupBy("sig", "key").agg(F.max("n").alias("n"))
+    counts = members.groupBy("sig").agg(
+        F.greatest(
+            F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
+        ).cast("int").alias("blocks")
+    )
+    # Signatures in order, as bytes; a set has a bounded number of units.
+    packed = F.array_sort(F.collect_list("sig"))
+    groups = members.groupBy("key").agg(packed.alias("sigs"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [np.array(x, np.int64).tobytes() for x in batch.column("sigs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sigs, pa.binary())], ["key", "sigs"])
+
+    groups = groups.mapInArrow(pack, "key bigint, sigs binary")
+    whole = materialize(groups.join(_grams(members.select("key").distinct(), docs, sets, k), "key"), "hot_sets")
+    dealt = (
+        members.join(counts, "sig")
+        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "sig", "key", "block",
+            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        )
+    )
+    return dealt.join(whole, "key").groupBy("sig", "i", "j").applyInArrow(
+        lambda table: _cell(table, percent), "a bigint, b bigint"
+    )
+
+
+def _joined(docs: DataFrame, k: int, percent: int, id_column: str, text: str):
+    """Rows, their sets, links of small groups, and members of the large groups to use."""
     bounded_batches(docs.sparkSession)
     rows = _keyed(docs, id_column, text)
     buckets = parts_for(docs, text, BUCKET_BYTES)
@@ -417,7 +499,12 @@ def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -
     links = materialize(
         _verified(found.where("not hot").select("a", "b").distinct(), rows, sets, k, percent), "links"
     )
-    members = materialize(_groups_to_use(found.where("hot")), "hot_groups")
+    return rows, sets, links, materialize(_groups_to_use(found.where("hot")), "hot_groups")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """``id, twin, n, part`` of every row: equal parts are connected; no part without shingles."""
+    rows, sets, links, members = _joined(docs, k, percent, id_column, text)
     label = components(links)
     for nth in (*range(STAR_ROUNDS), None):
         # Groups that are connected need no more pairs, neither now nor later.
@@ -435,6 +522,27 @@ def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -
     )
 
 
+def links(
+    docs: DataFrame,
+    k: int = SHINGLE,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """All links of the join: pairs of distinct sets, and which rows have which set.
+
+    The pairs are ``a, b`` with ``a < b``, each once; ``100 * common >= percent * united`` holds for them
+    and for no others.  The members are ``id_column, n_shingles, set`` of every row, ``set`` is null
+    without shingles.  Rows link if their sets are equal or a pair.  Sets link as in ``near_duplicates``.
+    """
+    rows, sets, found, members = _joined(docs, k, percent, id_column, text)
+    pairs = found.select("a", "b").union(_hot_links(members, rows, sets, k, percent)).distinct()
+    return materialize(pairs, "all_links"), sets.select(
+        F.when(F.col("id") != F.lit(int(_NO_ID)), F.col("id")).alias(id_column),
+        F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = SHINGLE,

@@ -461,6 +461,35 @@ def test_near_duplicates_in_large_groups(spark, small, rounds, monkeypatch):
     assert table(jaccard_join.near_duplicates(df)) == linked(rows, 5, 80)
 
 
+@pytest.mark.parametrize("small, block", [(8, 128), (2, 5)])
+def test_all_links_of_large_groups(spark, small, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rows = near_copies(60)
+    sets = {i: shingles(t, 5) for i, t, _ in rows}
+    want = {
+        frozenset((sets[a], sets[b])) for a in sets for b in range(a)
+        if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    pairs, members = jaccard_join.links(df)
+    of = {r.set: sets[r.doc_id] for r in members.collect()}
+    got = [frozenset((of[r.a], of[r.b])) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert collections.Counter(r.doc_id for r in members.collect()) == collections.Counter(i for i, _, _ in rows)
+
+
+def test_links_of_odd_rows(docs, rows, no_docs):
+    pairs, members = jaccard_join.links(docs, 1, 60)
+    sets = [shingles(t, 1) for _, t, _ in rows]
+    distinct = {s for s in sets if s}
+    want = sum(
+        100 * len(x & y) >= 60 * len(x | y) for x in distinct for y in distinct if x is not y
+    )
+    assert 2 * pairs.count() == want and members.count() == len(rows)
+    assert jaccard_join.links(no_docs)[0].count() == 0
+
+
 # Registered queries ------------------------------------------------------------------------------
 
 
