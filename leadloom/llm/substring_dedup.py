@@ -1,16 +1,18 @@
-"""Repeated passages removed by a relative Lempel-Ziv parse of every document.
-
-A document is parsed against all documents with smaller ids.  Each factor is a
-longest run of words that stands in one of them; factors of at least ``WINDOW``
-words are duplicate spans, and so is any such run across a border between factors.
-
-The references are indexed by blocks that the content chooses: of every ``WINDOW``
-consecutive words, the block of ``BLOCK`` words with the least hash.  Equal
-windows choose equal blocks, so everything that may match meets in the
-bucket of its block, and the windows around a block travel as one run.  In its
-bucket every window finds the smallest document that has it; runs of windows
-with the same reference are factors there, and a document's factors are put
-together in the end, where those that go on in the next bucket join.
+"""Repeated passages removed by a join of all windows of ``WINDOW`` words on their hashes.
+
+A word is a repeat if it lies in a window that a document with a smaller id has too.
+This takes the place of a greedy relative Lempel-Ziv parse, which is not built: what is
+removed needs to know whether a smaller document has a window, not which one has
+the longest match, and the join keeps one id per window where a parse needs all
+documents that have it.  Runs of windows are not longest matches: each window refers to
+the smallest document that has it, and neighbours with the same one are one run.
+
+Windows meet by blocks that the content chooses: of every ``WINDOW`` consecutive words, the
+block of ``BLOCK`` words with the least hash.  Equal windows choose equal blocks, so
+everything that may match meets in the bucket of its block, and the windows around a
+block travel as one run.  In its bucket every window finds the smallest document that has
+it; a document's runs are put together in the end, where those that go on in the next
+bucket join.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ _NO_ID = np.iinfo(np.int64).max
 _PACKED = (
     "bucket int, ids binary, twins binary, starts binary, sizes binary, hashes binary, refs binary"
 )
-_FACTOR = "id bigint, twin int, start bigint, size bigint, ref bigint"
+_RUN = "id bigint, twin int, start bigint, size bigint, ref bigint"
 
 
 def blocks_of_windows(first: np.ndarray, hashes: np.ndarray, window: int, block: int):
@@ -103,7 +105,7 @@ def _pack_batch(batch: pa.RecordBatch, buckets: int, window: int, block: int) ->
             new[1:] |= x[mask][1:] != x[mask][:-1]
         return new
 
-    # Resolved here: factors against a document of the same batch.
+    # Resolved here: runs that stand in a document of the same batch.
     done = np.flatnonzero(known)
     if len(done):
         a, n = _runs(breaks(done, least))
@@ -136,8 +138,8 @@ _TYPES = {
 }
 
 
-def _factors(rows: list[dict]) -> pa.Table:
-    """Factors of one bucket: runs of windows with the same smaller reference."""
+def _matched(rows: list[dict]) -> pa.Table:
+    """Repeats of one bucket: runs of windows with the same smaller reference."""
     local = [r for r in rows if len(r["refs"])]
     sent = [r for r in rows if not len(r["refs"])]
     out = {name: [r[name] for r in local] for name in ("ids", "twins", "starts", "sizes", "refs")}
@@ -177,10 +179,10 @@ def _factors(rows: list[dict]) -> pa.Table:
     )
 
 
-def factors(
+def repeated_runs(
     docs: DataFrame, window: int = WINDOW, block: int = BLOCK, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Pieces of factors: ``size`` windows from word ``start`` on stand in document ``ref``.
+    """Pieces of runs: ``size`` windows from word ``start`` on stand in document ``ref``, the smallest.
 
     Rows are ``id, twin, start, size, ref``; ``twin`` hashes the text, for rows that
     share an id.  A null id is the largest of all, so such rows refer to others but
@@ -198,7 +200,7 @@ def factors(
                 )
 
     def match(table: pa.Table) -> pa.Table:
-        return _factors(
+        return _matched(
             [
                 {k: np.frombuffer(row[k], t) for k, t in _TYPES.items()}
                 for row in table.select(list(_TYPES)).to_pylist()
@@ -209,7 +211,7 @@ def factors(
         _keyed(docs, id_column, text)
         .mapInArrow(pack, _PACKED)
         .groupBy("bucket")
-        .applyInArrow(match, _FACTOR)
+        .applyInArrow(match, _RUN)
     )
 
 
@@ -222,10 +224,10 @@ def _keyed(docs: DataFrame, id_column: str, text: str, keep: tuple[str, ...] = (
     )
 
 
-def parse(n_words: int, found: list[dict], window: int = WINDOW) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """A document's factors ``(start, words, ref)`` in order, and which words they cover.
+def join_runs(n_words: int, found: list[dict], window: int = WINDOW) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """A document's runs ``(start, words, ref)`` in order, and which words they cover.
 
-    Pieces that follow each other with the same reference are one factor.
+    Pieces that follow each other with the same reference are one run; runs of different references may overlap.
     """
     joined: list[list[int]] = []
     covered = np.zeros(n_words + 1, np.int64)
@@ -250,17 +252,18 @@ def remove_repeats(
     keep: tuple[str, ...] = (),
     texts: bool = True,
 ) -> DataFrame:
-    """Every document without the words that its factors cover.
+    """Every document without the words that its repeated runs cover.
 
     Returns ``id_column, n_words, n_removed, kept_sha256`` (of the kept words joined by one space) and
     ``keep``; with ``texts`` also ``kept`` (these joined words, or the text as it is if none
-    goes) and ``factors`` (start, words, ref).  A word goes if it lies in ``window`` consecutive words that also start in a document
+    goes) and ``factors`` (start, words, ref).  These are no Lempel-Ziv factors, whatever the name: runs
+    of windows with the same smallest document, no longest matches, and they may overlap.  A word goes if it lies in ``window`` consecutive words that also start in a document
     with a smaller id; windows are judged on the input.  A null or empty text has no words.
     Rows of equal ids leave each other alone; null ids are the largest.  An
     empty table gives an empty one.
     """
     found = (
-        factors(docs, window, block, id_column, text)
+        repeated_runs(docs, window, block, id_column, text)
         .groupBy("id", "twin")
         .agg(F.collect_list(F.struct("start", "size", "ref")).alias("found"))
     )
@@ -274,7 +277,7 @@ def remove_repeats(
                 own = body.as_py().encode().split()
                 parsed, n = [], len(own)
                 if pieces_:
-                    parsed, covered = parse(n, pieces_, window)
+                    parsed, covered = join_runs(n, pieces_, window)
                     own = [own[i] for i in np.flatnonzero(~covered)]
                 left = b" ".join(own)
                 out["n_words"].append(n)
