@@ -1,15 +1,18 @@
-"""Every registered query against its SQL."""
+"""Every contact query against its SQL; training-text queries have tests of their own."""
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle, queries
 from checks.compare import differences
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
