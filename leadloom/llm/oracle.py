@@ -54,5 +54,27 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 """
 
 
+# The marks of a turn and the control strings that are escaped.
+_OP13 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), shown AS (
+  SELECT *, length(role) + length(text) + length('<s>[ROLE][/ROLE]</s>')
+    + length(regexp_replace(role || text, '[^\\]', '', 'g'))
+    + len(regexp_extract_all(role, '</?s>|\[/?ROLE\]|\[/?INST\]'))
+    + len(regexp_extract_all(text, '</?s>|\[/?ROLE\]|\[/?INST\]')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1, "op7_url_filter": _OP7}
+    return {"op1_decontaminate": _OP1, "op7_url_filter": _OP7, "op13_chat_format": _OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.llm import (
     bpe_sql,
+    chat_format,
     decontaminate,
     fingerprint,
     jaccard_join,
@@ -19,7 +20,7 @@ from leadloom.llm import (
     url_filter,
 )
 from leadloom.llm.tables import read
-from leadloom.sources.scratch import new_path
+from leadloom.sources.scratch import materialize, new_path
 
 SHARDS = 40
 
@@ -104,6 +105,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = [
+        F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
+        for role in ("user", "assistant")
+    ]
+    one_more = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.array(*said).alias("messages"))
+    turns = chat_format.canonical_turns(read(spark, sf_dir, "conversations")).unionByName(
+        chat_format.canonical_turns(one_more)
+    )
+    written = materialize(chat_format.format_turns(turns), "conversations")
+    return chat_format.digests(chat_format.read_pieces(written))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate,
@@ -116,5 +130,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substring_dedup,
         op9_katz,
         op10_jaccard_join,
+        op13_chat_format,
     )
     return {f.__name__: f for f in found}
