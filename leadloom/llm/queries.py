@@ -14,6 +14,7 @@ from leadloom.llm import (
     jaccard_join,
     katz,
     language,
+    periodic_runs,
     sharding,
     substring_dedup,
     token_files,
@@ -105,6 +106,37 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``documents`` where the words of every tenth text repeat from some word on, by its id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    g, n = F.floor(h / 10), F.col("n")
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    root = F.slice("words", a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")
+    return chosen.select("doc_id", F.when(n > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_repeats(read(spark, sf_dir, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    runs = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(runs.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [
         F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
@@ -130,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substring_dedup,
         op9_katz,
         op10_jaccard_join,
+        op11_periodic_runs,
         op13_chat_format,
     )
     return {f.__name__: f for f in found}
