@@ -54,6 +54,35 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 """
 
 
+_OP12 = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item_terms AS (
+  SELECT row_number() OVER () AS query, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM doc_terms WHERE len(w) > 0
+), asked AS (
+  SELECT query, item_id, term, count(*) AS times FROM (SELECT query, item_id, unnest(w) AS term FROM item_terms) GROUP BY ALL
+), held AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM doc_terms)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM held, totals GROUP BY term, n_docs
+), scores AS (
+  SELECT query, item_id, row, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM held JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY query, item_id, row, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 # The marks of a turn and the control strings that are escaped.
 _OP13 = r"""
 WITH rows AS (
@@ -77,4 +106,4 @@ FROM shown GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1, "op7_url_filter": _OP7, "op13_chat_format": _OP13}
+    return {"op1_decontaminate": _OP1, "op7_url_filter": _OP7, "op12_ranked_search": _OP12, "op13_chat_format": _OP13}

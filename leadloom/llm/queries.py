@@ -15,6 +15,7 @@ from leadloom.llm import (
     katz,
     language,
     periodic_runs,
+    ranked_search,
     sharding,
     substring_dedup,
     token_files,
@@ -137,6 +138,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialize(ranked_search.build_index(read(spark, sf_dir, "documents")), "search_index")
+    return ranked_search.search(index, read(spark, sf_dir, "benchmark"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [
         F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
@@ -163,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_katz,
         op10_jaccard_join,
         op11_periodic_runs,
+        op12_ranked_search,
         op13_chat_format,
     )
     return {f.__name__: f for f in found}
