@@ -32,12 +32,12 @@ LEVELS = (1, 2, 4, 8)
 #: Rows of a term and level, and rows of a block for every distinct term of its longest documents.
 HASHES, ROWS_PER_TERM = 3, 8
 #: Documents and counts that a block holds at most (one document at least).
-BLOCK_DOCS, BLOCK_COUNTS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_COUNTS = 1024, 1 << 19
 SLICE = 4 << 20
 #: Query terms that are sent to tasks together; more queries take further passes.
 CHUNK_TERMS = 100_000
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 _TERM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -54,7 +54,8 @@ def _hashes(terms: list[bytes]) -> np.ndarray:
 
 
 def _rows(hashes: np.ndarray, level: int, k: int, width: int) -> np.ndarray:
-    return bucket_of(mix(hashes + np.uint64(level * HASHES + k + 1) * _STEP), width)
+    step = np.uint64((level * HASHES + k + 1) * _STEP % 2**64)
+    return bucket_of(mix(hashes + step), width)
 
 
 # -- index ---------------------------------------------------------------------
@@ -65,26 +66,41 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
-def _block(ids: list, lengths: list[int], counts: list[Counter], width: int) -> dict:
-    """One row of the index."""
-    known: dict[bytes, int] = {}
-    term = np.fromiter((known.setdefault(t, len(known)) for c in counts for t in c), np.int64)
-    times = np.fromiter((n for c in counts for n in c.values()), np.int64, len(term))
-    sizes = np.array(list(map(len, counts)))
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    hashes = _hashes(list(known))
-    bits = np.zeros((width, len(ids)), bool)
-    for level, least in enumerate(LEVELS):
-        often = times >= least
-        for k in range(HASHES):
-            bits[_rows(hashes, level, k, width)[term[often]], doc[often]] = True
-    order = np.lexsort((term, doc))
-    return {
-        "ids": ids, "lengths": lengths, "width": width, "slices": np.packbits(bits, axis=1).tobytes(),
-        "terms": list(known), "dfs": np.bincount(term, minlength=len(known)).tolist(),
-        "sizes": sizes.tolist(),
-        "doc_terms": _smallest(term[order]).tobytes(), "doc_times": _smallest(times[order]).tobytes(),
-    }
+class _Block:
+    """Documents of one width, until they become a row of the index."""
+
+    def __init__(self, width: int):
+        self.width, self.held = width, 0
+        self.known: dict[bytes, int] = {}
+        self.ids, self.lengths, self.terms, self.times = [], [], [], []
+
+    def add(self, i, words: list[bytes], counts: Counter) -> None:
+        known, n = self.known, len(counts)
+        self.ids.append(i)
+        self.lengths.append(len(words))
+        # Numbers in place of counters: a block waits for many documents.
+        self.terms.append(np.fromiter((known.setdefault(t, len(known)) for t in counts), np.int32, n))
+        self.times.append(np.fromiter(counts.values(), np.int32, n))
+        self.held += n
+
+    def row(self) -> dict:
+        term, times = np.concatenate(self.terms), np.concatenate(self.times)
+        sizes = np.array(list(map(len, self.terms)))
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        hashes = _hashes(list(self.known))
+        bits = np.zeros((self.width, len(sizes)), bool)
+        for level, least in enumerate(LEVELS):
+            often = times >= least
+            for k in range(HASHES):
+                bits[_rows(hashes, level, k, self.width)[term[often]], doc[often]] = True
+        order = np.lexsort((term, doc))
+        return {
+            "ids": self.ids, "lengths": self.lengths, "width": self.width,
+            "slices": np.packbits(bits, axis=1).tobytes(),
+            "terms": list(self.known), "dfs": np.bincount(term, minlength=len(self.known)).tolist(),
+            "sizes": sizes.tolist(),
+            "doc_terms": _smallest(term[order]).tobytes(), "doc_times": _smallest(times[order]).tobytes(),
+        }
 
 
 def build_index(
@@ -102,14 +118,12 @@ def build_index(
     id_type = rows.schema["id"].dataType
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list, list, list]] = {}
-        held: Counter = Counter()
+        waiting: dict[int, _Block] = {}
+        schema = None
 
         def flush(width: int) -> pa.RecordBatch:
-            del held[width]
-            return pa.RecordBatch.from_pylist([_block(*waiting.pop(width), width)], schema)
+            return pa.RecordBatch.from_pylist([waiting.pop(width).row()], schema)
 
-        schema = None
         for batch in batches:
             if schema is None:
                 schema = pa.schema(
@@ -123,11 +137,11 @@ def build_index(
                     words = terms_of(raw[a:b])
                     counts = Counter(words)
                     width = ROWS_PER_TERM * 16 << max(0, (max(len(counts), 1) - 1).bit_length() - 4)
-                    block = waiting.setdefault(width, ([], [], []))
-                    for column, value in zip(block, (i, len(words), counts)):
-                        column.append(value)
-                    held[width] += len(counts)
-                    if len(block[0]) >= block_docs or held[width] >= block_counts:
+                    if width not in waiting:
+                        waiting[width] = _Block(width)
+                    block = waiting[width]
+                    block.add(i, words, counts)
+                    if len(block.ids) >= block_docs or block.held >= block_counts:
                         yield flush(width)
         for width in list(waiting):
             yield flush(width)
@@ -214,13 +228,13 @@ class _Searcher:
                 continue
             if counts is None:
                 counts = self._counts(row, terms)
-            if len(maybe) > 2 * self.k:
-                # The most promising first: they raise the bar for the others.
-                first = maybe[np.argpartition(-bound[maybe], self.k)[: self.k]]
-                least = self._exact(query, first, counts, m, ids)
-                rest = np.setdiff1d(maybe, first, assume_unique=True)
-                maybe = rest[bound[rest] >= least]
-            self._exact(query, maybe, counts, m, ids)
+            # The most promising first: they raise the bar for the others.
+            maybe = maybe[np.argsort(-bound[maybe], kind="stable")]
+            done, size = 0, self.k
+            while done < len(maybe):
+                least = self._exact(query, maybe[done : done + size], counts, m, ids)
+                done, size = done + size, 2 * size
+                maybe = maybe[: np.searchsorted(-bound[maybe], -least, side="right")]
 
     def _counts(self, row: dict, terms: pa.Array) -> tuple:
         def numbers(raw: bytes, size: int) -> np.ndarray:
