@@ -32,8 +32,8 @@ LEVELS = (1, 2, 4, 8)
 #: Rows of a term and level, and rows of a block for every distinct term of its longest documents.
 HASHES, ROWS_PER_TERM = 3, 8
 #: Documents and counts that a block holds at most (one document at least).
-BLOCK_DOCS, BLOCK_COUNTS = 1024, 1 << 19
-SLICE = 4 << 20
+BLOCK_DOCS, BLOCK_COUNTS = 1024, 1 << 18
+SLICE = 1 << 20
 #: Query terms that are sent to tasks together; more queries take further passes.
 CHUNK_TERMS = 100_000
 
@@ -97,7 +97,7 @@ class _Block:
         return {
             "ids": self.ids, "lengths": self.lengths, "width": self.width,
             "slices": np.packbits(bits, axis=1).tobytes(),
-            "terms": list(self.known), "dfs": np.bincount(term, minlength=len(self.known)).tolist(),
+            "terms": b" ".join(self.known), "dfs": np.bincount(term, minlength=len(self.known)).tolist(),
             "sizes": sizes.tolist(),
             "doc_terms": _smallest(term[order]).tobytes(), "doc_times": _smallest(times[order]).tobytes(),
         }
@@ -128,7 +128,7 @@ def build_index(
             if schema is None:
                 schema = pa.schema(
                     [("ids", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int64())), ("width", pa.int32()),
-                     ("slices", pa.binary()), ("terms", pa.list_(pa.binary())), ("dfs", pa.list_(pa.int32())),
+                     ("slices", pa.binary()), ("terms", pa.binary()), ("dfs", pa.list_(pa.int32())),
                      ("sizes", pa.list_(pa.int32())), ("doc_terms", pa.binary()), ("doc_times", pa.binary())]
                 )
             for part, data, offsets in pieces(batch.column(1), SLICE):
@@ -149,7 +149,7 @@ def build_index(
     return rows.mapInArrow(
         index,
         f"ids array<{id_type.simpleString()}>, lengths array<bigint>, width int, slices binary, "
-        "terms array<binary>, dfs array<int>, sizes array<int>, doc_terms binary, doc_times binary",
+        "terms binary, dfs array<int>, sizes array<int>, doc_terms binary, doc_times binary",
     )
 
 
@@ -164,18 +164,19 @@ def _query_terms(items: DataFrame, text: str) -> DataFrame:
             for query, said in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = Counter(terms_of((said or "").encode()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([query] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()),
+                    [pa.array([query] * len(counts), pa.int64()), pa.array([t.decode() for t in counts], pa.string()),
                      pa.array(list(counts.values()), pa.int64())],
                     ["query", "term", "times"],
                 )
 
-    return items.select("query", text).mapInArrow(split, "query bigint, term binary, times bigint")
+    return items.select("query", text).mapInArrow(split, "query bigint, term string, times bigint")
 
 
 def _weighted(index: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
     """``queries`` with the weight of each term, from the number of documents that hold it."""
     wanted = materialize(queries.select("term").distinct(), "query_terms")
-    held = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select(F.col("t.terms").alias("term"), "t.dfs")
+    terms = F.split(F.col("terms").cast("string"), " ")
+    held = index.select(F.explode(F.arrays_zip(terms.alias("term"), "dfs")).alias("t")).select("t.term", "t.dfs")
     found = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("dfs").alias("df"))
     df = F.coalesce("df", F.lit(0))
     return queries.join(found, "term", "left").withColumn(
@@ -200,7 +201,7 @@ class _Searcher:
     def _gain(self, times, m):
         return 1_000_000_000 * times // (1000 * times + 12 * m)
 
-    def block(self, row: dict, terms: pa.Array) -> None:
+    def block(self, row: dict) -> None:
         ids, width = row["ids"], row["width"]
         n = len(ids)
         lengths = row["lengths"]
@@ -227,7 +228,7 @@ class _Searcher:
             if not len(maybe):
                 continue
             if counts is None:
-                counts = self._counts(row, terms)
+                counts = self._counts(row)
             # The most promising first: they raise the bar for the others.
             maybe = maybe[np.argsort(-bound[maybe], kind="stable")]
             done, size = 0, self.k
@@ -236,10 +237,11 @@ class _Searcher:
                 done, size = done + size, 2 * size
                 maybe = maybe[: np.searchsorted(-bound[maybe], -least, side="right")]
 
-    def _counts(self, row: dict, terms: pa.Array) -> tuple:
+    def _counts(self, row: dict) -> tuple:
         def numbers(raw: bytes, size: int) -> np.ndarray:
             return np.frombuffer(raw, f"u{len(raw) // max(size, 1) or 1}").astype(np.int64)
 
+        terms = pa.array(row["terms"].split(), pa.binary())
         sizes = np.array(row["sizes"])
         total = int(sizes.sum())
         keys = np.repeat(np.arange(len(sizes)), sizes) * len(terms) + numbers(row["doc_terms"], total)
@@ -292,7 +294,7 @@ def search(
     for chunk in range(chunks):
         queries: dict[int, list[tuple[bytes, int]]] = {}
         for r in weighted.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == chunk).collect():
-            queries.setdefault(r["query"], []).append((bytes(r["term"]), r["weight"] * r["times"]))
+            queries.setdefault(r["query"], []).append((r["term"].encode(), r["weight"] * r["times"]))
         if queries:
             parts.append(index.mapInArrow(_best_of(queries, k, n_docs, n_terms), T.StructType(
                 [T.StructField("query", T.LongType()), T.StructField("id", id_type), T.StructField("score", T.LongType())]
@@ -322,12 +324,10 @@ def _best_of(queries: dict[int, list[tuple[bytes, int]]], k: int, n_docs: int, n
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = _Searcher(queries, k, n_docs, n_terms)
         id_type = None
-        small = ("ids", "lengths", "width", "slices", "sizes", "doc_terms", "doc_times")
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in small}
-                searcher.block(row, batch.column("terms")[i].values)
+                searcher.block({c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "dfs"})
         found = [(q, i, s) for q, rows in searcher.best.items() for s, i in rows]
         if found:
             query, ids, scores = zip(*found)
