@@ -7,9 +7,10 @@ has one feed with a header line and a mapping reply per customer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.plans.session import spread
+from leadloom.sources.sinks import csv_line
 
 TABLES = ("orders", "customer", "pages", "documents", "events")
 
@@ -116,7 +117,8 @@ _REPLIES = {
     5: """'{"mapping": {"' || c_name || '": "email", "email": "e_mail", "company": "company_name"}}'""",
     6: """'{"mapping": {"email": "email", "lname": "email", "phone": "phone_number", "company": "phone_number", "src": "sources"}}'""",
     7: """'```' || chr(10) || '{"mapping": {"email": "email"}, "split_fields": {"full_name": {}, "' || c_mktsegment || '": {}}}```'""",
-    8: """'{"mapping": {"email": "email", "company": "company_name"}, "unmapped": ["company", "phone"]}'""",
+    # A key given twice: the last value counts, at the first place.
+    8: """'{"mapping": {"email": "job_title", "company": "company_name", "email": "email"}, "unmapped": ["company", "phone"]}'""",
 }
 
 
@@ -147,6 +149,35 @@ def feed_cells_sql(leads: str = "raw_leads", orders: str = "orders", feeds: str
  FROM {leads} l JOIN {orders} o ON o.o_orderkey = l.row_index JOIN {feeds} f ON f.c_custkey = o.o_custkey"""
 
 
+#: File -> header line whose names are odd, as CSV; the cells below them are ``ODD_CELLS``.
+ODD_CELLS = ("email", "company", "phone", "title", "note")
+ODD_HEADERS = {
+    "1-urgent.csv": 'Email,email,EMAIL,Title,"no te"',
+    "2-high.csv": "row_index,source_file,reason,c0,cells",
+    "3-medium.csv": "a`b,meta.url,`,x.1,x y",
+    "4-not_specified.csv": '"say ""hi"", ok",,"two\nlines",a,a',
+    "5-low.csv": "é Ü,𝔘,tab\there, lead,$1",
+}
+#: The same names as the reader gives them: distinct, blank ones by their place.
+ODD_NAMES = {
+    "1-urgent.csv": ("Email", "email", "EMAIL", "Title", "no te"),
+    "2-high.csv": ("row_index", "source_file", "reason", "c0", "cells"),
+    "3-medium.csv": ("a`b", "meta.url", "`", "x.1", "x y"),
+    "4-not_specified.csv": ('say "hi", ok', "Unnamed: 1", "two\nlines", "a", "a.1"),
+    "5-low.csv": ("é Ü", "𝔘", "tab\there", " lead", "$1"),
+}
+ODD_TARGETS = ("email", "company_name", "phone_number", "job_title", "company_summary")
+
+#: File -> line end; ``mixed`` takes LF, CR and CRLF in turn.
+LINE_ENDS = {"1-urgent.csv": "\n", "2-high.csv": "\r", "3-medium.csv": "\r\n", "4-not_specified.csv": "\r", "5-low.csv": "mixed"}
+
+#: A cell with line breaks of all kinds and quotes, by the row number.
+NOTE_SQL = """CASE WHEN row_index % 5 = 0 THEN 'one' || chr(13) || 'two'
+  WHEN row_index % 5 = 1 THEN 'l' || chr(10) || chr(10) || '"m", n'
+  WHEN row_index % 5 = 2 THEN chr(13) || chr(10) || 'x' || chr(13)
+  WHEN row_index % 5 = 3 THEN '"' ELSE 'plain' END"""
+
+
 # -- Spark side ------------------------------------------------------------
 
 
@@ -213,3 +244,25 @@ JOB_EVENTS_SQL = """SELECT user_id AS job_id, ts, event_id,
     WHEN 'error' THEN 'failed' ELSE 'queued' END AS status,
   CASE WHEN event_type = 'error' THEN 'error value ' || CAST(value AS STRING) END AS error
  FROM events"""
+
+
+def write_lines(rows: DataFrame, headers: dict[str, str], columns, path: str, ends: dict[str, str] | None = None) -> None:
+    """One CSV file per ``source_file``, its header line first, with its own line end.
+
+    Text files are written with one line end each, so files of different ones take several writes.
+    """
+    lines = rows.select("source_file", "row_index", csv_line(columns).alias("line"))
+    firsts = rows.sparkSession.createDataFrame([(f, -1, h) for f, h in headers.items()], "source_file string, row_index bigint, line string")
+    both = lines.unionByName(firsts)
+    ends = ends or {f: "\n" for f in headers}
+    for end in sorted(set(ends.values())):
+        some = both.where(F.col("source_file").isin(*(f for f, e in ends.items() if e == end)))
+        text = F.col("line")
+        if end == "mixed":
+            # Every line is written with CR; LF before it makes LF, CR of the line above a CRLF.
+            turn = F.pmod("row_index", F.lit(3))
+            text = F.when(turn == 0, F.concat(F.lit("\n"), text)).when(turn == 1, F.concat(text, F.lit("\n"))).otherwise(text)
+        ordered = some.withColumn("folder", F.col("source_file")).repartition("folder").sortWithinPartitions("folder", "row_index")
+        ordered.select("folder", text.alias("value")).write.mode("append").partitionBy("folder").option(
+            "lineSep", "\r" if end == "mixed" else end
+        ).text(path)

@@ -9,6 +9,10 @@ from __future__ import annotations
 from checks.leads import (
     DIRECT,
     JOB_EVENTS_SQL,
+    NOTE_SQL,
+    ODD_CELLS,
+    ODD_NAMES,
+    ODD_TARGETS,
     RAW_COLUMNS,
     feed_cells_sql,
     feed_headers_sql,
@@ -36,6 +40,11 @@ def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def _cell(x: str) -> str:
+    """A cell as the reader gives it: null for the tokens that mean so."""
+    return f"CASE WHEN {x} IN ({_quoted(NULL_TOKENS)}) THEN NULL ELSE {x} END"
+
+
 def strip(x: str) -> str:
     return f"coalesce(trim({x}, {_WS}), '')"
 
@@ -251,10 +260,16 @@ def _mapping_ctes() -> list[tuple[str, str]]:
             "SELECT source_file, j, unnest(json_keys(j, '$.mapping')) AS input_header, "
             "generate_subscripts(json_keys(j, '$.mapping'), 1) - 1 AS pos FROM replies WHERE reason IS NULL",
         ),
+        (
+            # A repeated key stands at its first place with its last value.
+            "firsts",
+            "SELECT source_file, input_header, min(pos) AS pos, any_value(json_extract(j, '$.mapping')::VARCHAR) AS pairs "
+            "FROM keyed GROUP BY ALL",
+        ),
         (
             "proposals",
-            "SELECT source_file, CAST(pos AS INT) AS pos, input_header, "
-            "json_extract_string(j, '$.mapping.\"' || input_header || '\"') AS target FROM keyed",
+            "SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY pos) - 1 AS INT) AS pos, input_header, "
+            "regexp_extract_all(pairs, '\"' || input_header || '\"\\s*:\\s*\"([^\"]*)\"', 1)[-1] AS target FROM firsts",
         ),
         (
             "checked",
@@ -358,39 +373,75 @@ def _profile_ctes() -> list[tuple[str, str]]:
     ]
 
 
-def _propose_sql() -> str:
+def _feed_profile_sql(body: str) -> str:
+    """Profile of the feeds' columns as CTE ``profile``, then ``body``."""
+    tests = ", ".join(f"count(*) FILTER ({t.format(c='v')}) AS {n}" for n, t in _TESTS.items())
+    names = [t for t in _TESTS]
+    shares = ", ".join(
+        f"CASE WHEN filled > 0 THEN {t} / filled ELSE 0.0 END AS {t}_share" for t in _TESTS if t != "filled"
+    )
+    zeros = ", ".join(f"coalesce({n}, 0) AS {n}" for n in (*names, "characters"))
+    return _with(
+        leads(),
+        ("feeds", feeds_sql()),
+        ("headers", feed_headers_sql()),
+        ("cells", feed_cells_sql(array="[{}]")),
+        (
+            "long",
+            f"SELECT source_file, pos, {strip('cell')} AS v FROM (SELECT source_file, unnest(cells) AS cell, "
+            "generate_subscripts(cells, 1) - 1 AS pos FROM cells)",
+        ),
+        ("measured", f"SELECT source_file, pos, {tests}, CAST(sum(length(v)) AS BIGINT) AS characters FROM long GROUP BY ALL"),
+        (
+            "counts",
+            f"SELECT h.source_file, CAST(h.pos AS BIGINT) AS pos, h.input_header, {zeros} FROM headers h "
+            "LEFT JOIN measured m ON m.source_file = h.source_file AND m.pos = h.pos",
+        ),
+        (
+            "profile",
+            f"SELECT *, CASE WHEN filled > 0 THEN characters / filled ELSE 0.0 END AS mean_length, {shares} FROM counts",
+        ),
+    ) + body
+
+
+def _propose_sql(feeds: bool = False) -> str:
     aliases = ", ".join(f"('{a}', '{t}')" for t, names in HEADER_ALIASES.items() for a in names)
     targets = ", ".join(f"('{t}', {i})" for i, t in enumerate(TARGET))
     looks = " UNION ALL ".join(
-        f"SELECT pos, '{target}' AS target, CAST(floor(100 * {test}_share) AS BIGINT) AS points FROM profile"
+        f"SELECT {'source_file, ' if feeds else ''}pos, '{target}' AS target, CAST(floor(100 * {test}_share) AS BIGINT) AS points FROM profile"
         for test, target in (
             ("email", "email"), ("phone", "phone_number"), ("linkedin", "linkedin_url"),
             ("url", "website"), ("long_text", "company_summary"),
         )
     )
     key = "regexp_replace(lower(input_header), '[^a-z0-9]', '', 'g')"
-    return _with(
-        *_profile_ctes(),
+    # One mapping of the whole table, or one for each file.
+    file = "source_file, " if feeds else ""
+    steps = [
         ("aliases", f"SELECT * FROM (VALUES {aliases}) AS t(h, target)"),
         ("targets", f"SELECT * FROM (VALUES {targets}) AS t(target, tpos)"),
         (
             "points",
-            f"SELECT pos, target, CAST(100 AS BIGINT) AS points FROM profile JOIN aliases ON h = {key} UNION ALL {looks}",
+            f"SELECT {file}pos, target, CAST(100 AS BIGINT) AS points FROM profile JOIN aliases ON h = {key} UNION ALL {looks}",
         ),
         (
             "scores",
-            "SELECT pos, target, tpos, CAST(sum(points) AS BIGINT) AS score FROM points JOIN targets USING (target) "
+            f"SELECT {file}pos, target, tpos, CAST(sum(points) AS BIGINT) AS score FROM points JOIN targets USING (target) "
             "GROUP BY ALL HAVING sum(points) >= 50",
         ),
         (
             "best",
-            "SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, pos, tpos) AS a, "
-            "row_number() OVER (PARTITION BY target ORDER BY score DESC, pos, tpos) AS b FROM scores",
+            f"SELECT *, row_number() OVER (PARTITION BY {file}pos ORDER BY score DESC, pos, tpos) AS a, "
+            f"row_number() OVER (PARTITION BY {file}target ORDER BY score DESC, pos, tpos) AS b FROM scores",
         ),
-    ) + (
-        "SELECT pos, input_header, target, 'direct' AS kind, score FROM best JOIN profile USING (pos) WHERE a = 1 AND b = 1 "
-        f"UNION ALL SELECT pos, input_header, 'split_names', 'split', 100 FROM profile WHERE {key} IN ({_quoted(SPLIT_HEADERS)})"
+    ]
+    chosen = (
+        f"SELECT {file}pos, input_header, target, 'direct' AS kind, score FROM best JOIN profile USING ({file}pos) WHERE a = 1 AND b = 1 "
+        f"UNION ALL SELECT {file}pos, input_header, 'split_names', 'split', 100 FROM profile WHERE {key} IN ({_quoted(SPLIT_HEADERS)})"
     )
+    if feeds:
+        return _feed_profile_sql(", " + ", ".join(f"{n} AS ({q})" for n, q in steps) + " " + chosen)
+    return _with(*_profile_ctes(), *steps) + chosen
 
 
 # -- jobs ------------------------------------------------------------------
@@ -448,6 +499,18 @@ def oracle_sql() -> dict[str, str]:
         f"CASE WHEN title IN ({_quoted(NULL_TOKENS)}) THEN NULL ELSE title END AS title, "
         f"CASE WHEN company IN ({_quoted(NULL_TOKENS)}) THEN NULL ELSE company END AS company FROM raw_leads",
         "row_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents",
+        "csv_line_ends": _with(leads(("email", "company"), True))
+        + f"SELECT source_file AS file, row_index AS lead_no, {_cell('note')} AS note, {_cell('email')} AS email, "
+        f"{_cell('company')} AS company FROM (SELECT *, {NOTE_SQL} AS note FROM raw_leads)",
+        "odd_headers": "SELECT * FROM (VALUES "
+        + ", ".join(f"({_quoted([f])}, {i}, {_quoted([h])})" for f, names in ODD_NAMES.items() for i, h in enumerate(names))
+        + ") AS t(file, pos, input_header)",
+        "odd_headers_mapped": _with(leads(ODD_CELLS, True))
+        + "SELECT source_file AS file, row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS row_index, "
+        + ", ".join(f"{_cell(c)} AS {t}" for c, t in zip(ODD_CELLS, ODD_TARGETS))
+        + f" FROM (SELECT *, {NOTE_SQL} AS note FROM raw_leads)",
+        "feed_profile": _feed_profile_sql("SELECT * FROM profile"),
+        "propose_feed_mapping": _propose_sql(feeds=True),
         "feed_headers": mapping + "SELECT source_file, pos, input_header FROM headers",
         "lead_json": base
         + "SELECT row_index, " + ", ".join(TARGET) + " FROM full_rows",

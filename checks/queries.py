@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import leads as fixture
 from checks.leads import DIRECT, RAW_COLUMNS, raw_leads, table
@@ -78,6 +78,51 @@ def csv_feeds(spark, sf_dir):
     return back.select(F.col("lead_no").cast("bigint").alias("row_index"), *RAW_COLUMNS)
 
 
+def _noted(spark, sf_dir, *columns) -> DataFrame:
+    rows = raw_leads(spark, sf_dir, columns, True)
+    return rows.withColumn("note", F.expr(fixture.NOTE_SQL))
+
+
+def _file_name() -> Column:
+    return F.regexp_extract(SOURCE_FILE, "folder=([^/]+)/", 1)
+
+
+def csv_line_ends(spark, sf_dir):
+    """Files that end their lines with LF, CR, CRLF or all of them, and break lines in cells."""
+    path = new_path(spark, "line_ends")
+    columns = ("lead_no", "note", "email", "company")
+    rows = _noted(spark, sf_dir, "email", "company").withColumn("lead_no", F.col("row_index").cast("string"))
+    fixture.write_lines(rows, {f: ",".join(columns) for f in fixture.LINE_ENDS}, columns, path, fixture.LINE_ENDS)
+    back = feeds.read_table(spark, path)
+    return back.select(
+        _file_name().alias("file"), F.col("lead_no").cast("bigint").alias("lead_no"), "note", "email", "company"
+    )
+
+
+def _odd_files(spark, sf_dir) -> feeds.Feeds:
+    path = new_path(spark, "odd_headers")
+    rows = _noted(spark, sf_dir, *fixture.ODD_CELLS)
+    fixture.write_lines(rows, fixture.ODD_HEADERS, fixture.ODD_CELLS, path)
+    return feeds.read_feeds(spark, path)
+
+
+def odd_headers(spark, sf_dir):
+    """Headers with any characters, equal but for case, or named like columns of ours."""
+    headers = _odd_files(spark, sf_dir).headers
+    return headers.select(_file_name().alias("file"), "pos", "input_header")
+
+
+def odd_headers_mapped(spark, sf_dir):
+    """Cells under odd headers, mapped by exact header text."""
+    read = _odd_files(spark, sf_dir)
+    pairs = [(f, i, h, t) for f, names in fixture.ODD_NAMES.items() for i, (h, t) in enumerate(zip(names, fixture.ODD_TARGETS))]
+    given = spark.createDataFrame(pairs, "file string, pos int, input_header string, target string")
+    table = read.headers.select(SOURCE_FILE, _file_name().alias("file")).distinct().join(given, "file")
+    positions = maps.cell_positions(read.headers, table.withColumn("kind", F.lit("direct")))
+    rows = maps.apply_mapping_table(read.rows, materialize(positions, "positions"))
+    return rows.select(_file_name().alias("file"), "row_index", *fixture.ODD_TARGETS)
+
+
 def _language_files(spark, sf_dir) -> str:
     """Documents as CSV files per language, French ones in Latin-1."""
     path = new_path(spark, "languages")
@@ -209,6 +254,20 @@ def column_profile(spark, sf_dir):
     return maps.column_profile(raw_leads(spark, sf_dir), RAW_COLUMNS, distinct=False)
 
 
+def _feed_profile(spark, sf_dir) -> DataFrame:
+    return maps.feed_profile(fixture.feed_cells(spark, sf_dir), fixture.feed_headers(spark, sf_dir))
+
+
+def feed_profile(spark, sf_dir):
+    """What each column of each feed looks like; the estimate of distinct cells is tested apart."""
+    return _feed_profile(spark, sf_dir).drop("sketch", "distinct")
+
+
+def propose_feed_mapping(spark, sf_dir):
+    """A mapping for each feed, from its own headers and cells."""
+    return maps.propose_mapping(materialize(_feed_profile(spark, sf_dir), "profile"))
+
+
 # -- scalar functions that need two columns --------------------------------
 
 
@@ -348,6 +407,9 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         "csv_roundtrip": csv_roundtrip,
         "csv_feeds": csv_feeds,
+        "csv_line_ends": csv_line_ends,
+        "odd_headers": odd_headers,
+        "odd_headers_mapped": odd_headers_mapped,
         "encoding_class": encoding_class,
         "encoding_fallback": encoding_fallback,
         "null_tokens": null_tokens,
@@ -376,6 +438,8 @@ def queries() -> dict[str, Query]:
         "clean_feeds": clean_feeds,
         "column_profile": column_profile,
         "propose_mapping": lambda s, d: maps.propose_mapping(column_profile(s, d)),
+        "feed_profile": feed_profile,
+        "propose_feed_mapping": propose_feed_mapping,
         # scalar functions
         "strip_blank": _field("title", L.strip, "title"),
         "normalize_name": _field("fname", L.normalize_name, "first_name"),

@@ -54,11 +54,25 @@ def _reply_text(reply: Column) -> Column:
     return L.strip(F.regexp_replace(text, "```$", ""))
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """A map read from JSON, whose keys may repeat: the first place of a key, its last value."""
+    entries = F.map_entries(pairs)
+    keys = F.map_keys(pairs)
+    once = F.transform(
+        F.array_distinct(keys),
+        lambda key: F.struct(
+            key.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"].alias("value")
+        ),
+    )
+    return F.map_from_entries(once)
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """``(source_file, parsed, reason)``; exactly one of the last two is null.
 
     JSON inside other text is accepted as well.  ``reason`` is
-    ``empty_response`` or ``invalid_json``.
+    ``empty_response`` or ``invalid_json``.  Of a repeated key the last value counts
+    (``tune`` lets the JSON parser accept them).
     """
     text = _reply_text(F.col("reply"))
     whole = F.try_parse_json(text)
@@ -71,11 +85,10 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return replies.select(
         SOURCE_FILE,
         F.struct(
-            F.coalesce(parsed["mapping"], F.create_map().cast("map<string,string>")).alias("mapping"),
-            F.coalesce(
-                parsed["split_fields"],
-                F.create_map().cast("map<string,string>"),
-            ).alias("split_fields"),
+            *(
+                F.coalesce(_last_of_each(parsed[name]), F.create_map().cast("map<string,string>")).alias(name)
+                for name in ("mapping", "split_fields")
+            ),
             F.coalesce(parsed["unmapped"], F.array().cast("array<string>")).alias("unmapped"),
         ).alias("parsed"),
         F.when(L.strip(F.col("reply")) == "", "empty_response")
@@ -153,6 +166,23 @@ def mapping_table(parsed: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
+def mapping_for(mapping: HeaderMapping, headers: DataFrame) -> DataFrame:
+    """One mapping for all files as a ``mapping_table``: headers that a file lacks are skipped."""
+    pairs = [*mapping.direct.items(), *((h, SPLIT_TARGET) for h in mapping.splits)]
+    rows = [(i, h, t, "direct" if i < len(mapping.direct) else "split") for i, (h, t) in enumerate(pairs)]
+    given = headers.sparkSession.createDataFrame(rows, "pos int, input_header string, target string, kind string")
+    return headers.select(SOURCE_FILE, "input_header").join(given, "input_header").select(
+        SOURCE_FILE, "pos", "input_header", "target", "kind"
+    )
+
+
+def unmapped_by(mapping: DataFrame, headers: DataFrame) -> DataFrame:
+    """``(source_file, input_header)`` of all headers that feed no target directly."""
+    return headers.select(SOURCE_FILE, "input_header").join(
+        mapping.where("kind = 'direct'"), [SOURCE_FILE, "input_header"], "left_anti"
+    )
+
+
 def mapping_of_files(mapping: DataFrame, unmapped: DataFrame) -> DataFrame:
     """One row per file: ``(source_file, mapping, unmapped_input_headers)``, as reports show them."""
     shown = F.when(
@@ -183,16 +213,21 @@ def apply_mapping(df: DataFrame, mapping: HeaderMapping, strict_titles: bool = F
     pairs and replace first and last name; the last mark wins.  An empty
     mapping gives an empty table.
     """
+    # Headers are data: they may hold any character, or differ in case only, so columns are
+    # taken by position.  Of equal names the first is meant.
+    names = df.columns
+    df = df.toDF(*(f"c{i}" for i in range(len(names))))
+    at = {name: F.col(f"c{i}") for i, name in reversed(list(enumerate(names)))}
     cells: dict[str, Column] = {c: F.lit(None) for c in TARGET}
     for header, target in mapping.direct.items():
-        if header in df.columns:
-            cells[target] = F.col(f"`{header}`")
-    split = [h for h in mapping.splits if h in df.columns]
+        if header in at:
+            cells[target] = at[header]
+    split = [h for h in mapping.splits if h in at]
     if split:
-        name = L.split_names(F.col(f"`{split[-1]}`"), strict_titles)
+        name = L.split_names(at[split[-1]], strict_titles)
         cells["first_name"], cells["last_name"] = name["first"], name["last"]
     mapped = df.select(
-        *identity_columns(df.columns), *(cells[c].cast("string").alias(c) for c in TARGET)
+        *(at[c].alias(c) for c in identity_columns(names)), *(cells[c].cast("string").alias(c) for c in TARGET)
     )
     return mapped if mapping.pairs else mapped.where(F.lit(False))
 
@@ -204,9 +239,9 @@ def cell_positions(headers: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     return located.groupBy(SOURCE_FILE).agg(
         *(
-            F.max(F.when((F.col("kind") == "direct") & (F.col("target") == t), F.col("pos"))).alias(
-                f"at_{t}"
-            )
+            F.max_by(
+                "pos", F.when((F.col("kind") == "direct") & (F.col("target") == t), F.col("reply_pos"))
+            ).alias(f"at_{t}")
             for t in TARGET
         ),
         F.max_by("pos", F.when(F.col("kind") == "split", F.col("reply_pos"))).alias("at_split"),
@@ -250,6 +285,35 @@ _LONG_TEXT = 200
 PROFILE_TESTS = ("email", "phone", "linkedin", "url", "two_words", "long_text")
 
 
+def _cell_tests(cell: Column) -> dict[str, Column]:
+    """A cheap test goes first and spares long cells the regular expression."""
+    return {
+        "filled": cell != "",
+        "email": F.contains(cell, F.lit("@")) & cell.rlike(_EMAIL_LIKE),
+        "phone": (F.octet_length(cell) <= _PHONE_LENGTH) & cell.rlike(_PHONE_LIKE),
+        "linkedin": F.contains(cell, F.lit("/"))
+        & F.contains(F.lower(cell), F.lit("linkedin.com/")),
+        "url": F.lower(F.substring(cell, 1, 8)).rlike(_URL_START)
+        & F.lower(cell).rlike(_URL_LIKE),
+        "two_words": cell.rlike(_TWO_WORDS),
+        "long_text": F.length(cell) > _LONG_TEXT,
+    }
+
+
+def _with_shares(profile: DataFrame) -> DataFrame:
+    shares = [
+        F.when(F.col("filled") > 0, F.col(t) / F.col("filled")).otherwise(0.0).alias(f"{t}_share")
+        for t in PROFILE_TESTS
+    ]
+    return profile.select(
+        "*",
+        F.when(F.col("filled") > 0, F.col("characters") / F.col("filled"))
+        .otherwise(0.0)
+        .alias("mean_length"),
+        *shares,
+    )
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], distinct: bool = True) -> DataFrame:
     """What the cells of each column look like: one row per column.
 
@@ -258,20 +322,8 @@ def column_profile(df: DataFrame, columns: Sequence[str], distinct: bool = True)
     """
     aggregates: list[Column] = []
     for i, name in enumerate(columns):
-        cell = L.strip(F.col(f"`{name}`"))
-        # A cheap test goes first and spares long cells the regular expression.
-        tests = {
-            "filled": cell != "",
-            "email": F.contains(cell, F.lit("@")) & cell.rlike(_EMAIL_LIKE),
-            "phone": (F.octet_length(cell) <= _PHONE_LENGTH) & cell.rlike(_PHONE_LIKE),
-            "linkedin": F.contains(cell, F.lit("/"))
-            & F.contains(F.lower(cell), F.lit("linkedin.com/")),
-            "url": F.lower(F.substring(cell, 1, 8)).rlike(_URL_START)
-            & F.lower(cell).rlike(_URL_LIKE),
-            "two_words": cell.rlike(_TWO_WORDS),
-            "long_text": F.length(cell) > _LONG_TEXT,
-        }
-        aggregates += [F.count_if(t).alias(f"{k}_{i}") for k, t in tests.items()]
+        cell = L.strip(F.col("`" + name.replace("`", "``") + "`"))
+        aggregates += [F.count_if(t).alias(f"{k}_{i}") for k, t in _cell_tests(cell).items()]
         aggregates.append(F.sum(F.length(cell)).alias(f"characters_{i}"))
         if distinct:
             aggregates.append(
@@ -288,17 +340,45 @@ def column_profile(df: DataFrame, columns: Sequence[str], distinct: bool = True)
             for i, name in enumerate(columns)
         )
     )
-    profile = df.agg(*aggregates).select(F.inline(entries))
-    shares = [
-        F.when(F.col("filled") > 0, F.col(t) / F.col("filled")).otherwise(0.0).alias(f"{t}_share")
-        for t in PROFILE_TESTS
-    ]
-    return profile.select(
-        "*",
-        F.when(F.col("filled") > 0, F.col("characters") / F.col("filled"))
-        .otherwise(0.0)
-        .alias("mean_length"),
-        *shares,
+    return _with_shares(df.agg(*aggregates).select(F.inline(entries)))
+
+
+def feed_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """What the cells of each column of each file look like: one row per file and header.
+
+    ``rows`` hold ``cells`` by position, so files of any layout are measured in one aggregate
+    over ``(source_file, pos)``, combined in map tasks.  ``sketch`` is a HyperLogLog sketch of
+    the filled cells, ``distinct`` its estimate; sketches of several runs or files merge
+    (``merge_profiles``).  Headers without any row have zeros.
+    """
+    cells = rows.select(SOURCE_FILE, F.posexplode("cells").alias("pos", "cell")).withColumn(
+        "cell", L.strip(F.col("cell"))
+    )
+    counts = [F.count_if(t).alias(k) for k, t in _cell_tests(F.col("cell")).items()]
+    measured = cells.groupBy(SOURCE_FILE, "pos").agg(
+        *counts,
+        F.sum(F.length("cell")).cast("bigint").alias("characters"),
+        F.hll_sketch_agg(F.when(F.col("cell") != "", F.col("cell"))).alias("sketch"),
+    )
+    return _profile(headers.select(SOURCE_FILE, "pos", "input_header").join(measured, [SOURCE_FILE, "pos"], "left"))
+
+
+def _profile(measured: DataFrame) -> DataFrame:
+    whole = measured.select(
+        *(c for c in measured.columns if c in (SOURCE_FILE, "input_header")),
+        F.col("pos").cast("bigint").alias("pos"),
+        *(F.coalesce(m, F.lit(0)).cast("bigint").alias(m) for m in ("filled", *PROFILE_TESTS, "characters")),
+        F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("distinct"),
+        "sketch",
+    )
+    return _with_shares(whole)
+
+
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles of several files as one per header name, whatever its place: counts add, sketches merge."""
+    sums = [F.sum(m).alias(m) for m in ("filled", *PROFILE_TESTS, "characters")]
+    return _profile(
+        profiles.groupBy("input_header").agg(F.min("pos").alias("pos"), *sums, F.hll_union_agg("sketch").alias("sketch"))
     )
 
 
@@ -313,8 +393,10 @@ def propose_mapping(profile: DataFrame) -> DataFrame:
     known header name, up to 100 for the share of cells that look right; pairs
     from 50 points that are best for both the header and the target are kept,
     ties going to the earlier header and target.  Headers of whole names become
-    split marks.  Returns ``(pos, input_header, target, kind, score)``.
+    split marks.  Returns ``(pos, input_header, target, kind, score)``; a profile of
+    several files (``feed_profile``) gives a mapping for each, with ``source_file``.
     """
+    file = [c for c in profile.columns if c == SOURCE_FILE]
     key = _header_key(F.col("input_header"))
     aliases = F.create_map(
         *(
@@ -325,10 +407,11 @@ def propose_mapping(profile: DataFrame) -> DataFrame:
         )
     )
     alias_hits = profile.select(
-        "pos", "input_header", F.try_element_at(aliases, key).alias("target"),
+        *file, "pos", "input_header", F.try_element_at(aliases, key).alias("target"),
         F.lit(100).cast("bigint").alias("points"),
     ).where("target IS NOT NULL")
     looks = profile.select(
+        *file,
         "pos",
         "input_header",
         F.inline(
@@ -344,20 +427,21 @@ def propose_mapping(profile: DataFrame) -> DataFrame:
         ),
     )
     target_pos = F.array_position(F.array(*(F.lit(t) for t in TARGET)), F.col("target"))
-    by_header = Window.partitionBy("pos").orderBy(F.desc("score"), "pos", "target_pos")
-    by_target = Window.partitionBy("target").orderBy(F.desc("score"), "pos", "target_pos")
+    by_header = Window.partitionBy(*file, "pos").orderBy(F.desc("score"), "pos", "target_pos")
+    by_target = Window.partitionBy(*file, "target").orderBy(F.desc("score"), "pos", "target_pos")
     direct = (
         alias_hits.unionByName(looks)
-        .groupBy("pos", "input_header", "target")
+        .groupBy(*file, "pos", "input_header", "target")
         .agg(F.sum("points").alias("score"))
         .where("score >= 50")
         .withColumn("target_pos", target_pos)
         .withColumn("header_rank", F.row_number().over(by_header))
         .withColumn("target_rank", F.row_number().over(by_target))
         .where("header_rank = 1 AND target_rank = 1")
-        .select("pos", "input_header", "target", F.lit("direct").alias("kind"), "score")
+        .select(*file, "pos", "input_header", "target", F.lit("direct").alias("kind"), "score")
     )
     split = profile.where(key.isin(*SPLIT_HEADERS)).select(
+        *file,
         "pos",
         "input_header",
         F.lit(SPLIT_TARGET).alias("target"),

@@ -13,20 +13,21 @@ from leadloom.operators.mapping import (
     HeaderMapping,
     apply_mapping_table,
     cell_positions,
-    collect_mapping,
-    column_profile,
+    feed_profile,
+    mapping_for,
     mapping_of_files,
     mapping_table,
     parse_replies,
     propose_mapping,
+    unmapped_by,
     unmapped_headers,
     validate_mapping,
     proposals,
 )
 from leadloom.operators.report import drops, input_info, report, report_drops, stats
-from leadloom.plans.pipeline import CleanOptions, finish, normalized_rows
+from leadloom.plans.pipeline import CleanOptions, finish
 from leadloom.schema import DETAILS_UNMAPPED, REASON_UNMAPPED, ROW_INDEX, SOURCE_FILE
-from leadloom.sources.feeds import Feeds, as_table, read_feeds
+from leadloom.sources.feeds import Feeds, read_feeds
 from leadloom.sources.scratch import materialize
 from leadloom.sources.sinks import write_clean_csv, write_report
 
@@ -41,6 +42,7 @@ class RunPaths:
     metrics: str
     rejects: str
     report_drops: str
+    unread: str
 
 
 class _Phases:
@@ -59,11 +61,23 @@ class _Phases:
         return {**self.ms, "total": int((time.monotonic() - self.started) * 1000)}
 
 
+def _why_unmapped(unmapped: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """Ledger rows of files without a mapping; a reply that could not be read says why."""
+    if replies is None:
+        details = F.lit(DETAILS_UNMAPPED)
+    else:
+        bad = replies.where("reason IS NOT NULL").select(SOURCE_FILE, F.col("reason").alias("why"))
+        unmapped = unmapped.join(bad, SOURCE_FILE, "left")
+        details = F.concat_ws(": ", F.lit(DETAILS_UNMAPPED), "why")
+    return unmapped.select(SOURCE_FILE, ROW_INDEX, F.lit(REASON_UNMAPPED).alias("reason"), details.alias("details"))
+
+
 def _outputs(
     spark: SparkSession,
     normalized: DataFrame,
     feeds: Feeds,
     mapped: DataFrame,
+    replies: DataFrame | None,
     mapping: HeaderMapping | DataFrame,
     options: CleanOptions,
     output: str,
@@ -71,7 +85,7 @@ def _outputs(
     correlation_id: str,
     ordered: bool,
 ) -> RunPaths:
-    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics", "rejects", "report_drops")))
+    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics", "rejects", "report_drops", "unread")))
     # Regular expressions run once; every output below starts from this table.
     landed = materialize(normalized, "normalized")
     phases.end("normalize")
@@ -79,6 +93,7 @@ def _outputs(
     write_clean_csv(clean, paths.clean, ordered)
     feeds.rejects.write.parquet(paths.rejects)
     rejects = spark.read.schema(feeds.rejects.schema).parquet(paths.rejects)
+    feeds.unread.write.parquet(paths.unread)
     # Every row of every file is in the output, dropped, without a mapping or a reject.
     unmapped = materialize(
         feeds.rows.select(SOURCE_FILE, ROW_INDEX).join(
@@ -89,7 +104,7 @@ def _outputs(
         drops(landed, options.one_contact_per_company, options.word_match)
         .unionByName(rejects.drop("record"))
         .unionByName(
-            unmapped.withColumn("reason", F.lit(REASON_UNMAPPED)).withColumn("details", F.lit(DETAILS_UNMAPPED))
+            _why_unmapped(unmapped, replies)
         )
     )
     ledger.write.parquet(paths.drops)
@@ -126,29 +141,54 @@ def run(
     correlation_id: str = "",
     ordered: bool = True,
 ) -> RunPaths:
-    """Clean files that share one header line.
+    """Clean files of any headers.
 
     Rows that cannot be read are in the rejects, with their raw text, and in the ledger; a
-    file that cannot be read counts as one row.
-    Without a mapping, one is proposed from the headers and the cells.
+    file that cannot be read counts as one row, its lines are in ``unread``.
+    ``mapping`` holds for every file; without one, each file gets its own, proposed from its
+    headers and cells.
     ``ordered=False`` spares very large outputs the sort of the whole table.
     """
     phases = _Phases()
-    feeds = read_feeds(spark, inputs)
-    table = as_table(feeds)
+    feeds = read_feeds(spark, inputs, land=True)
+    headers = materialize(feeds.headers, "feed_headers")
     phases.end("download")
-    headers = [c for c in table.columns if c not in (SOURCE_FILE, "row_index")]
-    if mapping is None and not headers:
-        mapping = HeaderMapping()
-    elif mapping is None:
-        found = collect_mapping(propose_mapping(column_profile(table, headers, distinct=False)))
-        left = [h for h in headers if h not in found.direct]
-        mapping = HeaderMapping(found.direct, found.splits, left)
+    if mapping is None:
+        table = propose_mapping(feed_profile(feeds.rows, headers))
+    else:
+        table = mapping_for(mapping, headers)
+    table = materialize(table, "mapping")
+    table.write.parquet(f"{output}/mapping")
+    left = unmapped_by(table, headers)
+    return _mapped_run(
+        spark, feeds, headers, table, left, mapping, None, options, output, phases, correlation_id, ordered
+    )
+
+
+def _mapped_run(
+    spark: SparkSession,
+    feeds: Feeds,
+    headers: DataFrame,
+    table: DataFrame,
+    left: DataFrame,
+    mapping: HeaderMapping | None,
+    replies: DataFrame | None,
+    options: CleanOptions,
+    output: str,
+    phases: _Phases,
+    correlation_id: str,
+    ordered: bool,
+) -> RunPaths:
+    """The run from a ``mapping_table`` on; cells are taken by position, whatever headers are called."""
+    left = materialize(left, "unmapped")
+    left.write.parquet(f"{output}/unmapped")
     phases.end("llm")
-    mapped = feeds.headers if mapping.pairs else feeds.headers.where(F.lit(False))
+    positions = materialize(cell_positions(headers, table), "positions")
+    rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
     return _outputs(
-        spark, normalized_rows(table, mapping, options), feeds, mapped, mapping, options, output,
-        phases, correlation_id, ordered,
+        spark, normalize_fields(rows, options.allow_schemeless), feeds, positions, replies,
+        mapping if mapping is not None else mapping_of_files(table, left), options, output, phases,
+        correlation_id, ordered,
     )
 
 
@@ -163,21 +203,14 @@ def run_feeds(
 ) -> tuple[RunPaths, Feeds]:
     """Clean files with different headers, each mapped by its reply."""
     phases = _Phases()
-    feeds = read_feeds(spark, inputs)
+    feeds = read_feeds(spark, inputs, land=True)
     headers = materialize(feeds.headers, "feed_headers")
     phases.end("download")
     parsed = materialize(parse_replies(replies), "parsed_replies")
     table = materialize(mapping_table(parsed, headers), "mapping")
     table.write.parquet(f"{output}/mapping")
-    unmapped = materialize(
-        unmapped_headers(parsed, headers, validate_mapping(proposals(parsed), headers)), "unmapped"
-    )
-    unmapped.write.parquet(f"{output}/unmapped")
-    phases.end("llm")
-    positions = materialize(cell_positions(headers, table), "positions")
-    rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
-    paths = _outputs(
-        spark, normalize_fields(rows, options.allow_schemeless), feeds, positions,
-        mapping_of_files(table, unmapped), options, output, phases, correlation_id, ordered,
+    left = unmapped_headers(parsed, headers, validate_mapping(proposals(parsed), headers))
+    paths = _mapped_run(
+        spark, feeds, headers, table, left, None, parsed, options, output, phases, correlation_id, ordered
     )
     return paths, feeds

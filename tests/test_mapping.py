@@ -19,6 +19,7 @@ REPLIES = {
     "wrong": '{"mapping": {"Mial": "email", "Mail": "e-mail", "Org": "email", "Other": "email"}}',
     "splits": '{"split_fields": {"Name": {"first_name": "x"}, "Nope": {}}, "unmapped": ["Zzz"]}',
     "object": "{}",
+    "twice": '{"mapping": {"Mail": "website", "Org": "company_name", "Mail": "email"}, "split_fields": {"Name": 1, "Name": 2}, "mapping": {"Org": "email", "Mail": "email", "Org": "website"}}',
 }
 
 
@@ -57,6 +58,12 @@ def test_mapping_table(parsed, headers):
     assert got["prose"] == {("Org", "company_name", "direct")}
     assert got["splits"] == {("Name", "split_names", "split")}
     assert "object" not in got and "text" not in got
+    assert got["twice"] == {("Mail", "email", "direct"), ("Org", "website", "direct"), ("Name", "split_names", "split")}
+
+
+def test_a_repeated_key_keeps_its_first_place(parsed):
+    rows = M.proposals(parsed).where("source_file = 'twice'").orderBy("pos").collect()
+    assert [(r["pos"], r["input_header"], r["target"]) for r in rows] == [(0, "Org", "website"), (1, "Mail", "email")]
 
 
 def test_unmapped(parsed, headers):
@@ -102,3 +109,31 @@ def test_profile_and_proposal(spark):
     found = M.collect_mapping(M.propose_mapping(profile))
     assert found.direct == {"c2": "email", "Profile": "linkedin_url", "About Us": "company_summary", "Tel.": "phone_number"}
     assert list(found.splits) == ["Primary Contact"]
+
+
+def test_headers_are_exact_text(spark):
+    """Names with backticks and dots, and names that differ in case only."""
+    names = ["row_index", "Email", "email", "a`b", "meta.url", "SOURCE_FILE"]
+    df = spark.createDataFrame([(3, "x@y.zz", "t@u.vv", "Ann", "Acme", "f")], "a int, b string, c string, d string, e string, f string").toDF(*names)
+    mapping = M.HeaderMapping({"email": "email", "Email": "website", "a`b": "first_name", "meta.url": "company_name", "SOURCE_FILE": "sources"})
+    row = M.apply_mapping(df, mapping).first().asDict()
+    assert (row["row_index"], row["email"], row["website"], row["first_name"], row["company_name"], row["sources"]) == (
+        3, "t@u.vv", "x@y.zz", "Ann", "Acme", "f")
+    assert list(row) == ["row_index", *TARGET]
+
+
+def test_profiles_of_files_merge(spark):
+    headers = spark.createDataFrame([("f", 0, "Mail"), ("f", 1, "N"), ("g", 0, "N"), ("g", 1, "Mail"), ("h", 0, "Mail")], "source_file string, pos int, input_header string")
+    rows = [("f", i, [f"a{i % 50}@x.co", None]) for i in range(100)] + [("g", i, [" n ", f"a{i}@x.co"]) for i in range(80)]
+    cells = spark.createDataFrame(rows, "source_file string, row_index int, cells array<string>")
+    profile = M.feed_profile(cells, headers)
+    got = {(r["source_file"], r["pos"]): r for r in profile.collect()}
+    assert got["f", 0]["filled"] == got["f", 0]["email"] == 100 and abs(got["f", 0]["distinct"] - 50) <= 1
+    assert got["f", 1]["filled"] == got["f", 1]["distinct"] == 0 and got["g", 0]["distinct"] == 1
+    assert got["h", 0]["filled"] == 0 and got["h", 0]["email_share"] == 0.0
+    merged = {r["input_header"]: r for r in M.merge_profiles(profile).collect()}
+    assert merged["Mail"]["filled"] == 180 and abs(merged["Mail"]["distinct"] - 80) <= 2
+    assert merged["N"]["filled"] == 80 and merged["N"]["characters"] == 80
+    found = {(r["source_file"], r["input_header"], r["target"]) for r in M.propose_mapping(profile).collect()}
+    # A header name alone is enough; a file without rows has that.
+    assert found == {("f", "Mail", "email"), ("g", "Mail", "email"), ("h", "Mail", "email")}

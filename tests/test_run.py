@@ -58,9 +58,42 @@ def test_run_of_files_with_different_headers(spark, tmp_path):
     seen = {r["input"]["source_file"][-5:]: r for r in reports}
     assert seen["b.csv"]["mapping"] == {"Tel": "phone_number", "Who__SPLIT__": "split_names"}
     assert seen["b.csv"]["unmapped_input_headers"] == ["Mail", "Who"]
+    why = {r["details"] for r in spark.read.parquet(paths.drops).where("reason = 'no_mapping'").collect()}
+    assert why == {"No usable header mapping for the file: invalid_json"}
     assert seen["c.csv"]["drop_counts"] == {"no_mapping": 1} and seen["c.csv"]["stats"]["output_rows"] == 0
 
 
+def test_run_proposes_a_mapping_for_each_layout(spark, tmp_path):
+    """Files of two layouts, with headers that differ in case only or are named like columns of ours."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Email,email,row_index,a`b\nann@x.co,,7,q\n,,8,\n")
+    (tmp_path / "in" / "b.csv").write_text("source_file,Org,Tel,Full Name\nz,Acme,4155552671,Bo Ray\n")
+    paths = run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    clean = spark.read.options(header=True).csv(paths.clean)
+    got = {(r["email"], r["company_name"], r["phone_number"], r["last_name"]) for r in clean.collect()}
+    # "Org" is no name that the rule knows.
+    assert got == {("ann@x.co", None, None, None), (None, None, "+14155552671", "Ray")}
+    table = {(r["source_file"][-5:], r["input_header"], r["target"]) for r in spark.read.parquet(f"{tmp_path}/out/mapping").collect()}
+    assert table == {("a.csv", "Email", "email"), ("b.csv", "Tel", "phone_number"), ("b.csv", "Full Name", "split_names")}
+    left = {(r["source_file"][-5:], r["input_header"]) for r in spark.read.parquet(f"{tmp_path}/out/unmapped").collect()}
+    assert left == {("a.csv", "email"), ("a.csv", "row_index"), ("a.csv", "a`b"), ("b.csv", "source_file"), ("b.csv", "Org"), ("b.csv", "Full Name")}
+    drops = {(r["source_file"][-5:], r["row_index"], r["reason"]) for r in spark.read.parquet(paths.drops).collect()}
+    assert drops == {("a.csv", 1, "empty_row")}
+
+
+def test_run_with_one_mapping_for_two_layouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Mail,`Org.x\nann@x.co,Acme\n")
+    (tmp_path / "in" / "b.csv").write_text("n,`Org.x,Who\n1,Beta,Bo Ray\n")
+    (tmp_path / "in" / "c.csv").write_text("n,m\n1,2\n")
+    mapping = HeaderMapping({"Mail": "email", "`Org.x": "company_name"}, ["Who"])
+    paths = run(spark, str(tmp_path / "in"), str(tmp_path / "out"), mapping)
+    clean = spark.read.options(header=True).csv(paths.clean)
+    assert {(r["email"], r["company_name"], r["last_name"]) for r in clean.collect()} == {("ann@x.co", "Acme", None), (None, "Beta", "Ray")}
+    drops = {(r["source_file"][-5:], r["reason"]) for r in spark.read.parquet(paths.drops).collect()}
+    assert drops == {("c.csv", "no_mapping")}
+
+
 def test_run_loses_no_row(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("Mail,Org\nann@x.co,Acme\nbo@x.co,B,extra\n,\n")
@@ -87,6 +120,8 @@ def test_run_of_an_unclosed_file_only(spark, tmp_path):
     (tmp_path / "in" / "open.csv").write_text('Mail,Org\nann@x.co,"Acme\n')
     paths = run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert [r["reason"] for r in spark.read.parquet(paths.drops).collect()] == ["unterminated_quote"]
+    unread = spark.read.parquet(paths.unread).orderBy("block_start", "line").collect()
+    assert [r["text"] for r in unread] == ["Mail,Org", 'ann@x.co,"Acme']
 
 
 def test_jobs(spark):
