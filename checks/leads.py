@@ -168,6 +168,10 @@ ODD_NAMES = {
 }
 ODD_TARGETS = ("email", "company_name", "phone_number", "job_title", "company_summary")
 
+#: Columns of the files that whole runs read; every 101st row has a cell too many.
+RUN_CELLS = tuple(c for c in DIRECT if c != "about")
+BAD_ROW_SQL = "row_index % 101 = 3"
+
 #: File -> line end; ``mixed`` takes LF, CR and CRLF in turn.
 LINE_ENDS = {"1-urgent.csv": "\n", "2-high.csv": "\r", "3-medium.csv": "\r\n", "4-not_specified.csv": "\r", "5-low.csv": "mixed"}
 
@@ -246,12 +250,15 @@ JOB_EVENTS_SQL = """SELECT user_id AS job_id, ts, event_id,
  FROM events"""
 
 
-def write_lines(rows: DataFrame, headers: dict[str, str], columns, path: str, ends: dict[str, str] | None = None) -> None:
+def write_lines(
+    rows: DataFrame, headers: dict[str, str], columns, path: str, ends: dict[str, str] | None = None, tail: str = "''"
+) -> None:
     """One CSV file per ``source_file``, its header line first, with its own line end.
 
     Text files are written with one line end each, so files of different ones take several writes.
     """
-    lines = rows.select("source_file", "row_index", csv_line(columns).alias("line"))
+    line = F.concat(csv_line(columns), F.expr(tail))
+    lines = rows.select("source_file", "row_index", line.alias("line"))
     firsts = rows.sparkSession.createDataFrame([(f, -1, h) for f, h in headers.items()], "source_file string, row_index bigint, line string")
     both = lines.unionByName(firsts)
     ends = ends or {f: "\n" for f in headers}

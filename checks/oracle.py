@@ -7,6 +7,7 @@ uses one regular expression, and the other way round.
 from __future__ import annotations
 
 from checks.leads import (
+    BAD_ROW_SQL,
     DIRECT,
     JOB_EVENTS_SQL,
     NOTE_SQL,
@@ -14,6 +15,7 @@ from checks.leads import (
     ODD_NAMES,
     ODD_TARGETS,
     RAW_COLUMNS,
+    RUN_CELLS,
     feed_cells_sql,
     feed_headers_sql,
     feeds_sql,
@@ -335,6 +337,78 @@ def _feed_rows() -> list[tuple[str, str]]:
     ]
 
 
+# -- reports ---------------------------------------------------------------
+
+_FILE_DROPS = (
+    "file_drops",
+    "SELECT source_file, row_index, 'empty_row' AS reason, 'All target fields are empty' AS details "
+    f"FROM norm WHERE NOT ({_ANY}) UNION ALL SELECT source_file, row_index, 'duplicate_contact', "
+    "'Duplicate contact for company: ' || company_key FROM ranked WHERE rk > 1",
+)
+
+
+def _report_ctes(
+    source: str = "raw_leads", cells=tuple(DIRECT), unmapped: str = "full_name", correlation: str = "", drops: bool = True,
+    file_type: str = "csv",
+) -> str:
+    """``reports``: every field of the reports but their times, behind CTEs ``ranked`` and ``norm``."""
+    pairs = ",".join(f"{c}={DIRECT[c]}" for c in sorted(cells))
+    ctes = [_FILE_DROPS] if drops else []
+    ratio = lambda cond: f"coalesce(count(*) FILTER ({cond}) / nullif(count(*), 0), 0.0)"
+    ctes += [
+        ("files", f"SELECT source_file, count(*) AS rows FROM {source} GROUP BY source_file"),
+        (
+            "outputs",
+            f"SELECT source_file, count(*) AS output_rows, {ratio('contains(email, chr(64))')} AS valid_email_ratio, "
+            f"{ratio('length(linkedin_url) > 0')} AS linkedin_ratio, {ratio('length(phone_number) > 0')} AS phone_ratio, "
+            f"{ratio('length(company_name) > 0')} AS company_ratio FROM ranked WHERE rk = 1 GROUP BY source_file",
+        ),
+        ("paged", "SELECT *, row_index // 1000 AS page, min(row_index // 1000) OVER (PARTITION BY source_file) AS first_page FROM file_drops"),
+        (
+            "pages",
+            "SELECT source_file, count(DISTINCT page) AS drop_pages, md5(string_agg(row_index || ':' || reason || ':' || details, ',' "
+            "ORDER BY row_index, reason, details) FILTER (page = first_page)) AS first_drops FROM paged GROUP BY source_file",
+        ),
+        (
+            "reasons",
+            "SELECT source_file, string_agg(reason || '=' || n, ',' ORDER BY reason) AS drop_counts FROM "
+            "(SELECT source_file, reason, count(*) AS n FROM file_drops GROUP BY ALL) GROUP BY source_file",
+        ),
+        (
+            "reports",
+            f"SELECT source_file, rows, '{file_type}' AS file_type, '{pairs}' AS mapping, '{unmapped}' AS unmapped, "
+            "coalesce(first_drops, md5('')) AS first_drops, coalesce(drop_pages, 0) AS drop_pages, coalesce(drop_counts, '') AS drop_counts, "
+            "valid_email_ratio, linkedin_ratio, phone_ratio, company_ratio, rows AS total_rows, output_rows, "
+            f"rows - output_rows AS dropped_rows, '1.0.0' AS version, '{correlation}' AS correlation_id, CAST(NULL AS VARCHAR) AS error "
+            "FROM files JOIN outputs USING (source_file) LEFT JOIN pages USING (source_file) LEFT JOIN reasons USING (source_file)",
+        ),
+    ]
+    return ",\n".join(f"{n} AS ({sql})" for n, sql in ctes) + "\n"
+
+
+def _run_sql() -> str:
+    """CTEs of a whole run over files in which some rows have a cell too many."""
+    mapped = [c for c in RUN_CELLS if c != "src"]
+    cells = {DIRECT[c]: DIRECT[c] for c in mapped}
+    good, bad = _FILE_DROPS
+    return _with(
+        leads(RUN_CELLS, True),
+        (
+            "all_rows",
+            "SELECT source_file, row_index AS lead_no, row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS row_index, "
+            f"{BAD_ROW_SQL} AS bad, " + ", ".join(f"{_cell(c)} AS {DIRECT[c]}" for c in mapped) + " FROM raw_leads",
+        ),
+        ("mapped", "SELECT * FROM all_rows WHERE NOT bad"),
+        *_normalized("mapped", {t: cells.get(t, "''") for t in TARGET}, "source_file, row_index"),
+        *_scored("source_file, "),
+        (
+            good,
+            bad + " UNION ALL SELECT source_file, row_index, 'bad_row', "
+            f"'Expected {len(RUN_CELLS)} cells, saw {len(RUN_CELLS) + 1}' FROM all_rows WHERE bad",
+        ),
+    )
+
+
 # -- profile ---------------------------------------------------------------
 
 _TESTS = {
@@ -525,10 +599,16 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(floor(before / {PAYLOAD_LIMIT_BYTES}) AS BIGINT) AS batch_id FROM t",
         "lead_envelope": by_file.rstrip()
         + f", {sized[0]} AS ({sized[1]}), t AS (SELECT *, coalesce(sum(csv_bytes) OVER (PARTITION BY source_file "
-        "ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized) "
-        f"SELECT source_file, CAST(floor(before / {PAYLOAD_LIMIT_BYTES}) AS BIGINT) AS batch_id, count(*) AS row_count, "
-        "CAST(sum(csv_bytes) AS BIGINT) AS csv_bytes, "
-        "'success' AS status FROM t GROUP BY ALL",
+        "ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized), "
+        f"lines AS (SELECT t.source_file, t.row_index, csv_bytes, CAST(floor(before / {PAYLOAD_LIMIT_BYTES}) AS BIGINT) AS batch_id, "
+        f"{_LINE} AS line, concat_ws('|', {TARGET_LIST}) AS lead FROM t JOIN full_rows f ON f.source_file = t.source_file AND f.row_index = t.row_index), "
+        + _report_ctes()
+        + "SELECT l.source_file, batch_id, count(*) AS row_count, CAST(sum(csv_bytes) AS BIGINT) AS csv_bytes, "
+        f"md5('{','.join(TARGET)}' || chr(10) || string_agg(line || chr(10), '' ORDER BY row_index)) AS csv_md5, "
+        "md5(string_agg(lead, chr(10) ORDER BY row_index)) AS leads_md5, 'success' AS status, true AS same_count, "
+        "any_value(mapping) AS mapped, any_value(unmapped) AS unmapped, any_value(output_rows) AS output_rows, "
+        "any_value(drop_counts) AS drop_counts, 'run-7' AS correlation_id "
+        "FROM lines l JOIN reports r ON r.source_file = l.source_file GROUP BY l.source_file, batch_id",
         "csv_preview": base
         + f"SELECT substr('{','.join(TARGET)}' || chr(10) || string_agg(({_LINE}) || chr(10), '' ORDER BY row_index), 1, 500) "
         "|| '...' AS csv_preview FROM full_rows",
@@ -610,12 +690,15 @@ def oracle_sql() -> dict[str, str]:
         "parse_summary": with_drops
         + "SELECT total_rows AS input_rows, output_rows, dropped_rows, valid_email_ratio AS valid_emails, "
         f"linkedin_ratio AS linkedin_profiles, phone_ratio AS phones, company_ratio AS companies FROM ({_stats()})",
-        "report": by_file
-        + "SELECT r.source_file, r.rows, o.output_rows, r.rows - o.output_rows AS dropped_rows, "
-        "o.emails / o.output_rows AS valid_email_ratio, 10 AS mapped_headers FROM "
-        "(SELECT source_file, count(*) AS rows FROM raw_leads GROUP BY source_file) r JOIN "
-        "(SELECT source_file, count(*) AS output_rows, count(*) FILTER (contains(email, '@')) AS emails "
-        "FROM ranked WHERE rk = 1 GROUP BY source_file) o ON o.source_file = r.source_file",
+        "report": by_file.rstrip() + ", " + _report_ctes() + "SELECT * FROM reports",
+        "run_ledger": _run_sql() + "SELECT source_file AS file, row_index, reason, details FROM file_drops",
+        # The files of this run are written as text, so their names do not end with .csv.
+        "run_report": _run_sql().rstrip() + ", "
+        + _report_ctes("all_rows", tuple(c for c in RUN_CELLS if c != "src"), "", "run-7", drops=False, file_type="unsupported")
+        + "SELECT * FROM reports",
+        "run_metrics": _run_sql()
+        + "SELECT 'normalize' AS phase, count(*) AS rows FROM norm UNION ALL "
+        "SELECT 'write', count(*) FROM ranked WHERE rk = 1",
         "clean_leads": base + clean,
         "clean_leads_split": _with(*chain(split=True)) + clean,
         "clean_leads_dedup": base + dedup,
@@ -635,4 +718,20 @@ def oracle_sql() -> dict[str, str]:
         "stream_clean": base + clean,
         "stream_best_contact": base + dedup,
         "stream_job_state": jobs + "SELECT * FROM jobs",
+        "stream_feeds": _with(
+            leads(ODD_CELLS, True),
+            (
+                "mapped",
+                "SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY row_index) - 1 AS row_index, "
+                + ", ".join(f"{_cell(c)} AS {t}" for c, t in zip(ODD_CELLS, ODD_TARGETS))
+                + f" FROM (SELECT *, {NOTE_SQL} AS note FROM raw_leads)",
+            ),
+            *_normalized("mapped", {t: t if t in ODD_TARGETS else "''" for t in TARGET}, "source_file, row_index"),
+        )
+        + f"SELECT source_file AS file, row_index, {TARGET_LIST} FROM norm WHERE {_ANY}",
+        "stream_drops": with_drops + "SELECT * FROM drops",
+        "stream_drops_duplicate": with_drops + "SELECT * FROM drops WHERE reason = 'duplicate_contact'",
+        "stream_job_retention": jobs
+        + "SELECT * FROM jobs WHERE NOT (status IN ('completed', 'failed') AND "
+        "updated_at < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS)",
     }

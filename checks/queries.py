@@ -12,6 +12,7 @@ from leadloom import functions as L
 from leadloom.operators import cleaning, dedup, extract, jobs, mapping as maps, report as reports
 from leadloom.operators.mapping import HeaderMapping
 from leadloom.plans.pipeline import CleanOptions, clean, clean_leads, filled_rows, finish
+from leadloom.plans.run import RunPaths, run
 from leadloom.schema import SOURCE_FILE, TARGET
 from leadloom.sources import feeds, sinks
 from leadloom.sources.scratch import materialize, new_path
@@ -186,33 +187,89 @@ def _report(spark, sf_dir) -> DataFrame:
     )
 
 
-def report(spark, sf_dir):
-    """The nested report, flattened where the oracle can state it."""
-    return _report(spark, sf_dir).select(
-        SOURCE_FILE,
-        "input.rows",
-        "stats.output_rows",
-        "stats.dropped_rows",
-        "stats.valid_email_ratio",
-        F.size("mapping").alias("mapped_headers"),
+def _pairs(column: str) -> Column:
+    """A map as text, by key."""
+    entries = F.array_sort(F.map_entries(column))
+    return F.concat_ws(",", F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+
+
+def _flat(reports: DataFrame, file: Column) -> DataFrame:
+    """All fields of reports but the times."""
+    drops = F.transform("drops", lambda d: F.concat_ws(":", d["row_index"], d["reason"], d["details"]))
+    return reports.select(
+        file.alias(SOURCE_FILE), "input.rows", "input.file_type",
+        _pairs("mapping").alias("mapping"),
+        F.concat_ws(",", "unmapped_input_headers").alias("unmapped"),
+        F.md5(F.concat_ws(",", drops).cast("binary")).alias("first_drops"),
+        "drop_pages", _pairs("drop_counts").alias("drop_counts"), "stats.*", "version", "correlation_id", "error",
     )
 
 
+def report(spark, sf_dir):
+    """The nested report, every field of it."""
+    return _flat(_report(spark, sf_dir), F.col(SOURCE_FILE))
+
+
 def lead_envelope(spark, sf_dir):
-    """Envelopes read back: what each one holds."""
-    envelopes = sinks.lead_envelopes(_full(spark, sf_dir, True), _report(spark, sf_dir))
+    """Envelopes read back: all that each one holds but the time."""
+    envelopes = sinks.lead_envelopes(_full(spark, sf_dir, True), _report(spark, sf_dir), "run-7")
     header = len(sinks.HEADER_LINE) + 1
-    schema = "status string, csv_data string"
+    lead = ",".join(f"{c}:string" for c in TARGET)
+    schema = (
+        f"status string, source_file string, batch_id bigint, row_count bigint, leads array<struct<{lead}>>, csv_data string, "
+        "header_mapping struct<mapped:map<string,string>,unmapped:array<string>>, "
+        "report struct<stats:struct<output_rows:bigint>,drop_counts:map<string,bigint>>, correlation_id string"
+    )
     read = envelopes.withColumn("e", F.from_json("envelope", schema))
+    leads = F.transform("e.leads", lambda x: F.concat_ws("|", *(x[c] for c in TARGET)))
     return read.select(
         SOURCE_FILE,
         "batch_id",
         "row_count",
         (F.octet_length("e.csv_data") - header).cast("bigint").alias("csv_bytes"),
+        F.md5(F.col("e.csv_data").cast("binary")).alias("csv_md5"),
+        F.md5(F.array_join(leads, "\n").cast("binary")).alias("leads_md5"),
         F.col("e.status").alias("status"),
+        (F.col("e.row_count") == F.col("row_count")).alias("same_count"),
+        _pairs("e.header_mapping.mapped").alias("mapped"),
+        F.concat_ws(",", "e.header_mapping.unmapped").alias("unmapped"),
+        F.col("e.report.stats.output_rows").alias("output_rows"),
+        _pairs("e.report.drop_counts").alias("drop_counts"),
+        F.col("e.correlation_id").alias("correlation_id"),
     )
 
 
+# -- whole runs ------------------------------------------------------------
+
+
+def _run(spark, sf_dir) -> RunPaths:
+    """Files of raw contacts, some rows too long, cleaned from files to files."""
+    path = new_path(spark, "run_files")
+    rows = raw_leads(spark, sf_dir, fixture.RUN_CELLS, True)
+    headers = {f: ",".join(fixture.RUN_CELLS) for f in fixture.LINE_ENDS}
+    fixture.write_lines(
+        rows, headers, fixture.RUN_CELLS, path, tail=f"CASE WHEN {fixture.BAD_ROW_SQL} THEN ',more' ELSE '' END"
+    )
+    mapping = HeaderMapping({c: DIRECT[c] for c in fixture.RUN_CELLS if c != "src"})
+    return run(spark, path, new_path(spark, "run"), mapping, DEDUP, "run-7", ordered=False)
+
+
+def run_ledger(spark, sf_dir):
+    ledger = spark.read.parquet(_run(spark, sf_dir).drops)
+    return ledger.select(_file_name().alias("file"), "row_index", "reason", "details")
+
+
+def run_report(spark, sf_dir):
+    """Reports as they are in the JSON files."""
+    written = spark.read.schema(reports.REPORT_DDL).json(_run(spark, sf_dir).report)
+    return _flat(written, _file_name())
+
+
+def run_metrics(spark, sf_dir):
+    """Rows counted while they were written."""
+    return spark.read.parquet(_run(spark, sf_dir).metrics).where("rows IS NOT NULL").select("phase", "rows")
+
+
 # -- header mapping --------------------------------------------------------
 
 
@@ -402,6 +459,39 @@ def stream_job_state(spark, sf_dir):
     return streams.current_state(spark, output)
 
 
+def stream_feeds(spark, sf_dir):
+    """Files of odd headers as they arrive, two in a micro-batch, cleaned by the batch rules."""
+    path, output = new_path(spark, "arrivals"), new_path(spark, "stream_feeds")
+    fixture.write_lines(_noted(spark, sf_dir, *fixture.ODD_CELLS), fixture.ODD_HEADERS, fixture.ODD_CELLS, path)
+    pairs = {h: t for names in fixture.ODD_NAMES.values() for h, t in zip(names, fixture.ODD_TARGETS)}
+    arrivals = streams.read_arrivals(spark, path, max_files=2)
+    streams.stream_feeds(arrivals, output, output + "_state", HeaderMapping(pairs)).awaitTermination()
+    rows = streams.arrived(spark, output)
+    return rows.select(_file_name().alias("file"), "row_index", *TARGET)
+
+
+def stream_drops(spark, sf_dir):
+    output = new_path(spark, "stream_drops")
+    for query in streams.stream_drops(_drop_folder(spark, sf_dir), MAPPING, output, output + "_state"):
+        query.awaitTermination()
+    return streams.current_drops(spark, output)
+
+
+def stream_drops_duplicate(spark, sf_dir):
+    return stream_drops(spark, sf_dir).where("reason = 'duplicate_contact'")
+
+
+def stream_job_retention(spark, sf_dir):
+    output = new_path(spark, "stream_retention")
+    events = (
+        spark.readStream.schema(table(spark, sf_dir, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    streams.stream_job_retention(fixture.as_job_events(events), output, output + "_state").awaitTermination()
+    return streams.kept_jobs(spark, output)
+
+
 def queries() -> dict[str, Query]:
     return {
         # sources and sinks
@@ -494,6 +584,9 @@ def queries() -> dict[str, Query]:
         "clean_leads_split": _clean(CleanOptions(), SPLIT_MAPPING),
         "clean_leads_dedup": _clean(DEDUP),
         "clean_leads_labelled": _clean(LABELLED),
+        "run_ledger": run_ledger,
+        "run_report": run_report,
+        "run_metrics": run_metrics,
         # run ledger
         "job_state": lambda s, d: jobs.job_state(fixture.job_events(s, d)),
         "job_lookup": lambda s, d: jobs.job_lookup(fixture.job_events(s, d), 7),
@@ -505,4 +598,8 @@ def queries() -> dict[str, Query]:
         "stream_clean": stream_clean,
         "stream_best_contact": stream_best_contact,
         "stream_job_state": stream_job_state,
+        "stream_feeds": stream_feeds,
+        "stream_drops": stream_drops,
+        "stream_drops_duplicate": stream_drops_duplicate,
+        "stream_job_retention": stream_job_retention,
     }

@@ -12,7 +12,7 @@ from leadloom.schema import RETENTION_HOURS
 
 #: Progress shown for each status; a failed job stays where it was started.
 PROGRESS = {"queued": 0.0, "processing": 0.1, "completed": 1.0, "failed": 0.1}
-_FINISHED = ("completed", "failed")
+FINISHED = ("completed", "failed")
 
 
 def _progress(status: Column) -> Column:
@@ -65,7 +65,7 @@ def job_totals(events: DataFrame) -> DataFrame:
 def job_retention(events: DataFrame, as_of: Column, hours: int = RETENTION_HOURS) -> DataFrame:
     """Jobs still kept: finished ones go when untouched for ``hours``."""
     old = F.col("updated_at") < as_of - F.make_dt_interval(hours=F.lit(hours))
-    return job_state(events).where(~(F.col("status").isin(*_FINISHED) & old))
+    return job_state(events).where(~(F.col("status").isin(*FINISHED) & old))
 
 
 def job_notices(events: DataFrame, correlation_id: Column | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def job_notices(events: DataFrame, correlation_id: Column | None = None) -> Data
     result = F.when(F.col("has_result"), F.struct(F.lit("ok").alias("status")))
     return (
         job_state(events)
-        .where(F.col("status").isin(*_FINISHED))
+        .where(F.col("status").isin(*FINISHED))
         .select(
             "job_id",
             F.to_json(

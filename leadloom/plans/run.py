@@ -6,7 +6,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from leadloom.operators.cleaning import non_empty_rows, normalize_fields
 from leadloom.operators.mapping import (
@@ -37,6 +37,7 @@ class RunPaths:
     """Where a run left its output."""
 
     clean: str
+    rows: str
     drops: str
     report: str
     metrics: str
@@ -72,6 +73,11 @@ def _why_unmapped(unmapped: DataFrame, replies: DataFrame | None) -> DataFrame:
     return unmapped.select(SOURCE_FILE, ROW_INDEX, F.lit(REASON_UNMAPPED).alias("reason"), details.alias("details"))
 
 
+def _written(df: DataFrame, path: str, mode: str) -> DataFrame:
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _outputs(
     spark: SparkSession,
     normalized: DataFrame,
@@ -84,16 +90,20 @@ def _outputs(
     phases: _Phases,
     correlation_id: str,
     ordered: bool,
+    mode: str,
 ) -> RunPaths:
-    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "drops", "report", "metrics", "rejects", "report_drops", "unread")))
+    paths = RunPaths(*(f"{output}/{p}" for p in ("clean", "rows", "drops", "report", "metrics", "rejects", "report_drops", "unread")))
     # Regular expressions run once; every output below starts from this table.
-    landed = materialize(normalized, "normalized")
+    # Rows are counted while they are written.
+    seen = {phase: Observation(phase) for phase in ("normalize", "write")}
+    landed = materialize(normalized.observe(seen["normalize"], F.count(F.lit(1)).alias("rows")), "normalized")
     phases.end("normalize")
-    clean = materialize(finish(non_empty_rows(landed), options), "clean")
-    write_clean_csv(clean, paths.clean, ordered)
-    feeds.rejects.write.parquet(paths.rejects)
-    rejects = spark.read.schema(feeds.rejects.schema).parquet(paths.rejects)
-    feeds.unread.write.parquet(paths.unread)
+    clean = _written(
+        finish(non_empty_rows(landed), options).observe(seen["write"], F.count(F.lit(1)).alias("rows")), paths.rows, mode
+    )
+    write_clean_csv(clean, paths.clean, ordered, mode)
+    rejects = _written(feeds.rejects, paths.rejects, mode)
+    feeds.unread.write.mode(mode).parquet(paths.unread)
     # Every row of every file is in the output, dropped, without a mapping or a reject.
     unmapped = materialize(
         feeds.rows.select(SOURCE_FILE, ROW_INDEX).join(
@@ -107,10 +117,9 @@ def _outputs(
             _why_unmapped(unmapped, replies)
         )
     )
-    ledger.write.parquet(paths.drops)
-    ledger = spark.read.schema(ledger.schema).parquet(paths.drops)
+    ledger = _written(ledger, paths.drops, mode)
     phases.end("write")
-    report_drops(ledger).write.parquet(paths.report_drops)
+    report_drops(ledger).write.mode(mode).parquet(paths.report_drops)
     source = landed.select(SOURCE_FILE).union(unmapped.select(SOURCE_FILE)).union(rejects.select(SOURCE_FILE))
     files = feeds.headers.select(SOURCE_FILE).union(rejects.select(SOURCE_FILE)).distinct()
     reports = report(
@@ -121,14 +130,14 @@ def _outputs(
         phases.all(),
         correlation_id=correlation_id,
     )
-    write_report(reports, paths.report)
-    counts = {"normalize": landed.count(), "write": clean.count()}
+    write_report(reports, paths.report, mode)
+    counts = {phase: observed.get["rows"] for phase, observed in seen.items()}
     metrics = [
         (correlation_id, phase, ms, counts.get(phase)) for phase, ms in phases.all().items()
     ]
     spark.createDataFrame(
         metrics, "correlation_id string, phase string, ms bigint, rows bigint"
-    ).coalesce(1).write.parquet(paths.metrics)
+    ).coalesce(1).write.mode(mode).parquet(paths.metrics)
     return paths
 
 
@@ -140,6 +149,7 @@ def run(
     options: CleanOptions = CleanOptions(),
     correlation_id: str = "",
     ordered: bool = True,
+    overwrite: bool = False,
 ) -> RunPaths:
     """Clean files of any headers.
 
@@ -147,7 +157,8 @@ def run(
     file that cannot be read counts as one row, its lines are in ``unread``.
     ``mapping`` holds for every file; without one, each file gets its own, proposed from its
     headers and cells.
-    ``ordered=False`` spares very large outputs the sort of the whole table.
+    ``ordered=False`` spares very large outputs the sort of the whole table; ``overwrite``
+    replaces what an earlier run left in ``output``.
     """
     phases = _Phases()
     feeds = read_feeds(spark, inputs, land=True)
@@ -158,10 +169,10 @@ def run(
     else:
         table = mapping_for(mapping, headers)
     table = materialize(table, "mapping")
-    table.write.parquet(f"{output}/mapping")
     left = unmapped_by(table, headers)
     return _mapped_run(
-        spark, feeds, headers, table, left, mapping, None, options, output, phases, correlation_id, ordered
+        spark, feeds, headers, table, left, mapping, None, options, output, phases, correlation_id, ordered,
+        "overwrite" if overwrite else "error",
     )
 
 
@@ -178,17 +189,18 @@ def _mapped_run(
     phases: _Phases,
     correlation_id: str,
     ordered: bool,
+    mode: str,
 ) -> RunPaths:
     """The run from a ``mapping_table`` on; cells are taken by position, whatever headers are called."""
-    left = materialize(left, "unmapped")
-    left.write.parquet(f"{output}/unmapped")
+    table = _written(table, f"{output}/mapping", mode)
+    left = _written(left, f"{output}/unmapped", mode)
     phases.end("llm")
     positions = materialize(cell_positions(headers, table), "positions")
     rows = apply_mapping_table(feeds.rows, positions, options.strict_titles)
     return _outputs(
         spark, normalize_fields(rows, options.allow_schemeless), feeds, positions, replies,
         mapping if mapping is not None else mapping_of_files(table, left), options, output, phases,
-        correlation_id, ordered,
+        correlation_id, ordered, mode,
     )
 
 
@@ -208,9 +220,8 @@ def run_feeds(
     phases.end("download")
     parsed = materialize(parse_replies(replies), "parsed_replies")
     table = materialize(mapping_table(parsed, headers), "mapping")
-    table.write.parquet(f"{output}/mapping")
     left = unmapped_headers(parsed, headers, validate_mapping(proposals(parsed), headers))
     paths = _mapped_run(
-        spark, feeds, headers, table, left, None, parsed, options, output, phases, correlation_id, ordered
+        spark, feeds, headers, table, left, None, parsed, options, output, phases, correlation_id, ordered, "error"
     )
     return paths, feeds

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A mapping reply may repeat a key; the last one counts, as JSON readers have it.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Streams with timers need it; the state then lies on disk, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

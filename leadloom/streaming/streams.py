@@ -3,21 +3,30 @@
 Normalising, dropping empty rows and labelling look at one row at a time, so
 batch functions apply unchanged.  The best contact and the job state are
 aggregates that Spark keeps in its state store: per micro-batch only groups
-that changed are written, one folder per batch.  A batch that is run again
-after a failure overwrites its own folder, so results stay exact.
+that changed are written (``levels``).  A batch that is run again after a failure
+overwrites its own folders, so results stay exact.
+
+Files of any headers come in as a stream of paths: every micro-batch reads its
+files with the batch reader, so encodings, line ends, rejects and mappings follow
+the batch rules and a huge file is still split over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from leadloom.operators.cleaning import add_source_label
+from leadloom.operators.cleaning import add_source_label, drops_unfilled
 from leadloom.operators.dedup import with_company, with_priority, without_company
-from leadloom.operators.jobs import state_aggregates, with_progress
-from leadloom.operators.mapping import HeaderMapping
+from leadloom.operators.jobs import FINISHED, state_aggregates, with_progress
+from leadloom.operators.mapping import HeaderMapping, apply_mapping
 from leadloom.plans.pipeline import CleanOptions, clean_leads, filled_rows
-from leadloom.schema import ROW_INDEX, TARGET
+from leadloom.plans.run import RunPaths, run
+from leadloom.schema import DETAILS_DUPLICATE, REASON_DUPLICATE, RETENTION_HOURS, ROW_INDEX, TARGET
+from leadloom.streaming.levels import Levels, latest_by, sum_of
 
 
 def read_drop_folder(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -51,11 +60,65 @@ def stream_clean(
     )
 
 
-def _batch_folders(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+# -- files of any headers ------------------------------------------------------
+
+
+def read_arrivals(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """``(path, length)`` of files as they arrive; their content is not read here."""
+    return (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", max_files)
+        .load(path)
+        .select("path", "length")
+    )
+
+
+def stream_feeds(
+    arrivals: DataFrame,
+    output: str,
+    checkpoint: str,
+    mapping: HeaderMapping | None = None,
+    options: CleanOptions = CleanOptions(),
+) -> StreamingQuery:
+    """Runs over files as they arrive: ``<output>/batch_id=<n>`` holds what ``run`` gives for batch n.
+
+    Headers, encodings, line ends, rejects and the ledger follow the batch rules, with one
+    mapping for all files or one proposed for each.  ``manifest`` lists the files of every
+    batch.  A batch holds at most ``max_files`` paths, the only thing that reaches the driver.
+    Read the clean rows with ``arrived``.
+    """
+    if options.one_contact_per_company:
+        raise ValueError("use stream_best_contact to keep one contact per company")
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.select("path").collect())
+        if paths:
+            spark = batch.sparkSession
+            run(spark, paths, f"{output}/batch_id={batch_id}", mapping, options, ordered=False, overwrite=True)
+            listed = spark.createDataFrame([(p,) for p in paths], "path string")
+            listed.coalesce(1).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}/manifest")
+
+    return (
+        arrivals.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(take_in)
+        .start()
+    )
+
+
+def arrived(spark: SparkSession, output: str, table: str = "rows") -> DataFrame:
+    """What all batches of ``stream_feeds`` gave: ``rows``, ``drops``, ``rejects``, ``unread`` or ``manifest``."""
+    if table not in ("manifest", *RunPaths.__dataclass_fields__):
+        raise ValueError(f"no table {table!r}")
+    return spark.read.option("basePath", output).parquet(f"{output}/batch_id=*/{table}")
+
+
+# -- best contact --------------------------------------------------------------
 
-    return write
+
+def _best(output: str) -> Levels:
+    return Levels(f"{output}/companies", latest_by("company_key"))
 
 
 def stream_best_contact(
@@ -84,7 +147,7 @@ def stream_best_contact(
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{checkpoint}/companies")
         .trigger(availableNow=True)
-        .foreachBatch(_batch_folders(f"{output}/companies"))
+        .foreachBatch(_best(output).write)
         .start()
     )
     others = (
@@ -98,24 +161,107 @@ def stream_best_contact(
     return [best, others]
 
 
-def _latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Of every key the row of the newest batch."""
-    changes = spark.read.parquet(path)
-    value = [c for c in changes.columns if c not in (key, "batch_id")]
-    return (
-        changes.groupBy(key)
-        .agg(F.max_by(F.struct(*value), "batch_id").alias("value"))
-        .select(key, "value.*")
-    )
-
-
 def current_best(spark: SparkSession, output: str, source_label: str | None = None) -> DataFrame:
     """Clean rows chosen so far: one per company and all without a company."""
-    chosen = _latest(spark, f"{output}/companies", "company_key").select("best.*")
+    chosen = _best(output).read(spark).select("best.*")
     others = spark.read.schema(chosen.schema).parquet(f"{output}/others")
     return add_source_label(chosen.unionByName(others), source_label)
 
 
+# -- ledger of duplicates ------------------------------------------------------
+
+
+class _Winners(StatefulProcessor):
+    """Changes of the ledger as contacts of a company come in.
+
+    Every contact counts 1, the company's best one also -1.  When a better contact comes, the
+    old best one counts 1 again.  Ids whose changes add up to 1 are duplicates.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "score bigint, row_index bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.best.get()) if self.best.exists() else None
+        best = old
+        for chunk in rows:
+            top = chunk.sort_values(["priority_score", ROW_INDEX], ascending=[False, True]).iloc[0]
+            score, row = int(top["priority_score"]), int(top[ROW_INDEX])
+            if best is None or (-score, row) < (-best[0], best[1]):
+                best = (score, row)
+            yield self._changes(key, chunk[ROW_INDEX], 1)
+        if best != old:
+            if old is not None:
+                yield self._changes(key, [old[1]], 1)
+            yield self._changes(key, [best[1]], -1)
+            self.best.update(best)
+
+    @staticmethod
+    def _changes(key, ids, change: int) -> pd.DataFrame:
+        return pd.DataFrame({"company_key": key[0], ROW_INDEX: list(ids), "change": change})
+
+    def close(self) -> None:
+        pass
+
+
+def _ledger(output: str) -> Levels:
+    return Levels(f"{output}/duplicates", sum_of("change", "company_key", ROW_INDEX))
+
+
+def stream_drops(
+    rows: DataFrame,
+    mapping: HeaderMapping,
+    output: str,
+    checkpoint: str,
+    options: CleanOptions = CleanOptions(one_contact_per_company=True),
+) -> list[StreamingQuery]:
+    """The ledger of dropped rows over everything seen so far; read it with ``current_drops``.
+
+    Duplicates are a changelog: one state row per company, and per micro-batch what its rows
+    change.  A company's rows of a batch pass through one task as narrow rows, chunk by chunk.
+    The state needs the RocksDB store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    scored = with_priority(with_company(filled_rows(rows, mapping, options)), options.word_match)
+    changes = (
+        scored.select("company_key", ROW_INDEX, "priority_score")
+        .groupBy("company_key")
+        .transformWithStateInPandas(
+            _Winners(), f"company_key string, {ROW_INDEX} bigint, change bigint", "Append", "None"
+        )
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", f"{checkpoint}/duplicates")
+        .trigger(availableNow=True)
+        .foreachBatch(_ledger(output).write)
+        .start()
+    )
+    empty = (
+        drops_unfilled(apply_mapping(rows, mapping, options.strict_titles), options.allow_schemeless)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{checkpoint}/empty")
+        .trigger(availableNow=True)
+        .start(f"{output}/empty")
+    )
+    return [changes, empty]
+
+
+def current_drops(spark: SparkSession, output: str) -> DataFrame:
+    """The ledger so far: empty rows, and contacts that lost against another of their company."""
+    empty = spark.read.schema(f"{ROW_INDEX} bigint, reason string, details string").parquet(f"{output}/empty")
+    lost = _ledger(output).read(spark).select(
+        ROW_INDEX,
+        F.lit(REASON_DUPLICATE).alias("reason"),
+        F.concat(F.lit(DETAILS_DUPLICATE), "company_key").alias("details"),
+    )
+    return empty.unionByName(lost)
+
+
+# -- jobs ----------------------------------------------------------------------
+
+
+def _jobs(output: str) -> Levels:
+    return Levels(output, latest_by("job_id"))
+
+
 def stream_job_state(events: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """Changed job states, batch by batch; read them with ``current_state``.
 
@@ -127,10 +273,91 @@ def stream_job_state(events: DataFrame, output: str, checkpoint: str) -> Streami
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(_batch_folders(output))
+        .foreachBatch(_jobs(output).write)
         .start()
     )
 
 
 def current_state(spark: SparkSession, output: str) -> DataFrame:
-    return _latest(spark, output, "job_id")
+    return _jobs(output).read(spark).drop("batch_id")
+
+
+
+
+class _Jobs(StatefulProcessor):
+    """State of a job from its events; a finished one is forgotten when it stays untouched."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState(
+            "job", "created_at bigint, updated_at bigint, event_id bigint, status string, failed_at bigint, failed_id bigint, error string"
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.job.exists():
+            created, updated, event, status, *failed = self.job.get()
+        else:
+            created, updated, event, status, failed = None, None, None, None, [None, None, None]
+        for chunk in rows:
+            for ts, i, state, error in zip(chunk["us"].tolist(), chunk["event_id"].tolist(), chunk["status"], chunk["error"]):
+                created = ts if created is None else min(created, ts)
+                if updated is None or (ts, i) > (updated, event):
+                    updated, event, status = ts, i, state
+                if state == "failed" and error is not None and (failed[0] is None or (ts, i) > tuple(failed[:2])):
+                    failed = [ts, i, error]
+        self.job.update((created, updated, event, status, *failed))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if status in FINISHED:
+            # The first millisecond at which the job is older than it may be.
+            self.handle.registerTimer(updated // 1000 + self.keep_ms + 1)
+        yield self._row(key, status, created, updated, failed[2], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        yield self._row(key, None, None, None, None, True)
+
+    @staticmethod
+    def _row(key, status, created, updated, error, gone: bool) -> pd.DataFrame:
+        times = {n: pd.to_datetime(pd.Series([v], dtype="Int64"), unit="us") for n, v in (("created_at", created), ("updated_at", updated))}
+        return pd.DataFrame({"job_id": key[0], "status": [status], **times, "error": [error], "gone": [gone]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_job_retention(
+    events: DataFrame, output: str, checkpoint: str, hours: int = RETENTION_HOURS, late: str = "0 seconds"
+) -> StreamingQuery:
+    """Changed job states, with finished jobs that leave the state ``hours`` after their last event.
+
+    Event time decides: jobs go when the latest event seen, less ``late``, is so much newer.
+    Events older than that are ignored, and a job that comes back later is a new one.  Without
+    the timers the state would hold every job there ever was.  Needs the RocksDB store.
+    """
+    job_type, time_type = (events.schema[c].dataType.simpleString() for c in ("job_id", "ts"))
+    row = f"job_id {job_type}, status string, created_at {time_type}, updated_at {time_type}, error string, gone boolean"
+    changes = (
+        events.withColumn("event_time", F.col("ts").cast("timestamp"))
+        .withWatermark("event_time", late)
+        .select("job_id", "event_time", F.unix_micros("event_time").alias("us"), "event_id", "status", "error")
+        .groupBy("job_id")
+        .transformWithStateInPandas(
+            _Jobs(hours * 3_600_000), row, "Append", "EventTime"
+        )
+    )
+    return (
+        changes.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(_jobs(output).write)
+        .start()
+    )
+
+
+def kept_jobs(spark: SparkSession, output: str) -> DataFrame:
+    """Jobs that ``stream_job_retention`` still keeps."""
+    return with_progress(_jobs(output).read(spark).where("NOT gone"))
