@@ -293,28 +293,27 @@ class _Jobs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState(
-            "job", "created_at bigint, updated_at bigint, event_id bigint, status string, failed_at bigint, failed_id bigint, error string"
+            "job", "created_at bigint, updated_at bigint, event_id bigint, status string, error string"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.job.exists():
-            created, updated, event, status, *failed = self.job.get()
+            created, updated, event, status, error = self.job.get()
         else:
-            created, updated, event, status, failed = None, None, None, None, [None, None, None]
+            created = updated = event = status = error = None
         for chunk in rows:
-            for ts, i, state, error in zip(chunk["us"].tolist(), chunk["event_id"].tolist(), chunk["status"], chunk["error"]):
+            for ts, i, state, said in zip(chunk["us"].tolist(), chunk["event_id"].tolist(), chunk["status"], chunk["error"]):
                 created = ts if created is None else min(created, ts)
                 if updated is None or (ts, i) > (updated, event):
                     updated, event, status = ts, i, state
-                if state == "failed" and error is not None and (failed[0] is None or (ts, i) > tuple(failed[:2])):
-                    failed = [ts, i, error]
-        self.job.update((created, updated, event, status, *failed))
+                    error = said if state == "failed" else None
+        self.job.update((created, updated, event, status, error))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if status in FINISHED:
             # The first millisecond at which the job is older than it may be.
             self.handle.registerTimer(updated // 1000 + self.keep_ms + 1)
-        yield self._row(key, status, created, updated, failed[2], False)
+        yield self._row(key, status, created, updated, error, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.job.clear()
