@@ -66,9 +66,24 @@ def name(x: str) -> str:
     return initcap(collapse(x))
 
 
+_ATOMS = r"""([a-z0-9!#$%&\x27*+/=?^_`{|}~-]|[^\x00-\x7F\pC\pZ\pM]\pM*)+"""
+
+
 def email(x: str) -> str:
     v = f"lower({strip(x)})"
-    return f"CASE WHEN regexp_matches({v}, '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN {v} ELSE '' END"
+    local, domain = f"split_part({v}, '@', 1)", f"split_part({v}, '@', 2)"
+    labels = f"string_split({domain}, '.')"
+    label = r"^[a-z0-9\pL\pN]([a-z0-9\pL\pN\pM-]*[a-z0-9\pL\pN\pM])?$"
+    syntax = (
+        f"len(string_split({v}, '@')) = 2 AND length({v}) <= 254 AND length({local}) <= 64 "
+        f"AND regexp_matches({local}, '^{_ATOMS}(\\.{_ATOMS})*$') AND len({labels}) > 1 AND length({labels}[-1]) > 1 "
+        f"AND len(list_filter({labels}, lambda l: NOT regexp_matches(l, '{label}') OR length(l) > 63 "
+        "OR (substr(l, 3, 2) = '--' AND NOT starts_with(l, 'xn')))) = 0 "
+        f"AND regexp_matches({domain}, '[\\pL\\pM]$') "
+        f"AND NOT regexp_matches({domain}, '(^|\\.)(arpa|invalid|local|localhost|onion|test)$')"
+    )
+    pattern = f"regexp_matches({v}, '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$')"
+    return f"CASE WHEN {pattern} OR ({syntax}) THEN {v} ELSE '' END"
 
 
 def phone(x: str) -> str:

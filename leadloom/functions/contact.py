@@ -5,18 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions.text import strip
-from leadloom.schema import EMAIL_PATTERN, FREE_MAIL_DOMAINS
+from leadloom.schema import (
+    EMAIL_LABEL_LENGTH,
+    EMAIL_LENGTH,
+    EMAIL_LOCAL_CHARACTERS,
+    EMAIL_LOCAL_LENGTH,
+    EMAIL_PATTERN,
+    EMAIL_SPECIAL_DOMAINS,
+    FREE_MAIL_DOMAINS,
+)
+
+
+_WIDE = r"[\p{L}\p{N}\p{P}\p{S}&&[^\x00-\x7F]]"
+_ATOM = rf"(?:[{EMAIL_LOCAL_CHARACTERS}]|{_WIDE}\p{{M}}*+)++"
+_LETTER = r"[a-z0-9\p{L}\p{N}&&[^A-Z]]"
+# A label neither begins nor ends with a hyphen, nor has two of them in its third place.
+_LABEL = rf"(?!(?!xn)..--)(?=[^.]{{1,{EMAIL_LABEL_LENGTH}}}(?:\.|$)){_LETTER}(?:[{_LETTER}\p{{M}}\-]*[{_LETTER}\p{{M}}])?"
+_SYNTAX = (
+    rf"^(?=[^@]{{1,{EMAIL_LOCAL_LENGTH}}}@){_ATOM}(?:\.{_ATOM})*@"
+    rf"(?!(?:.*\.)?(?:{'|'.join(EMAIL_SPECIAL_DOMAINS)})$)(?:{_LABEL}\.)+(?=[^.]{{2,}}$){_LABEL}(?<=[\p{{L}}\p{{M}}])$"
+)
 
 
 def normalize_email(c: Column) -> Column:
     """Lower-cased address, or the empty text where it is not an address.
 
-    The check is the pattern alone: it needs no network and gives the same
-    answer on every run.  Addresses outside it (``o'neil@x.com``, letters
-    beyond ASCII in the local part) are emptied.
+    An address fits the plain pattern, or the syntax of mail standards (``o'neil@x.com``,
+    ``josé@x.com``).  Neither needs a network, so the answer is the same on every run.
     """
     address = F.lower(strip(c))
-    return F.when(address.rlike(EMAIL_PATTERN), address).otherwise("")
+    beyond = (
+        F.contains(address, F.lit("@"))
+        & (F.length(address) <= EMAIL_LENGTH)
+        & address.rlike(_SYNTAX)
+    )
+    return F.when(address.rlike(EMAIL_PATTERN) | beyond, address).otherwise("")
 
 
 def normalize_phone(c: Column) -> Column:

@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from leadloom.functions.contact import normalize_email
 from leadloom.functions.text import strip
 from leadloom.functions.urls import is_profile_url, normalize_linkedin_url
 from leadloom.schema import (
-    EMAIL_PATTERN,
     SCORE_EMAIL,
     SCORE_PROFILE,
     SCORE_SENIOR,
@@ -20,7 +20,7 @@ from leadloom.schema import (
 
 #: Short fields whose normal form is empty only where the cell is blank.
 _SHORT_TEXTS = (
-    "company_name", "last_name", "first_name", "job_title", "website", "sources",
+    "company_name", "last_name", "first_name", "job_title", "sources",
 )
 
 def company_key(company: Column) -> Column:
@@ -46,7 +46,9 @@ def will_have_data(allow_schemeless: bool = False) -> Column:
         F.concat_ws("", *_SHORT_TEXTS).rlike(blank_free),
         F.col("company_summary").rlike(blank_free),
         F.col("phone_number").rlike(r"[\p{Nd}+]"),
-        F.col("email").rlike(f"(?i)^[{WHITESPACE}]*{EMAIL_PATTERN[1:-1]}[{WHITESPACE}]*$"),
+        F.contains("email", F.lit("@")) & (normalize_email(F.col("email")) != ""),
+        # White space and control characters around an address go; nothing may be left.
+        F.col("website").rlike(f"[^{WHITESPACE}\x00-\x20]"),
         is_profile_url(F.col("linkedin_url")),
     ]
     if allow_schemeless:

@@ -50,6 +50,12 @@ TRACKING_KEYS = (
 #: An address is kept when it matches this pattern (text is lower-cased first).
 EMAIL_PATTERN = r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$"
 
+#: Addresses beyond the pattern: what mail standards allow in a local part (dot-separated
+#: atoms, letters of any script) and in a host name (labels that end in a letter, no special use).
+EMAIL_LOCAL_CHARACTERS = r"a-z0-9!#$%&'*+/=?^_`{|}~\-"
+EMAIL_LOCAL_LENGTH, EMAIL_LABEL_LENGTH, EMAIL_LENGTH = 64, 63, 254
+EMAIL_SPECIAL_DOMAINS = ("arpa", "invalid", "local", "localhost", "onion", "test")
+
 SUMMARY_LENGTH = 2000
 PREVIEW_LENGTH = 500
 SAMPLE_ROWS = 25

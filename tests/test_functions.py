@@ -4,9 +4,11 @@ import itertools
 import random
 from urllib.parse import urlparse, urlunparse
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from checks import oracle
 from leadloom import functions as L
 from leadloom.operators.cleaning import filled_rows, normalize_fields
 from leadloom.schema import TARGET, TRACKING_KEYS, WHITESPACE
@@ -57,10 +59,38 @@ def test_email(spark):
         {
             " John@Acme.COM ": "john@acme.com", "foo(at)x.com": "", "a@localhost": "",
             "a+b%c@x-y.co": "a+b%c@x-y.co", "a@b.c": "", "a b@c.de": "", None: "",
+            "O'Neil@x.com": "o'neil@x.com", "josé@x.com": "josé@x.com", "a!b@x.com": "a!b@x.com",
+            "é.ñ@bücher.example.de": "é.ñ@bücher.example.de", "用户@例え.テスト": "用户@例え.テスト",
+            # The pattern accepts these, whatever standards say.
+            ".a@x.com": ".a@x.com", "a..b@x.com": "a..b@x.com", "a@x-.com": "a@x-.com", "a@b.test": "a@b.test",
+            ".o'b@x.com": "", "o'b.@x.com": "", "o'..b@x.com": "", "o'b@x-.com": "", "o'b@-x.com": "",
+            "o'b@x..com": "", "o'b@x.test": "", "o'b@localhost": "", "o'b@x.c0": "", "o'b@x.com.": "",
+            "o'b@@x.com": "", "o'b@x@y.com": "", "o'b,c@x.com": "", '"o b"@x.com': "", "o\u200bé@x.com": "",
+            "'" + "a" * 63 + "@x.com": "'" + "a" * 63 + "@x.com", "'" + "a" * 64 + "@x.com": "",
+            "o'b@" + "x" * 63 + ".com": "o'b@" + "x" * 63 + ".com", "o'b@" + "x" * 64 + ".com": "",
+            "o'b@ab--cd.com": "", "o'b@xn--cd.com": "o'b@xn--cd.com", "o'" + "b" * 100_000 + "@": "",
         },
     )
 
 
+def test_email_is_what_the_sql_says(spark):
+    """Random addresses; the SQL states the rule in other terms."""
+    rng = random.Random(23)
+    parts = ["a", "b1", "'", "!", ".", "-", "_", "@", "é", "ü", "用", "x.co", ".com", "--", "xn--", ".test", " ", "\u0301", "%", "1", ",", "😀", "٤"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(2000)]
+    texts += [
+        "".join(rng.choices(parts, k=rng.randint(1, 3))) + "@" + "".join(rng.choices(["a", "é", "-", "x.", "1", ".co", ".用z"], k=rng.randint(1, 4))) + rng.choice([".com", ".ü1é", ""])
+        for _ in range(3000)
+    ]
+    texts += [f"{a}@{b}" for a in ("o'b", "é", "a.b", "'-") for b in ("x.com", "ü.de", "1.co", "a-.co", "a.c0", "٤.co", "x.é1", "x.1é")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS x", [texts])
+    want = con.execute(f"SELECT {oracle.email('x')} FROM t").fetchall()
+    got = apply(spark, L.normalize_email, texts)
+    assert [(t, g) for t, g, (w,) in zip(texts, got, want) if g != w] == []
+    assert 300 < sum(map(bool, got)) < 2500
+
+
 def test_phone(spark):
     check(
         spark,
@@ -176,10 +206,10 @@ def test_url_examples(spark):
 def test_raw_test_for_data_agrees_with_normalized_fields(spark, allow_schemeless):
     random.seed(3)
     pool = {
-        "email": [None, " ", "x", " A@b.co ", "a@b", "a@b.co x"],
+        "email": [None, " ", "x", " A@b.co ", "a@b", "a@b.co x", " o'n@b.co ", "é@b.cö", "o'n@b.c"],
         "phone_number": [None, "n/a", "+", "٤", " "],
         "linkedin_url": [None, "linkedin.com/in/x", " \x01//linkedin.com", "//a[linkedin.com", "//linked\tin.com", "x"],
-        "website": [None, " ", "#", "x"],
+        "website": [None, " ", "#", "x", "\x01", " \x02\x1f ", "?", "http://[x"],
         "sources": [None, " ", "s"],
     }
     rows = [
