@@ -171,9 +171,7 @@ def lead_json(spark, sf_dir):
 
 
 def payload_batches(spark, sf_dir):
-    return sinks.payload_batches(_full(spark, sf_dir, True)).select(
-        SOURCE_FILE, "row_index", "csv_bytes", "byte_offset", "batch_id"
-    )
+    return sinks.batch_plan(_full(spark, sf_dir, True))
 
 
 def _report(spark, sf_dir) -> DataFrame:

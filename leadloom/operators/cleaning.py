@@ -45,7 +45,8 @@ def filled_rows(mapped: DataFrame, allow_schemeless: bool = False) -> DataFrame:
     return mapped.where(L.will_have_data(allow_schemeless))
 
 
-def _empty_ledger(empty: DataFrame) -> DataFrame:
+def empty_ledger(empty: DataFrame) -> DataFrame:
+    """Ledger rows for contacts known to be empty."""
     return empty.select(
         *identity_columns(empty.columns),
         F.lit(REASON_EMPTY).alias("reason"),
@@ -55,12 +56,12 @@ def _empty_ledger(empty: DataFrame) -> DataFrame:
 
 def drops_empty(normalized: DataFrame) -> DataFrame:
     """Ledger rows for normalised contacts that have no data at all."""
-    return _empty_ledger(normalized.where(~L.has_data()))
+    return empty_ledger(normalized.where(~L.has_data()))
 
 
 def drops_unfilled(mapped: DataFrame, allow_schemeless: bool = False) -> DataFrame:
     """The same ledger rows, told from mapped, still raw cells."""
-    return _empty_ledger(mapped.where(~L.will_have_data(allow_schemeless)))
+    return empty_ledger(mapped.where(~L.will_have_data(allow_schemeless)))
 
 
 def add_source_label(df: DataFrame, label: str | None) -> DataFrame:

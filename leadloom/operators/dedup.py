@@ -23,6 +23,7 @@ from leadloom.schema import (
     SOURCE_FILE,
     identity_columns,
 )
+from leadloom.sources.scratch import materialize
 
 #: Row positions below this share one 64-bit number with the priority.
 _POSITION_LIMIT = 1 << 54
@@ -77,10 +78,13 @@ def company_groups(normalized: DataFrame, word_match: bool = False) -> DataFrame
     The members themselves stay rows (``company_members``); a list of them
     would put a whole company into one cell.
     """
-    scope = _scope(normalized)
+    return _groups(with_priority(normalized, word_match))
+
+
+def _groups(scored: DataFrame) -> DataFrame:
+    scope = _scope(scored)
     return (
-        with_priority(normalized, word_match)
-        .where(F.col("company_key") != "")
+        scored.where(F.col("company_key") != "")
         .groupBy(*scope, "company_key")
         .agg(
             F.max(_rank_number()).alias("rank_number"),
@@ -112,19 +116,29 @@ def company_members(normalized: DataFrame) -> DataFrame:
 
 
 def drops_duplicate(normalized: DataFrame, word_match: bool = False) -> DataFrame:
-    """Ledger rows for contacts that lost against another one of their company."""
+    """Ledger rows for contacts that lost against another one of their company.
+
+    Rows are scored once; the narrow table of ids, companies and scores is landed, and groups
+    and members both start from it.
+    """
+    return duplicates_of(materialize(company_scores(normalized, word_match), "company_scores"))
+
+
+def company_scores(normalized: DataFrame, word_match: bool = False) -> DataFrame:
+    """What the choice per company needs: ids, ``company_key`` and ``priority_score``."""
     ids = identity_columns(normalized.columns)
-    kept = company_groups(normalized, word_match).select(
-        *_scope(normalized), F.col("kept_row_index").alias(ROW_INDEX)
-    )
-    return (
-        company_members(normalized)
-        .join(kept, ids, "left_anti")
-        .select(
-            *ids,
-            F.lit(REASON_DUPLICATE).alias("reason"),
-            F.concat(F.lit(DETAILS_DUPLICATE), F.col("company_key")).alias("details"),
-        )
+    scored = with_priority(normalized, word_match).where(F.col("company_key") != "")
+    return scored.select(*ids, "company_key", "priority_score")
+
+
+def duplicates_of(scores: DataFrame) -> DataFrame:
+    """Ledger rows from a landed ``company_scores``."""
+    ids = identity_columns(scores.columns)
+    kept = _groups(scores).select(*_scope(scores), F.col("kept_row_index").alias(ROW_INDEX))
+    return scores.join(kept, ids, "left_anti").select(
+        *ids,
+        F.lit(REASON_DUPLICATE).alias("reason"),
+        F.concat(F.lit(DETAILS_DUPLICATE), F.col("company_key")).alias("details"),
     )
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from leadloom import functions as L
 from leadloom.operators import cleaning
 from leadloom.operators.cleaning import add_source_label, normalize_fields
-from leadloom.operators.dedup import best_contact_per_company, drops_duplicate
+from leadloom.operators.dedup import best_contact_per_company, duplicates_of, with_priority
 from leadloom.operators.mapping import HeaderMapping, apply_mapping
 from leadloom.operators.report import stats
 from leadloom.schema import TARGET, identity_columns
+from leadloom.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -25,13 +28,31 @@ class CleanOptions:
     word_match: bool = False
 
 
-@dataclass(frozen=True)
 class CleanResult:
-    """Clean rows, ledger of dropped rows and one-row statistics (all lazy)."""
+    """Clean rows, ledger of dropped rows and one-row statistics.
+
+    ``clean`` and ``stats`` are plans.  ``drops`` is one over a landed table of ids, companies
+    and scores: asking for it the first time scans the input, once.
+    """
 
-    clean: DataFrame
-    drops: DataFrame
-    stats: DataFrame
+    def __init__(self, df: DataFrame, mapping: HeaderMapping, options: CleanOptions):
+        self._df, self._mapping, self._options = df, mapping, options
+        self.clean = clean_leads(df, mapping, options)
+        self.stats = stats(self.clean, df)
+
+    @cached_property
+    def drops(self) -> DataFrame:
+        options = self._options
+        if not options.one_contact_per_company:
+            mapped = apply_mapping(self._df, self._mapping, options.strict_titles)
+            return cleaning.drops_unfilled(mapped, options.allow_schemeless)
+        rows = with_priority(normalized_rows(self._df, self._mapping, options), options.word_match)
+        ids = identity_columns(rows.columns)
+        # Rows that can be dropped: empty ones, and those with a company.
+        narrow = rows.select(*ids, L.has_data().alias("filled"), "company_key", "priority_score")
+        landed = materialize(narrow.where("NOT filled OR company_key != ''"), "company_scores")
+        empty = cleaning.empty_ledger(landed.where("NOT filled"))
+        return empty.unionByName(duplicates_of(landed.where("filled").drop("filled")))
 
 
 def filled_rows(df: DataFrame, mapping: HeaderMapping, options: CleanOptions) -> DataFrame:
@@ -74,10 +95,4 @@ def clean(
     the normalised rows first (``leadloom.plans.run``), so that cells are
     normalised once.
     """
-    mapped = apply_mapping(df, mapping, options.strict_titles)
-    ledger = cleaning.drops_unfilled(mapped, options.allow_schemeless)
-    if options.one_contact_per_company:
-        filled = filled_rows(df, mapping, options)
-        ledger = ledger.unionByName(drops_duplicate(filled, options.word_match))
-    table = clean_leads(df, mapping, options)
-    return CleanResult(table, ledger, stats(table, df))
+    return CleanResult(df, mapping, options)

@@ -17,6 +17,7 @@ from leadloom.schema import (
     SOURCE_FILE,
     TARGET,
 )
+from leadloom.sources.scratch import materialize
 
 #: Options that write cells the way common CSV readers expect them back.
 CSV_OPTIONS = {
@@ -70,18 +71,24 @@ def payload_size(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def payload_batches(
+def batch_plan(
     clean: DataFrame, limit_bytes: int = PAYLOAD_LIMIT_BYTES, by: Sequence[str] = (SOURCE_FILE,)
 ) -> DataFrame:
-    """``clean`` with ``csv_bytes`` and ``batch_id``, cut every ``limit_bytes``.
+    """Which batch each row goes to: its identity, ``csv_bytes``, ``byte_offset``, ``batch_id``.
 
-    A row belongs to the batch in which its first byte falls.
+    A row belongs to the batch in which its first byte falls.  Sizes are taken in one pass and
+    landed; the running totals read that narrow table only.
     """
-    sized = clean.withColumn("csv_bytes", (F.octet_length(csv_line()) + 1).cast("bigint"))
-    placed = running_total_before(sized, "csv_bytes", ROW_INDEX, "byte_offset", by)
-    return placed.withColumn(
-        "batch_id", F.floor(F.col("byte_offset") / limit_bytes).cast("bigint")
-    )
+    sizes = clean.select(*by, ROW_INDEX, (F.octet_length(csv_line()) + 1).cast("bigint").alias("csv_bytes"))
+    placed = running_total_before(materialize(sizes, "row_sizes"), "csv_bytes", ROW_INDEX, "byte_offset", by)
+    return placed.withColumn("batch_id", F.floor(F.col("byte_offset") / limit_bytes).cast("bigint"))
+
+
+def payload_batches(
+    clean: DataFrame, limit_bytes: int = PAYLOAD_LIMIT_BYTES, by: Sequence[str] = (SOURCE_FILE,)
+) -> DataFrame:
+    """``clean`` with its ``batch_plan``; ``clean`` is read twice, so land it if it is costly."""
+    return clean.join(batch_plan(clean, limit_bytes, by), [*by, ROW_INDEX])
 
 
 def lead_json(clean: DataFrame) -> DataFrame:
@@ -101,7 +108,8 @@ def lead_envelopes(
     A batch holds about ``limit_bytes`` of CSV text, so it fits one cell however
     large the file is.
     """
-    batches = payload_batches(clean, limit_bytes).withColumn("line", csv_line())
+    landed = materialize(clean.select(SOURCE_FILE, ROW_INDEX, *TARGET), "payload_rows")
+    batches = payload_batches(landed, limit_bytes).withColumn("line", csv_line())
     leads = F.sort_array(F.collect_list(F.struct(ROW_INDEX, "line", F.struct(*TARGET).alias("lead"))))
     grouped = batches.groupBy(SOURCE_FILE, "batch_id").agg(
         F.count("*").alias("row_count"), leads.alias("leads")
