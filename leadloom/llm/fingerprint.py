@@ -20,13 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadloom.llm.arrays import (
-    BYTE,
     U64,
+    byte_hashes,
     group_starts,
     mix,
     ngrams,
-    prefix_sums,
-    span_hash,
     text_of_word,
     words,
 )
@@ -40,7 +38,6 @@ PIECE_BYTES = 1 << 20
 PART_BYTES = 24 << 20
 
 _ODD = np.random.default_rng(7).integers(0, 2**63, LANES, dtype=U64) * U64(2) + U64(1)
-_SECOND = np.random.default_rng(8).integers(0, 2**64, 256, dtype=U64)
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +49,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(data == 10)
     start, end = np.append(0, cuts + 1), np.append(cuts, len(data))
     owner = np.searchsorted(begin, start, side="right") - 1
-    one = span_hash(prefix_sums(BYTE[data]), start, end)
-    two = span_hash(prefix_sums(_SECOND[data]), start, end)
+    one, two = (byte_hashes(data, start, end, point) for point in (0, 1))
     lanes = np.zeros((n, LANES), U64)
     if n:
         firsts = group_starts(owner)

@@ -36,9 +36,8 @@ from leadloom.llm.arrays import (
     mix,
     ngrams,
     pieces,
-    prefix_sums,
     ranges,
-    span_hash,
+    sequence_hashes,
     text_of_word,
     words,
 )
@@ -107,9 +106,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
     grams, whole = ngrams(first, hashes, k)
     count = np.diff(first)
     short = np.flatnonzero((count > 0) & (count < k))
-    prefix = prefix_sums(hashes)
     text = np.concatenate([text_of_word(first)[whole], short])
-    gram = np.concatenate([grams[whole], span_hash(prefix, first[short], first[short + 1])])
+    gram = np.concatenate([grams[whole], sequence_hashes(hashes, first[short], first[short + 1])])
     order = np.lexsort((gram, text))
     text, gram = text[order], gram[order]
     new = np.ones(len(text), bool)

@@ -20,10 +20,28 @@ from leadloom.llm.arrays import ranges, segments
 _WIDE = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
+#: Bytes that are compared at once.
+_COMPARED = 1 << 20
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every segment holds the same bytes as the ``other`` one named for it."""
+    length = end - start
+    if (length != length[other]).any():
+        return False
+    reach = np.cumsum(length)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _COMPARED, side="right")))
+        n = length[at:to]
+        if (data[ranges(start[at:to], n)] != data[ranges(start[other[at:to]], n)]).any():
+            return False
+        at = to
+    return True
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Distinct segments of the texts.
 
@@ -44,8 +62,15 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             hashes[first[i]] = np.uint64(hash(data[offsets[i] : offsets[i + 1]].tobytes()) % 2**64)
         first = np.append(0, np.cumsum(keep))[first]
         hashes, start, end = hashes[keep], start[keep], end[keep]
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if not _equal(data, start, end, at[which]):
+        # Two segments share a hash: tell them apart by themselves.
+        known: dict[bytes, int] = {}
+        which = np.array(
+            [known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())], np.int64
+        )
+        return first, which, [name.decode() for name in known]
     names = [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
     return first, which, names
 

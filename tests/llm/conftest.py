@@ -62,6 +62,11 @@ def awkward_texts() -> list[tuple[int | None, str | None, str | None]]:
         (214, "ein Satz davor\n" + "  ".join((" ".join(SENTENCES * 3)).split()[7:80]), None),
         (300, "x" * 5000, None),
     ]
+    # Words that hashes modulo a power of two cannot tell apart, alone and in long passages.
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate({97: "b", 98: "a"})
+    passage = " ".join(f"same{i}" for i in range(49))
+    rows += [(310, one, None), (311, other, None), (312, f"{passage} {one}", None), (313, f"{passage} {other}", None)]
     return rows
 
 
