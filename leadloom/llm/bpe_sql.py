@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadloom.llm.arrays import group_starts, pieces
-from leadloom.llm.segments import cut, flatten, gather
+from leadloom.llm.segments import Known, cut, flatten, gather
 from leadloom.llm.tables import bounded_batches
 
 #: Bytes of text whose distinct pieces are encoded together.
 BATCH_BYTES = 12 << 20
 #: Bytes of distinct pieces per recursive query; bounds what its rounds hold.
 QUERY_BYTES = 200_000
+#: Memory that a query may use for every byte of a piece beyond 300 MB in all.
+ROW_BYTES = 1000
 #: Rows that the rounds of one recursive query may hold together (two rounds at least).
 HELD_ROWS = 3_000_000
 #: Pieces with more bytes than this are long.
@@ -113,6 +115,7 @@ class BpeDatabase:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.known = Known(self._segments)
         # Two tokens merge if their bytes together are a token; its rank is the merge's.
         merges = [
             (ranks[whole[:i]], ranks[whole[i:]], rank)
@@ -172,6 +175,8 @@ class BpeDatabase:
             "pos": np.arange(len(piece), dtype=np.int64) - begin[piece],
             "id": self.byte[np.frombuffer(b"".join(names), np.uint8)],
         }
+        # A long piece needs memory by its length; it is one text's, and has no other way.
+        self.con.execute(f"SET memory_limit = '{max(300, len(piece) * ROW_BYTES >> 20)}MB'")
         done: list[list[int]] = [[] for _ in names]
         while len(now["piece"]):
             rounds = min(30_000, max(1, HELD_ROWS // len(now["piece"]) - 1))
@@ -208,26 +213,24 @@ class BpeDatabase:
         self, data: np.ndarray, offsets: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where each text begins in them, their decoded bytes, and the same."""
-        first, which, segment_names = cut(data, offsets)
+        first, which, names = cut(data, offsets)
+        known = self.known(names)
+        ids, n_ids = flatten([x[0] for x in known])
+        raws, n_raw = flatten([x[1] for x in known], np.uint8)
+        tokens, token_at = gather(ids, n_ids, which)
+        raw, raw_at = gather(raws, n_raw, which)
+        return tokens, token_at[first], raw, raw_at[first]
+
+    def _segments(self, names: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of segments, as 32-bit numbers, and what these decode to."""
         number: dict[str, int] = {}
-        in_segment, n_in_segment = flatten(
-            [
-                [number.setdefault(piece, len(number)) for piece in self.pattern.findall(name)]
-                for name in segment_names
-            ]
-        )
-        ids, n_ids = flatten(self.encode([name.encode() for name in number]))
-        raws = self.decode(ids, n_ids)
-        # Texts are rows of segments, segments of pieces, pieces of ids or bytes.
-        piece, begin = gather(in_segment, n_in_segment, which)
-        begin = begin[first]
-        tokens, token_at = gather(ids, n_ids, piece)
-        raw, raw_at = gather(
-            np.frombuffer(b"".join(raws), np.uint8),
-            np.fromiter(map(len, raws), np.int64, len(raws)),
-            piece,
-        )
-        return tokens, token_at[begin], raw, raw_at[begin]
+        inside = [
+            [number.setdefault(piece, len(number)) for piece in self.pattern.findall(name)] for name in names
+        ]
+        lists = self.encode([name.encode() for name in number])
+        ids = [np.array(x, np.int32).tobytes() for x in lists]
+        raws = self.decode(*flatten(ids))
+        return [(b"".join([ids[p] for p in some]), b"".join([raws[p] for p in some])) for some in inside]
 
 
 @functools.lru_cache(maxsize=2)

@@ -75,11 +75,31 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, which, names
 
 
-def flatten(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of some lists, and the length of each."""
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(lengths.sum()))
-    return flat, lengths
+def flatten(parts: list[bytes], kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some byte strings of them, and how many each holds."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), lengths
+
+
+class Known:
+    """Values of strings, made once for a worker as long as there is room.
+
+    ``make`` gives the values of some strings.  Strings beyond ``longest`` characters are made
+    every time; when ``entries`` are held, all go.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], entries: int = 150_000, longest: int = 64):
+        self.make, self.entries, self.longest = make, entries, longest
+        self.held: dict = {}
+
+    def __call__(self, names: list[str]) -> list:
+        new = [name for name in names if name not in self.held]
+        made = dict(zip(new, self.make(new))) if new else {}
+        found = [made[name] if name in made else self.held[name] for name in names]
+        if len(self.held) + len(made) > self.entries:
+            self.held.clear()
+        self.held.update((name, made[name]) for name in new[: self.entries] if len(name) <= self.longest)
+        return found
 
 
 def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +110,9 @@ def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np
 
 
 def tokenize(
-    data: np.ndarray, offsets: np.ndarray, encode: Callable[[list[str]], list[list[int]]]
+    data: np.ndarray, offsets: np.ndarray, encode: Callable[[list[str]], list[bytes]]
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and where each text begins."""
+    """Ids of all texts one after another, and where each text begins; ``encode`` gives 32-bit ids."""
     first, which, names = cut(data, offsets)
     flat, lengths = flatten(encode(names))
     ids, begin = gather(flat, lengths, which)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leadloom.llm.arrays import pieces, ranges
-from leadloom.llm.segments import tokenize
+from leadloom.llm.segments import Known, tokenize
 from leadloom.llm.tables import bounded_batches
 
 #: Bytes of text in a block, unless one text alone is longer.
@@ -71,14 +71,20 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(content: str):
+def _encoder(content: str) -> Known:
+    """Ids of segments; a worker keeps those it has met."""
     import os
 
     # A task has one core; the library would start a thread for each it sees.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(content)
+    model = Tokenizer.from_str(content)
+
+    def encode(names: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in model.encode_batch_fast(names, add_special_tokens=False)]
+
+    return Known(encode)
 
 
 def write_tokens(
@@ -95,15 +101,12 @@ def write_tokens(
         content = f.read()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tokenizer(content)
+        known = _encoder(content)
         part, block = TaskContext.get().partitionId(), 0
 
-        def many(names: list[str]) -> list[list[int]]:
-            return [e.ids for e in model.encode_batch_fast(names, add_special_tokens=False)]
-
         for batch in batches:
             for rows, data, offsets in pieces(batch.column("text"), BLOCK_BYTES):
-                ids, begin = tokenize(data, offsets, many)
+                ids, begin = tokenize(data, offsets, known)
                 # Room for an end id behind each document.
                 lengths = np.diff(begin) + 1
                 whole = np.full(int(lengths.sum()), END_ID, np.int32)
