@@ -15,13 +15,16 @@ be used nevertheless are groups of near copies.  For components they are linked
 member first, and only members that stay unconnected are compared pairwise; ``links``
 compares all their members, in blocks.
 
-All candidate pairs are verified on the whole sets, so links are exact up to
-collisions of 64-bit hashes.  Equal sets are one set throughout.
+Every set has a parity bitmap: of each place that shingles hash to, whether an odd number did.  Two sets
+differ in at least as many shingles as their bitmaps do in places, so bitmaps rule pairs out without
+loss, at a thirtieth of the sets' bytes.  What is left is verified on the whole sets, so links
+are exact up to collisions of 64-bit hashes.  Equal sets are one set throughout.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -56,6 +59,9 @@ STAR_ROUNDS = 3
 #: Members and shingles that a block of a large group holds, on average at most.
 BLOCK_SETS = 128
 BLOCK_SHINGLES = 1 << 19
+#: The same for blocks that compare bitmaps only.
+MAP_SETS = 1024
+MAP_SHINGLES = 1 << 23
 BUCKET_BYTES = 8 << 20
 _PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
@@ -171,6 +177,46 @@ def signatures(text, gram, size, percent: int, with_empty: frozenset[int]):
         )
 
 
+def parity_maps(text: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Bitmap of each set, a power of two of places: 64 or, for larger sets, 2 to 4 a shingle."""
+    places = _places(size)
+    opens = np.cumsum(places) - places
+    at = opens[text] + (mix(gram ^ _SEED[2]) & (places[text] - 1).astype(U64)).astype(np.int64)
+    odd = np.zeros(int(places.sum()), np.uint8)
+    np.bitwise_xor.at(odd, at, np.uint8(1))
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[x >> 3 : x + n >> 3] for x, n in zip(opens.tolist(), places.tolist())]
+
+
+def _places(size: np.ndarray) -> np.ndarray:
+    return np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 1)
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one a row, with as many 64-bit words as told: places equal modulo the new number meet."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of places in which bitmaps differ; rows of ``y`` may be one."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _near(differences: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` with that many shingles in one of them only may link."""
+    return differences * (100 + percent) <= (a + b) * (100 - percent)
+
+
+def _by_words(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bitmaps by number of words: which ones, and as rows."""
+    words = np.array([len(m) >> 3 for m in maps], np.int64)
+    return {
+        w: (which, np.frombuffer(b"".join([maps[i] for i in which.tolist()]), U64).reshape(-1, w))
+        for w in np.unique(words).tolist()
+        for which in [np.flatnonzero(words == w)]
+    }
+
+
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
@@ -180,7 +226,7 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``id, twin, n, key`` of every row, and bands where a set lacks units without empty segments."""
+    """``id, twin, n, key, map`` of every row, and bands where a set lacks units without empty segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +241,12 @@ def _set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     {
                         "id": part.column("id"), "twin": part.column("twin"),
                         "n": size.astype(np.int64), "key": key.view(np.int64),
+                        "map": pa.array(parity_maps(text, gram, size), pa.binary()),
                         "lacking": pa.array(lacking, pa.list_(pa.int32())),
                     }
                 )
 
-    return docs.mapInArrow(run, "id bigint, twin int, n bigint, key bigint, lacking array<int>")
+    return docs.mapInArrow(run, "id bigint, twin int, n bigint, key bigint, map binary, lacking array<int>")
 
 
 _RECORD = {"keys": np.int64, "sizes": np.int64, "bands": np.int32, "own": np.bool_, "spare": np.int64, "counts": np.int32}
@@ -352,8 +399,48 @@ def _grams(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFra
     return materialize(texts.mapInArrow(collect, "key bigint, grams binary"), "grams").dropDuplicates(["key"])
 
 
+def _maps(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, n, map`` of the sets whose ``key`` is wanted, once each."""
+    return sets.join(keys, "key", "left_semi").select("key", "n", "map").dropDuplicates(["key"])
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of keys that bitmaps do not rule out."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    maps = materialize(_maps(keys, sets), "maps")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            keep = np.zeros(n, bool)
+            a, b = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            by_words = _by_words(batch.column("ma").to_pylist() + batch.column("mb").to_pylist())
+            row, kind = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+            for w, (which, _) in by_words.items():
+                row[which], kind[which] = np.arange(len(which)), w
+            for x_words, y_words in itertools.product(by_words, repeat=2):
+                some = np.flatnonzero((kind[:n] == x_words) & (kind[n:] == y_words))
+                if len(some):
+                    w = min(x_words, y_words)
+                    x = _folded(by_words[x_words][1][row[some]], w)
+                    y = _folded(by_words[y_words][1][row[some + n]], w)
+                    keep[some] = _near(_differences(x, y), a[some], b[some], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def end(name: str) -> DataFrame:
+        return maps.select(F.col("key").alias(name), F.col("n").alias("n" + name), F.col("map").alias("m" + name))
+
+    return (
+        pairs.join(end("a"), "a").join(end("b"), "b")
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .select("a", "b", "na", "nb", "ma", "mb")
+        .mapInArrow(compare, "a bigint, b bigint")
+    )
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of keys whose sets reach the threshold."""
+    pairs = materialize(_possible(pairs, sets, percent), "possible")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,36 +462,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
 
 
 def _open_groups(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Groups that are not connected yet, with their members' labels."""
+    """Groups that are not connected yet, with their members' labels; of groups with the same members, one."""
     labelled = members.join(
         label.select(F.col("node").alias("key"), "label"), "key", "left"
     ).withColumn("label", F.coalesce("label", "key"))
-    split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    return materialize(labelled.join(split.select("sig"), "sig", "left_semi"), "open_groups")
-
-
-def _across(open_: DataFrame, nth: int | None, percent: int) -> DataFrame:
-    """Pairs of members of an open group that are not connected yet.
-
-    With ``nth``, pairs with one member only, another for each ``nth``; without, all.
-    """
-    other = open_
-    if nth is not None:
-        centre = F.min(F.struct(F.xxhash64(F.lit(nth), "key").alias("h"), "key", "n", "own", "label"))
-        other = open_.groupBy("sig").agg(centre.alias("c")).select("sig", "c.key", "c.n", "c.own", "c.label")
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "key", "own")).alias(f"h{seed}") for seed in (1, 2)]
+    split = labelled.groupBy("sig").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), *same
+    ).where("x <> y")
+    one = split.groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig"))
+    return materialize(labelled.join(one.select("sig"), "sig", "left_semi"), "open_groups")
+
+
+def _through_one(open_: DataFrame, nth: int, percent: int) -> DataFrame:
+    """Pairs of one member of an open group, another for each ``nth``, and those not connected with it yet."""
+    centre = F.min(F.struct(F.xxhash64(F.lit(nth), "key").alias("h"), "key", "n", "own", "label"))
+    other = open_.groupBy("sig").agg(centre.alias("c")).select("sig", "c.key", "c.n", "c.own", "c.label")
     x, y = open_.alias("x"), other.alias("y")
     fits = (F.col("x.own") | F.col("y.own")) & (
         100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     )
-    unordered = F.col("x.key") < F.col("y.key") if nth is None else F.col("x.key") != F.col("y.key")
     return (
         x.join(y, F.col("x.sig") == F.col("y.sig"))
-        .where((F.col("x.label") != F.col("y.label")) & unordered & fits)
+        .where((F.col("x.label") != F.col("y.label")) & (F.col("x.key") != F.col("y.key")) & fits)
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         .distinct()
     )
 
 
+def _map_cell(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs between two blocks of a large group, or within one, that may link and are not connected yet."""
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    key, n, label, own, block = (
+        table.column(c).to_numpy() for c in ("key", "n", "label", "own", "block")
+    )
+    by_words = _by_words(table.column("map").to_pylist())
+    left, right = [], []
+    for w, (small, its) in by_words.items():
+        # A pair is compared at the lesser number of words, here w.
+        more = [(which, _folded(maps, w)) for v, (which, maps) in by_words.items() if v > w]
+        of = np.concatenate([small, *(which for which, _ in more)])
+        rows = np.concatenate([its, *(maps for _, maps in more)])
+        for at, x in enumerate(small.tolist()):
+            y = of[at + 1 :]
+            fits = (label[y] != label[x]) & (own[y] | own[x]) & _linkable(n[y], n[x], percent)
+            if i != j:
+                fits &= block[y] != block[x]
+            some = np.flatnonzero(fits)
+            y = y[some]
+            y = y[_near(_differences(rows[at + 1 :][some], rows[at]), n[y], n[x], percent)]
+            left.append(np.minimum(key[x], key[y]))
+            right.append(np.maximum(key[x], key[y]))
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+
+def _dealt(members: DataFrame, sets: int, shingles: int) -> DataFrame:
+    """Members with ``block`` and, once for each pair ``i <= j`` of blocks of their group that is theirs, that pair.
+
+    A group is dealt into blocks by a hash of its members.
+    """
+    counts = members.groupBy("sig").agg(
+        F.greatest(
+            F.ceil(F.count("*") / F.lit(sets)), F.ceil(F.sum("n") / F.lit(shingles))
+        ).cast("int").alias("blocks")
+    )
+    return (
+        members.join(counts, "sig")
+        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+        .drop("blocks", "other")
+    )
+
+
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of an open group that are not connected yet and that bitmaps do not rule out.
+
+    Every two blocks of a group meet in a task's group of their own, with bitmaps only.
+    """
+    maps = materialize(_maps(open_.select("key").distinct(), sets).drop("n"), "maps")
+    cells = _dealt(open_, MAP_SETS, MAP_SHINGLES).join(maps, "key")
+    return cells.groupBy("sig", "i", "j").applyInArrow(
+        lambda table: _map_cell(table, percent), "a bigint, b bigint"
+    ).distinct()
+
+
 def _cell(table: pa.Table, percent: int) -> pa.Table:
     """Links between two blocks of a large group, or within one.
 
@@ -447,11 +591,6 @@ def _hot_links(members: DataFrame, docs: DataFrame, sets: DataFrame, k: int, per
     a task's group of their own.
     """
     members = members.groupBy("sig", "key").agg(F.max("n").alias("n"))
-    counts = members.groupBy("sig").agg(
-        F.greatest(
-            F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
-        ).cast("int").alias("blocks")
-    )
     # Signatures in order, as bytes; a set has a bounded number of units.
     packed = F.array_sort(F.collect_list("sig"))
     groups = members.groupBy("key").agg(packed.alias("sigs"))
@@ -463,15 +602,7 @@ def _hot_links(members: DataFrame, docs: DataFrame, sets: DataFrame, k: int, per
 
     groups = groups.mapInArrow(pack, "key bigint, sigs binary")
     whole = materialize(groups.join(_grams(members.select("key").distinct(), docs, sets, k), "key"), "hot_sets")
-    dealt = (
-        members.join(counts, "sig")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "sig", "key", "block",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        )
-    )
+    dealt = _dealt(members, BLOCK_SETS, BLOCK_SHINGLES).drop("n")
     return dealt.join(whole, "key").groupBy("sig", "i", "j").applyInArrow(
         lambda table: _cell(table, percent), "a bigint, b bigint"
     )
@@ -510,7 +641,8 @@ def _classes(docs: DataFrame, k: int, percent: int, id_column: str, text: str) -
         if open_.isEmpty():
             break
         members = open_.drop("label")
-        pairs = materialize(_across(open_, nth, percent), "hot_pairs")
+        few = _across(open_, sets, percent) if nth is None else _through_one(open_, nth, percent)
+        pairs = materialize(few, "hot_pairs")
         more = materialize(_verified(pairs, rows, sets, k, percent), "hot_links")
         if not more.isEmpty():
             label = extended(label, more)

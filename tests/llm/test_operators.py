@@ -461,6 +461,37 @@ def test_near_duplicates_in_large_groups(spark, small, rounds, monkeypatch):
     assert table(jaccard_join.near_duplicates(df)) == linked(rows, 5, 80)
 
 
+def test_near_duplicates_in_blocks_of_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "MAP_SETS", 4)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert table(jaccard_join.near_duplicates(df)) == linked(rows, 5, 80)
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(11)
+    compared = ruled_out = 0
+    for size in (1, 5, 31, 32, 33, 200, 1000, 5000):
+        for share in (0.3, 0.7, 0.85, 0.95, 1.0):
+            x = rng.integers(0, 2**63, size).astype(np.uint64)
+            y = np.append(x[: max(1, int(size * share))], rng.integers(0, 2**63, size // 4).astype(np.uint64))
+            sizes = np.array([len(x), len(y)])
+            maps = jaccard_join.parity_maps(np.repeat([0, 1], sizes), np.concatenate([x, y]), sizes)
+            a, b = (np.frombuffer(m, np.uint64)[None] for m in maps)
+            w = min(a.shape[1], b.shape[1])
+            apart = jaccard_join._differences(jaccard_join._folded(a, w), jaccard_join._folded(b, w))
+            both = len(set(x.tolist()) & set(y.tolist()))
+            assert apart[0] <= len(x) + len(y) - 2 * both
+            near = jaccard_join._near(apart, sizes[:1], sizes[1:], 80)[0]
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert near
+            compared += 1
+            ruled_out += not near
+    assert ruled_out > compared // 4
+
+
 @pytest.mark.parametrize("small, block", [(8, 128), (2, 5)])
 def test_all_links_of_large_groups(spark, small, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_GROUP", small)
