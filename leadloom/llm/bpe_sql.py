@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +39,28 @@ HELD_ROWS = 3_000_000
 #: Pieces with more bytes than this are long.
 LONG_PIECE = 64
 
+# Places run on over the pieces with one left out between two, so that a place and the next one
+# are of the same piece and tokens meet their neighbours by one number.
 _ENCODE = """
 WITH RECURSIVE token(piece, round, pos, id) AS (
-  SELECT piece, 0::SMALLINT, pos, id FROM bytes
+  SELECT piece, 0::SMALLINT, pos::INTEGER, id FROM bytes
   UNION ALL
   SELECT * FROM (
     WITH pair AS (
       SELECT a.piece, min(m.rank::BIGINT << 32 | a.pos) AS best
       FROM token a
-      JOIN token b ON b.piece = a.piece AND b.pos = a.pos + 1
+      JOIN token b ON b.pos = a.pos + 1
       JOIN merges m ON m.l = a.id AND m.r = b.id
       GROUP BY a.piece
     )
     SELECT t.piece, (t.round + 1)::SMALLINT,
-      CASE WHEN t.pos > best & 4294967295 THEN t.pos - 1 ELSE t.pos END,
+      (CASE WHEN t.pos > best & 4294967295 THEN t.pos - 1 ELSE t.pos END)::INTEGER,
       CASE WHEN t.pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t.id END
     FROM token t JOIN pair USING (piece)
     WHERE t.pos <> (best & 4294967295) + 1 AND t.round < $rounds
   )
 )
 SELECT id, piece, pos, round FROM token
-QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
 """
 
 # Of neighbouring pairs with the lowest rank, the leftmost rule takes every second one.  It takes
@@ -91,7 +93,6 @@ WITH RECURSIVE token(piece, round, pos, id) AS (
   )
 )
 SELECT id, piece, pos, round FROM token
-QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
 """
 
 _DECODE = """
@@ -115,7 +116,7 @@ class BpeDatabase:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.known = Known(self._segments)
+        self.known = Known(self._segments, (np.int32, np.uint8))
         # Two tokens merge if their bytes together are a token; its rank is the merge's.
         merges = [
             (ranks[whole[:i]], ranks[whole[i:]], rank)
@@ -168,11 +169,10 @@ class BpeDatabase:
 
     def _contract(self, names: list[bytes], query: str) -> list[list[int]]:
         size = np.fromiter(map(len, names), np.int64, len(names))
-        begin = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(names), dtype=np.int32), size)
         now = {
             "piece": piece,
-            "pos": np.arange(len(piece), dtype=np.int64) - begin[piece],
+            "pos": np.arange(len(piece), dtype=np.int64) + piece,
             "id": self.byte[np.frombuffer(b"".join(names), np.uint8)],
         }
         # A long piece needs memory by its length; it is one text's, and has no other way.
@@ -183,6 +183,12 @@ class BpeDatabase:
             self.con.register("bytes", pa.table(now))
             out = self.con.execute(query, {"rounds": rounds}).fetchnumpy()
             self.con.unregister("bytes")
+            # Every piece's last round.
+            last = np.full(len(names), -1, np.int16)
+            np.maximum.at(last, out["piece"], out["round"])
+            end = np.flatnonzero(out["round"] == last[out["piece"]])
+            end = end[np.lexsort((out["pos"][end], out["piece"][end]))]
+            out = {name: column[end] for name, column in out.items()}
             # Pieces that used all rounds may have more pairs; the others are done.
             more = out["round"] == rounds
             ids, which = out["id"][~more].tolist(), out["piece"][~more]
@@ -214,23 +220,35 @@ class BpeDatabase:
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where each text begins in them, their decoded bytes, and the same."""
         first, which, names = cut(data, offsets)
-        known = self.known(names)
-        ids, n_ids = flatten([x[0] for x in known])
-        raws, n_raw = flatten([x[1] for x in known], np.uint8)
-        tokens, token_at = gather(ids, n_ids, which)
-        raw, raw_at = gather(raws, n_raw, which)
+        at = self.known(names)[which]
+        ids, raws = self.known.lists
+        tokens, token_at = gather(*ids, at)
+        raw, raw_at = gather(*raws, at)
         return tokens, token_at[first], raw, raw_at[first]
 
-    def _segments(self, names: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of segments, as 32-bit numbers, and what these decode to."""
+    def _segments(self, names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of segments, and the bytes that these decode to."""
         number: dict[str, int] = {}
-        inside = [
-            [number.setdefault(piece, len(number)) for piece in self.pattern.findall(name)] for name in names
-        ]
+        inside = [self.pattern.findall(name) for name in names]
+        pieces_of = np.fromiter(map(len, inside), np.int64, len(inside))
+        which = np.array(
+            [number.setdefault(piece, len(number)) for some in inside for piece in some], np.int64
+        )
         lists = self.encode([name.encode() for name in number])
-        ids = [np.array(x, np.int32).tobytes() for x in lists]
-        raws = self.decode(*flatten(ids))
-        return [(b"".join([ids[p] for p in some]), b"".join([raws[p] for p in some])) for some in inside]
+        ids = (
+            np.fromiter(chain.from_iterable(lists), np.int32),
+            np.fromiter(map(len, lists), np.int64, len(lists)),
+        )
+        raws = flatten(self.decode(*ids), np.uint8)
+        return [_of_segments(*lists, which, pieces_of) for lists in (ids, raws)]
+
+
+def _of_segments(
+    flat: np.ndarray, lengths: np.ndarray, which: np.ndarray, pieces_of: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of segments put together from those of their pieces, ``pieces_of`` each."""
+    flat, begin = gather(flat, lengths, which)
+    return flat, np.diff(begin[np.append(0, np.cumsum(pieces_of))])
 
 
 @functools.lru_cache(maxsize=2)

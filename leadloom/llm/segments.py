@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
-from leadloom.llm.arrays import ranges, segments
+from leadloom.llm.arrays import SPACE, ranges, segments
 
 # White space beyond ASCII (Unicode White_Space) could join a run that is cut
 # at ASCII white space alone; texts that hold any of it are not cut.
@@ -22,6 +23,8 @@ _WIDE = re.compile(
 )
 #: Bytes that are compared at once.
 _COMPARED = 1 << 20
+#: Segments that are encoded as one text.
+_JOINED = 1000
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
@@ -81,27 +84,6 @@ def flatten(parts: list[bytes], kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), kind), lengths
 
 
-class Known:
-    """Values of strings, made once for a worker as long as there is room.
-
-    ``make`` gives the values of some strings.  Strings beyond ``longest`` characters are made
-    every time; when ``entries`` are held, all go.
-    """
-
-    def __init__(self, make: Callable[[list[str]], list], entries: int = 150_000, longest: int = 64):
-        self.make, self.entries, self.longest = make, entries, longest
-        self.held: dict = {}
-
-    def __call__(self, names: list[str]) -> list:
-        new = [name for name in names if name not in self.held]
-        made = dict(zip(new, self.make(new))) if new else {}
-        found = [made[name] if name in made else self.held[name] for name in names]
-        if len(self.held) + len(made) > self.entries:
-            self.held.clear()
-        self.held.update((name, made[name]) for name in new[: self.entries] if len(name) <= self.longest)
-        return found
-
-
 def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenation of the lists ``which``, and where each begins in it (one more than lists)."""
     begin = np.cumsum(lengths) - lengths
@@ -109,11 +91,88 @@ def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np
     return flat[ranges(begin[which], own)], np.append(0, np.cumsum(own))
 
 
-def tokenize(
-    data: np.ndarray, offsets: np.ndarray, encode: Callable[[list[str]], list[bytes]]
-) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and where each text begins; ``encode`` gives 32-bit ids."""
+class Known:
+    """Lists of numbers that belong to strings, made once for a worker as long as there is room.
+
+    ``make`` gives the lists of some strings, for each of ``kinds`` as all numbers and how many
+    each string has.  ``lists`` holds them so.  Once there are more than ``entries`` strings, or
+    more than ``size`` bytes of strings and numbers, all go before the next call.
+    """
+
+    def __init__(
+        self, make: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], kinds: tuple = (np.int32,),
+        entries: int = 800_000, size: int = 128 << 20,
+    ):
+        self.make, self.kinds, self.entries, self.size = make, kinds, entries, size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.characters = 0
+        self.lists = [(np.zeros(0, kind), np.zeros(0, np.int64)) for kind in self.kinds]
+
+    def __call__(self, names: list[str]) -> np.ndarray:
+        """Which of ``lists`` belongs to each string."""
+        if len(self.place) > self.entries or self.characters + sum(x.nbytes for x, _ in self.lists) > self.size:
+            self._forget()
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            n = len(self.place)
+            added = [names[i] for i in new.tolist()]
+            self.lists = [
+                (np.concatenate([flat, more]), np.concatenate([lengths, own]))
+                for (flat, lengths), (more, own) in zip(self.lists, self.make(added), strict=True)
+            ]
+            self.place.update(zip(added, range(n, n + len(added))))
+            self.characters += sum(map(len, added))
+            at[new] = np.arange(n, n + len(added))
+        return at
+
+
+def tokenize(data: np.ndarray, offsets: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and where each text begins; ``known`` holds 32-bit ids."""
     first, which, names = cut(data, offsets)
-    flat, lengths = flatten(encode(names))
-    ids, begin = gather(flat, lengths, which)
+    at = known(names)[which]
+    ids, begin = gather(*known.lists[0], at)
     return ids, begin[first]
+
+
+def joined(
+    encode: Callable[[list[str]], list[list[int]]], size: np.ndarray
+) -> Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of distinct segments by an ``encode`` for texts that costs much for each text.
+
+    Segments that begin with white space and go on after it may stand behind each other, as they
+    do in texts, and are encoded together.  ``size`` tells the bytes of every id, and so
+    which ids are whose.  Where ids do not end with the segments, as some special tokens or
+    normalising would have it, every segment is encoded by itself.
+    """
+
+    def make(names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        raw = [name.encode() for name in names]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        some = [i for i, name in enumerate(raw) if SPACE[name[0]] and not name.isspace()]
+        groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
+        groups = [g for g in groups if not _WIDE.search(b"".join([raw[i] for i in g]))]
+        order, ids, counts = [], [], []
+        for group, found in zip(groups, encode(["".join([names[i] for i in g]) for g in groups])):
+            found = np.array(found, np.int32)
+            ends, want = np.cumsum(size[found]), np.cumsum(length[group])
+            last = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[last] == want).all():
+                order += group
+                ids.append(found)
+                counts.append(np.diff(last, prepend=-1))
+        rest = np.ones(len(names), bool)
+        rest[order] = False
+        alone = np.flatnonzero(rest).tolist()
+        for found in encode([names[i] for i in alone]):
+            ids.append(np.array(found, np.int32))
+            counts.append([len(found)])
+        place = np.empty(len(names), np.int64)
+        place[order + alone] = np.arange(len(names))
+        counts = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+        return [(gather(np.concatenate([*ids, np.zeros(0, np.int32)]), counts, place)[0], counts[place])]
+
+    return make

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leadloom.llm.arrays import pieces, ranges
-from leadloom.llm.segments import Known, tokenize
+from leadloom.llm.segments import Known, joined, tokenize
 from leadloom.llm.tables import bounded_batches
 
 #: Bytes of text in a block, unless one text alone is longer.
@@ -81,10 +81,17 @@ def _encoder(content: str) -> Known:
 
     model = Tokenizer.from_str(content)
 
-    def encode(names: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in model.encode_batch_fast(names, add_special_tokens=False)]
+    # A character of a byte-level token stands for a byte.
+    vocabulary = model.get_vocab(with_added_tokens=True)
+    size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    size[list(vocabulary.values())] = [len(token) for token in vocabulary]
+    for number, token in model.get_added_tokens_decoder().items():
+        size[number] = len(token.content.encode())
 
-    return Known(encode)
+    def encode(names: list[str]) -> list[list[int]]:
+        return [e.ids for e in model.encode_batch_fast(names, add_special_tokens=False)]
+
+    return Known(joined(encode, size))
 
 
 def write_tokens(
