@@ -13,6 +13,7 @@ from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 from leadloom.llm.arrays import SPACE, ranges, segments
 
@@ -66,7 +67,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first = np.append(0, np.cumsum(keep))[first]
         hashes, start, end = hashes[keep], start[keep], end[keep]
     raw = data.tobytes()
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    which = pa.array(hashes).dictionary_encode().indices.to_numpy().astype(np.int64)
+    at = np.empty(int(which.max(initial=-1)) + 1, np.int64)
+    at[which[::-1]] = np.arange(len(which))[::-1]
     if not _equal(data, start, end, at[which]):
         # Two segments share a hash: tell them apart by themselves.
         known: dict[bytes, int] = {}

@@ -40,10 +40,17 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Ranked ids (four bytes each), control bytes and data bytes of some ids."""
-    distinct, number, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() <= 4 * len(ids):
+        # Dense enough to count without a sort.
+        found = np.bincount(ids)
+        distinct, number = np.flatnonzero(found), ids
+        count = found[distinct]
+        rank = np.empty(len(found), np.int64)
+    else:
+        distinct, number, count = np.unique(ids, return_inverse=True, return_counts=True)
+        rank = np.empty(len(distinct), np.int64)
     by = np.lexsort((distinct, -count))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
+    rank[distinct[by] if number is ids else by] = np.arange(len(by))
     value = rank[number]
     length = 1 + (value > 0xFF) + (value > 0xFFFF) + (value > 0xFFFFFF)
     code = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
