@@ -709,19 +709,22 @@ def survivors(
     """The rows of ``docs`` that stay, with all their columns: one of each component.
 
     It is the row with the least id (null is the largest); of rows that repeat an id and
-    its text, any one.  Rows without words stay, each of them.
+    its text, any one.  Rows without words stay, each of them.  Columns may have any names.
     """
     classes = _classes(docs, k, percent, id_column, text)
     winners = (
         classes.where("part is not null")
         .groupBy("part").agg(F.min(F.struct("id", "twin")).alias("row"))
-        .select(F.col("row.id").alias("__id"), F.col("row.twin").alias("__twin"))
+        .select(F.col("row.id").alias("id"), F.col("row.twin").alias("twin"))
+    )
+    # Names of our own: the columns may be called like those added here.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    number, body = (F.col(own[docs.columns.index(c)]) for c in (id_column, text))
+    body = F.coalesce(body, F.lit(""))
+    rows = docs.toDF(*own).withColumns(
+        {"id": F.coalesce(number.cast("bigint"), F.lit(int(_NO_ID))), "twin": F.hash(body)}
     )
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn(
-        "__id", F.coalesce(F.col(id_column).cast("bigint"), F.lit(int(_NO_ID)))
-    ).withColumn("__twin", F.hash(body))
     has_words = body.rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.where(has_words).join(winners, ["__id", "__twin"], "left_semi")
-    kept = kept.dropDuplicates(["__id", "__twin"]).select(*docs.columns)
-    return kept.union(rows.where(~has_words).select(*docs.columns))
+    kept = rows.where(has_words).join(winners, ["id", "twin"], "left_semi")
+    kept = kept.dropDuplicates(["id", "twin"]).select(*own)
+    return kept.union(rows.where(~has_words).select(*own)).toDF(*docs.columns)

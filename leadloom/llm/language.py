@@ -285,7 +285,7 @@ def identify(
     columns = ("found", "score", "support")[: len(names)]
     body = kept[keep.index(text)] if text in keep else "text"
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)],
+        *[F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in zip(keep, kept)],
         *[F.col(text).alias("text")] * (body == "text"),
         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )

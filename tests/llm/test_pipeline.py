@@ -21,6 +21,26 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, docs, rows, tmp_path):
     assert 0 < now.count() < docs.count()
 
 
+def test_columns_of_any_name_pass_unchanged(spark, docs, tmp_path):
+    """Names that stages use inside, with dots or with backticks: every value stays with its row."""
+    folder = str(tmp_path)
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    odd = ["__row", "__id", "__twin", "__lang", "meta.url", "a`b", "found", "other_0", "kept", "bad"]
+    now = docs.select(
+        "doc_id", "text", "lang", "n_chars",
+        *[F.concat(F.lit(f"{i} "), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(odd)],
+    )
+    names = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, folder).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        assert now.columns == names
+    rows = now.collect()
+    assert len(rows) > 10
+    for row in rows:
+        assert list(row)[4:] == [None if row.doc_id is None else f"{i} {row.doc_id}" for i in range(len(odd))]
+
+
 def test_empty_input(spark, no_docs, sf_dir, tmp_path):
     now = no_docs
     for name, stage in corpus_pipeline.STAGES:
