@@ -2,8 +2,10 @@
 
 from checks import leads as fixture, queries as Q
 from checks.leads import raw_leads
+from leadloom.operators import mapping as maps
 from leadloom.schema import TARGET
 from leadloom.sources import sinks
+from leadloom.sources.scratch import new_path
 
 
 def _rows(spark, ids):
@@ -24,3 +26,38 @@ def test_batch_ids_by_range(spark):
     assert got.select("batch_id").distinct().count() > 10
     # Whole rows meet small tables only.
     assert "Exchange hashpartitioning" not in _plan(sinks.with_batch_id(_rows(spark, range(40))))
+
+
+def test_replies_are_parsed_once(spark):
+    replies = spark.createDataFrame([("a", '{"mapping": {"x": "email", "y": "sources", "x": "phone_number"}}')], "source_file string, reply string")
+    parsed = maps.parse_replies(replies)
+    assert parsed.first()["parsed"]["mapping"] == {"x": "phone_number", "y": "sources"}
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
+def test_replies_use_all_cores(spark, sf_dir):
+    assert fixture.feeds(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_join_last(spark, sf_dir):
+    """No join or shuffle of feed rows comes after the one with the documents."""
+    plan = fixture.feed_cells(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "doc_id" in joins[0]
+
+
+def test_sample_is_chosen_by_numbers(spark):
+    rows = _rows(spark, [*range(100, 0, -1), 3, 3, None])
+    got = sinks.sample_rows(rows, 4)
+    assert sorted((r[0], r[1] or 0) for r in got.collect()) == [
+        ("f0.csv", 0), ("f0.csv", 2), ("f0.csv", 3), ("f0.csv", 4), ("f1.csv", 1), ("f1.csv", 3), ("f1.csv", 3), ("f1.csv", 5)
+    ]
+    assert "LeftSemi" in _plan(got)
+
+
+def test_landed_csv_is_compressed(spark, sf_dir):
+    path = new_path(spark, "landed")
+    raw_leads(spark, sf_dir).withColumnRenamed("row_index", "lead_no").write.options(**sinks.LANDED_CSV).csv(path)
+    files = spark.read.format("binaryFile").load(path).select("path").collect()
+    assert files and all(f[0].endswith(".csv.gz") for f in files)
+    assert Q.csv_feeds(spark, sf_dir).count() == raw_leads(spark, sf_dir, ()).count()
