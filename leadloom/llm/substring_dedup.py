@@ -42,6 +42,8 @@ BLOCK = 26
 #: Bytes of text whose windows meet in one bucket, on average.
 BUCKET_BYTES = 3 << 20
 _PIECE = 1 << 20
+#: Windows of a bucket that are sorted at once.
+_WINDOWS = 1 << 19
 _NO_ID = np.iinfo(np.int64).max
 
 _PACKED = (
@@ -138,44 +140,72 @@ _TYPES = {
 }
 
 
-def _matched(rows: list[dict]) -> pa.Table:
+def _numbers(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all packed rows, one behind the other, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    size = np.dtype(kind).itemsize
+    n = int(at[-1] - at[0]) // size
+    # A copy, since the batch goes.
+    return (np.frombuffer(data, kind, n, int(at[0])).copy() if n else np.zeros(0, kind)), np.diff(at) // size
+
+
+def _repeated(ids: np.ndarray, run: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows that a smaller id has too, in order, and the smallest id that has each.
+
+    Windows are compared a range of hashes at a time, about ``most`` of them, so that a bucket
+    which many windows chose takes no more memory to sort than others.
+    """
+    places, refs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    parts = -(-len(hashes) // most)
+    for p in range(parts):
+        low, high = (p << 64) // parts, ((p + 1) << 64) // parts - 1
+        some = np.flatnonzero((hashes >= np.uint64(low)) & (hashes <= np.uint64(high)))
+        if not len(some):
+            continue
+        some = some[np.argsort(hashes[some], kind="stable")]
+        opens = group_starts(hashes[some])
+        mine = ids[run[some]]
+        least = np.repeat(np.minimum.reduceat(mine, opens), np.diff(np.append(opens, len(some))))
+        known = least < mine
+        places.append(some[known])
+        refs.append(least[known])
+    place, ref = np.concatenate(places), np.concatenate(refs)
+    order = np.argsort(place, kind="stable")
+    return place[order], ref[order]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], most: int = _WINDOWS) -> Iterator[pa.RecordBatch]:
     """Repeats of one bucket: runs of windows with the same smaller reference."""
-    local = [r for r in rows if len(r["refs"])]
-    sent = [r for r in rows if not len(r["refs"])]
-    out = {name: [r[name] for r in local] for name in ("ids", "twins", "starts", "sizes", "refs")}
-    if sent:
-        joined = {name: np.concatenate([r[name] for r in sent]) for name in _TYPES if name != "refs"}
-        # The received bytes are copied by now.
-        del sent, rows
-        size = joined["sizes"].astype(np.int64)
-        run = np.repeat(np.arange(len(size)), size)
-        start = ranges(joined["starts"], size)
-        mine, wide = joined["ids"][run], joined["hashes"]
-        order = np.argsort(wide, kind="stable")
-        opens = group_starts(wide[order])
-        least = np.empty(len(wide), np.int64)
-        if len(opens):
-            least[order] = np.repeat(
-                np.minimum.reduceat(mine[order], opens), np.diff(np.append(opens, len(order)))
-            )
-        dup = np.flatnonzero(least < mine)
-        if len(dup):
-            new = np.ones(len(dup), bool)
-            new[1:] = (
-                (run[dup][1:] != run[dup][:-1])
-                | (start[dup][1:] != start[dup][:-1] + 1)
-                | (least[dup][1:] != least[dup][:-1])
-            )
-            a, n = _runs(new)
-            out["ids"].append(mine[dup[a]])
-            out["twins"].append(joined["twins"][run[dup[a]]])
-            out["starts"].append(start[dup[a]])
-            out["sizes"].append(n)
-            out["refs"].append(least[dup[a]])
-    columns = [np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64) for k in out]
-    return pa.Table.from_arrays(
-        [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int64, np.int64, np.int64))],
-        ["id", "twin", "start", "size", "ref"],
+    held: dict[str, list] = {name: [np.zeros(0, t)] for name, t in _TYPES.items()}
+    for batch in batches:
+        got = {name: _numbers(batch.column(name), t) for name, t in _TYPES.items()}
+        runs = got["ids"][1]
+        done = np.repeat(got["refs"][1] > 0, runs)
+        if done.any():
+            # Resolved where it was packed.
+            yield _run_batch(*(got[k][0][done] for k in ("ids", "twins", "starts", "sizes")), got["refs"][0])
+        for name in ("ids", "twins", "starts", "sizes"):
+            held[name].append(got[name][0][~done])
+        held["hashes"].append(got["hashes"][0])
+        del batch, got
+    ids, twins, starts, sizes, hashes = (np.concatenate(held.pop(k)) for k in ("ids", "twins", "starts", "sizes", "hashes"))
+    sizes = sizes.astype(np.int64)
+    run = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place, ref = _repeated(ids, run, hashes, most)
+    del hashes
+    own = run[place]
+    new = np.ones(len(place), bool)
+    new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1) | (ref[1:] != ref[:-1])
+    a, n = _runs(new)
+    r = own[a]
+    yield _run_batch(ids[r], twins[r], starts[r] + (place[a] - (np.cumsum(sizes) - sizes)[r]), n, ref[a])
+
+
+def _run_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    types = (np.int64, np.int32, np.int64, np.int64, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c.astype(t)) for c, t in zip(columns, types)], ["id", "twin", "start", "size", "ref"]
     )
 
 
@@ -199,13 +229,9 @@ def repeated_runs(
                     | {k: pa.array([row[k].astype(t).tobytes()], pa.binary()) for k, t in _TYPES.items()}
                 )
 
-    def match(table: pa.Table) -> pa.Table:
-        return _matched(
-            [
-                {k: np.frombuffer(row[k], t) for k, t in _TYPES.items()}
-                for row in table.select(list(_TYPES)).to_pylist()
-            ]
-        )
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A bucket comes in batches of bounded size, so it is never held as Arrow and numpy at once.
+        yield from _matched(batches)
 
     return (
         _keyed(docs, id_column, text)
