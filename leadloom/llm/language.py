@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -48,6 +49,8 @@ SLACK = 2
 #: Labelled texts that a length needs for a threshold of its own.
 LEAST_TEXTS = 30
 _PIECE = 1 << 20
+#: Texts up to which the products of every two are held, and slots that they are summed over at once.
+_MATRIX, _COLUMNS = 2000, 1024
 
 # ASCII letters in lower case, bytes of other scripts as they are, all else a blank.
 _FOLD = np.full(256, 32, np.uint8)
@@ -67,14 +70,54 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield slot.astype(np.int32), at + order <= last
 
 
-def _features(column: pa.Array) -> np.ndarray:
-    """Share of every slot in each text; for the bounded sample only."""
-    out = np.zeros((len(column), DIMENSIONS), np.float32)
-    for rows, data, offsets in pieces(column, _PIECE):
-        text = np.repeat(np.arange(rows.start, rows.stop), np.diff(offsets))
-        for slot, whole in _grams(data, offsets):
-            np.add.at(out, (text[whole], slot[whole]), 1)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+class Shares:
+    """Share of every slot in each text, only the slots that a text has being held."""
+
+    def __init__(self, row: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int):
+        self.row, self.slot, self.value, self.n = row, slot, value, n
+
+    def where(self, chosen: np.ndarray) -> Shares:
+        """The texts of a mask, numbered anew."""
+        some, place = chosen[self.row], np.cumsum(chosen) - 1
+        return Shares(place[self.row[some]], self.slot[some], self.value[some], int(chosen.sum()))
+
+    def summed(self, factor: np.ndarray) -> np.ndarray:
+        """The texts added up, each times its factor."""
+        return np.bincount(self.slot, self.value * factor[self.row], DIMENSIONS)
+
+    @cached_property
+    def products(self) -> np.ndarray:
+        """The product of every two texts."""
+        out = np.zeros((self.n, self.n))
+        for low in range(0, DIMENSIONS, _COLUMNS):
+            some = (self.slot >= low) & (self.slot < low + _COLUMNS)
+            part = np.zeros((self.n, _COLUMNS))
+            part[self.row[some], self.slot[some] - low] = self.value[some]
+            out += part @ part.T
+        return out
+
+    def margins(self, factor: np.ndarray) -> np.ndarray:
+        """Product of each text and ``summed(factor)``."""
+        if self.n <= _MATRIX:
+            return self.products @ factor
+        return np.bincount(self.row, self.value * self.summed(factor)[self.slot], self.n)
+
+
+def _features(column: pa.Array) -> Shares:
+    """Shares of the slots in each text; for the bounded sample only."""
+    rows, slots, values, n = [], [], [], 0
+    for _, data, offsets in pieces(column, _PIECE):
+        grams = list(_grams(data, offsets))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            counts = np.zeros(DIMENSIONS, np.int64)
+            for slot, whole in grams:
+                counts += np.bincount(slot[a:b][whole[a:b]], minlength=DIMENSIONS)
+            some = np.flatnonzero(counts)
+            rows.append(np.full(len(some), n))
+            slots.append(some)
+            values.append(counts[some].astype(np.float32) / np.float32(max(1, counts.sum())))
+            n += 1
+    return Shares(np.concatenate(rows), np.concatenate(slots), np.concatenate(values), n)
 
 
 def _triples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,18 +182,19 @@ def _support(column: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _likelihood(slots, label), np.array(limits).reshape(-1, 2)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
+def _machine(x: Shares, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine, squared hinge, both classes equal.
 
-    Full gradients with momentum from zero: the same sample gives the same machine.
+    Full gradients with momentum from zero: the same sample gives the same machine.  Weights are
+    the texts added up, each times a factor, and the factors are what the rounds change.
     """
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, v, step, shrink = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.25, 1e-4
+    w, v, step, shrink = np.zeros(x.n), np.zeros(x.n), 0.25, 1e-4
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        v = 0.9 * v - step * (shrink * w - x.T @ (2 * cost * slack * y))
+        slack = np.maximum(0, 1 - y * (x.margins(w) + w.sum()))
+        v = 0.9 * v - step * (shrink * w - 2 * cost * slack * y)
         w = w + v
-    return w
+    return x.summed(w), w.sum()
 
 
 @dataclass(frozen=True)
@@ -246,9 +290,10 @@ def fit(
     table = sample.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     label = np.array(table["lang"].to_pylist(), object)
     x = _features(table["text"])
-    scale = np.sqrt(np.maximum((x**2).mean(axis=0), 1e-8))
-    x = x / scale / np.sqrt(DIMENSIONS)
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    # Texts are few and long vectors mostly empty: as a whole matrix they would be the most that the driver holds.
+    squares = np.bincount(x.slot, x.value.astype(float) ** 2, DIMENSIONS) / x.n
+    scale = np.sqrt(np.maximum(squares, 1e-8)).astype(np.float32)
+    x.value = (x.value / scale[x.slot]) / np.sqrt(DIMENSIONS)
     known = {code: name for name, codes in FAMILIES.items() for code in codes}
     by_family: dict[str, list[str]] = {}
     for name in sorted(set(label)):
@@ -258,10 +303,11 @@ def fit(
     machines = [_machine(x, np.where(np.isin(label, names), 1.0, -1.0)) for names in families]
     for a, b in pairs:
         mine = (label == a) | (label == b)
-        machines.append(_machine(x[mine], np.where(label[mine] == a, 1.0, -1.0)))
-    w = np.column_stack(machines)
-    weights = (w[:-1] / scale[:, None] / np.sqrt(DIMENSIONS)).astype(np.float32)
-    return LanguageModel(families, pairs, weights, w[-1], *_support(table["text"], label))
+        machines.append(_machine(x.where(mine), np.where(label[mine] == a, 1.0, -1.0)))
+    w = np.column_stack([m[0] for m in machines])
+    bias = np.array([m[1] for m in machines])
+    weights = (w / scale[:, None] / np.sqrt(DIMENSIONS)).astype(np.float32)
+    return LanguageModel(families, pairs, weights, bias, *_support(table["text"], label))
 
 
 def identify(

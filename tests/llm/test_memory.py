@@ -1,8 +1,9 @@
 """What one task or the driver holds stays bounded, and results do not depend on the bounds."""
 
+import numpy as np
 import pyarrow as pa
 
-from leadloom.llm import substring_dedup
+from leadloom.llm import language, substring_dedup
 
 
 
@@ -41,3 +42,20 @@ def test_rows_resolved_early_pass_a_bucket():
     )
     found = pa.Table.from_batches(substring_dedup._matched(iter([batch]))).to_pylist()
     assert found == [{"id": 7, "twin": 2, "start": 0, "size": 7, "ref": 5}]
+
+
+def test_language_samples_hold_no_empty_slots(monkeypatch):
+    """The driver holds the slots that texts have, and both ways to the margins give the same."""
+    texts = ["the cat sat on the mat", "le chat est sur le tapis", "", "der hund ist im haus " * 5]
+    x = language._features(pa.array(texts))
+    assert x.n == 4 and len(x.value) < 4 * language.DIMENSIONS / 50
+    full = np.zeros((4, language.DIMENSIONS))
+    full[x.row, x.slot] = x.value
+    assert np.allclose(full.sum(axis=1), [1, 1, 0, 1])
+    factor = np.array([1.0, -2.0, 3.0, 0.5])
+    want = full @ (full.T @ factor)
+    assert np.allclose(x.margins(factor), want)
+    some = x.where(np.array([True, False, True, True]))
+    assert np.allclose(some.margins(factor[[0, 2, 3]]), (full[[0, 2, 3]] @ full[[0, 2, 3]].T) @ factor[[0, 2, 3]])
+    monkeypatch.setattr(language, "_MATRIX", 0)
+    assert np.allclose(x.margins(factor), want)
