@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from leadloom import functions as L
 from leadloom.operators import cleaning
 from leadloom.operators.cleaning import add_source_label, normalize_fields
-from leadloom.operators.dedup import best_contact_per_company, duplicates_of, with_priority
+from leadloom.operators.dedup import Choice, best_contact_per_company, choose, contact_scores, duplicates_of, with_priority
 from leadloom.operators.mapping import HeaderMapping, apply_mapping
 from leadloom.operators.report import stats
 from leadloom.schema import TARGET, identity_columns
@@ -31,14 +32,21 @@ class CleanOptions:
 class CleanResult:
     """Clean rows, ledger of dropped rows and one-row statistics.
 
-    ``clean`` and ``stats`` are plans.  ``drops`` is one over a landed table of ids, companies
-    and scores: asking for it the first time scans the input, once.
+    All are plans.  Those of the contacts chosen per company start from a landed table of ids,
+    companies and scores: asking for ``drops``, and for ``clean`` or ``stats``, the first time
+    scans the input, once.
     """
 
     def __init__(self, df: DataFrame, mapping: HeaderMapping, options: CleanOptions):
         self._df, self._mapping, self._options = df, mapping, options
-        self.clean = clean_leads(df, mapping, options)
-        self.stats = stats(self.clean, df)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return clean_leads(self._df, self._mapping, self._options)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stats(self.clean, self._df)
 
     @cached_property
     def drops(self) -> DataFrame:
@@ -62,6 +70,18 @@ def filled_rows(df: DataFrame, mapping: HeaderMapping, options: CleanOptions) ->
     return normalize_fields(filled, options.allow_schemeless)
 
 
+def row_scores(df: DataFrame, mapping: HeaderMapping, options: CleanOptions) -> DataFrame:
+    """What the choice per company needs of all rows, without normalising them."""
+    mapped = apply_mapping(df, mapping, options.strict_titles)
+    return contact_scores(mapped, options.word_match, options.allow_schemeless)
+
+
+def chosen_rows(candidates: DataFrame, mapping: HeaderMapping, options: CleanOptions, choice: Choice) -> DataFrame:
+    """``filled_rows`` of the choice's candidates, which are filled where the choice is exact."""
+    make = normalized_rows if choice.exact else filled_rows
+    return make(candidates, mapping, options)
+
+
 def normalized_rows(df: DataFrame, mapping: HeaderMapping, options: CleanOptions) -> DataFrame:
     """All rows mapped and normalised, empty ones included."""
     return normalize_fields(
@@ -69,21 +89,32 @@ def normalized_rows(df: DataFrame, mapping: HeaderMapping, options: CleanOptions
     )
 
 
-def finish(filled: DataFrame, options: CleanOptions) -> DataFrame:
-    """From non-empty normalised rows to the clean table with its row identity."""
+def finish(filled: DataFrame, options: CleanOptions, choice: Choice | None = None) -> DataFrame:
+    """From non-empty normalised rows (or only those that a ``choice`` names) to the clean table with its row identity."""
     kept = filled
     if options.one_contact_per_company:
-        kept = best_contact_per_company(kept, options.word_match)
+        kept = best_contact_per_company(kept, options.word_match, choice)
     return add_source_label(kept, options.source_label).select(
         *identity_columns(filled.columns), *TARGET
     )
 
 
 def clean_leads(
-    df: DataFrame, mapping: HeaderMapping, options: CleanOptions = CleanOptions()
+    df: DataFrame,
+    mapping: HeaderMapping,
+    options: CleanOptions = CleanOptions(),
+    look_up: Callable[[Choice], DataFrame] | None = None,
 ) -> DataFrame:
-    """The clean table of ``df``: ``row_index`` and the ten target columns."""
-    return finish(filled_rows(df, mapping, options), options)
+    """The clean table of ``df``: ``row_index`` and the ten target columns.
+
+    ``look_up`` gives the rows of ``df`` that are a choice's candidates, for tables that find them
+    before anything wide is joined; a plain table is joined to their ids.
+    """
+    if not options.one_contact_per_company:
+        return finish(filled_rows(df, mapping, options), options)
+    choice = choose(row_scores(df, mapping, options))
+    candidates = look_up(choice) if look_up else choice.candidates(df)
+    return finish(chosen_rows(candidates, mapping, options, choice), options, choice)
 
 
 def clean(

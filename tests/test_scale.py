@@ -2,7 +2,9 @@
 
 from checks import leads as fixture, queries as Q
 from checks.leads import raw_leads
-from leadloom.operators import mapping as maps
+from leadloom import CleanOptions, clean_leads, functions as L
+from leadloom.operators import cleaning, dedup, mapping as maps
+from leadloom.operators.mapping import HeaderMapping
 from leadloom.schema import TARGET
 from leadloom.sources import sinks
 from leadloom.sources.scratch import new_path
@@ -61,3 +63,41 @@ def test_landed_csv_is_compressed(spark, sf_dir):
     files = spark.read.format("binaryFile").load(path).select("path").collect()
     assert files and all(f[0].endswith(".csv.gz") for f in files)
     assert Q.csv_feeds(spark, sf_dir).count() == raw_leads(spark, sf_dir, ()).count()
+
+
+def test_contacts_are_chosen_by_numbers(spark, sf_dir):
+    """Whole rows are looked up for the chosen contacts, and shuffled no more after the documents came in."""
+    for name in ("clean_leads_dedup", "best_contact_per_company", "concat_leads"):
+        plan = Q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        first = plan[: plan.index("doc_id")]
+        assert "LeftSemi" in plan and "LeftSemi" not in first and "Window" not in plan
+
+
+def test_scores_of_raw_cells(spark):
+    """Scores told from raw cells are those of the normalised rows."""
+    texts = [None, "", " ", "\u00a0", "a", " a  b ", "x@y.co", "x@localhost", "+", "n/a 5", "#", "\x01", "//linkedin.com/in/a",
+             "linkedin.com/in/a", "https://[x", "Vice  President", "contractor", "o'neil@x.com", "https://linkedin.com?x#y"]
+    rows = [(n, *(t if c == d else None for d in TARGET)) for n, (c, t) in enumerate((c, t) for c in TARGET for t in texts)]
+    rows += [(1000 + i, *(texts[(i * 7 + j * 3) % len(texts)] for j in range(len(TARGET)))) for i in range(40)]
+    mapped = spark.createDataFrame(rows, "row_index bigint, " + ", ".join(f"{c} string" for c in TARGET))
+    for schemeless in (False, True):
+        for word_match in (False, True):
+            want = dedup.with_priority(cleaning.normalize_fields(mapped, schemeless), word_match).withColumn("filled", L.has_data())
+            got = dedup.contact_scores(mapped, word_match, schemeless)
+            assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+
+
+def test_choice_of_ids_that_come_again(spark):
+    """One row is kept per company though its id stands for rows of others and empty ones; null is an id."""
+    def row(n, company, **cells):
+        given = {"company_name": company} | cells
+        return (n, *(given.get(c, "") for c in TARGET))
+
+    rows = [row(1, "A", email="a@x.co"), row(1, "A"), row(1, "B"), row(1, ""), row(2, "B"), row(2, "B"), row(3, "A"), row(3, "", email="q@x.co"), row(None, "C")]
+    table = spark.createDataFrame(rows, "row_index bigint, " + ", ".join(f"{c} string" for c in TARGET))
+    filled = table.where(L.has_data())
+    want = [("", 3), ("A", 1), ("B", 1), ("C", None)]
+    kept = dedup.best_contact_per_company(filled)
+    assert sorted(((r["company_name"], r["row_index"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    cleaned = clean_leads(table, HeaderMapping({c: c for c in TARGET}), CleanOptions(one_contact_per_company=True))
+    assert sorted(((r["company_name"], r["row_index"]) for r in cleaned.collect()), key=str) == sorted(want, key=str)
