@@ -291,8 +291,9 @@ def fit(
     label = np.array(table["lang"].to_pylist(), object)
     x = _features(table["text"])
     # Texts are few and long vectors mostly empty: as a whole matrix they would be the most that the driver holds.
-    squares = np.bincount(x.slot, x.value.astype(float) ** 2, DIMENSIONS) / x.n
-    scale = np.sqrt(np.maximum(squares, 1e-8)).astype(np.float32)
+    squares = np.zeros(DIMENSIONS, np.float32)
+    np.add.at(squares, x.slot, x.value**2)
+    scale = np.sqrt(np.maximum(squares / np.float32(x.n), np.float32(1e-8)))
     x.value = (x.value / scale[x.slot]) / np.sqrt(DIMENSIONS)
     known = {code: name for name, codes in FAMILIES.items() for code in codes}
     by_family: dict[str, list[str]] = {}
