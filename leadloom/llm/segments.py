@@ -24,8 +24,14 @@ _WIDE = re.compile(
 )
 #: Bytes that are compared at once.
 _COMPARED = 1 << 20
+#: Bytes of segments that are compared eight bytes at once, and masks of their last bytes.
+_SHORT = 64
+_MASK = np.array([256**k - 1 for k in range(9)], np.uint64)
+#: Numbers that are put together at once.
+_GATHERED = 1 << 18
 #: Segments that are encoded as one text.
 _JOINED = 1000
+_BLANK = np.flatnonzero(SPACE).astype(np.uint8).tobytes()
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
@@ -35,12 +41,23 @@ def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarr
     length = end - start
     if (length != length[other]).any():
         return False
+    twin = start[other]
+    # Short ones by eight bytes at once, long ones byte by byte.
+    some = np.flatnonzero((start != twin) & (length <= _SHORT))
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    for at in range(0, _SHORT, 8):
+        some = some[length[some] > at]
+        differ = eight[start[some] + at] ^ eight[twin[some] + at]
+        if (differ & _MASK[np.minimum(length[some] - at, 8)]).any():
+            return False
+    some = np.flatnonzero((start != twin) & (length > _SHORT))
+    start, twin, length = start[some], twin[some], length[some]
     reach = np.cumsum(length)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _COMPARED, side="right")))
         n = length[at:to]
-        if (data[ranges(start[at:to], n)] != data[ranges(start[other[at:to]], n)]).any():
+        if (data[ranges(start[at:to], n)] != data[ranges(twin[at:to], n)]).any():
             return False
         at = to
     return True
@@ -52,8 +69,14 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     Returns which segment each text begins with, the distinct segment of every
     segment, and the distinct segments as strings.
     """
+    first, which, names = cut_bytes(data, offsets)
+    return first, which, [name.decode() for name in names]
+
+
+def cut_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The same with the distinct segments as UTF-8."""
     first, hashes, start, end = segments(data, offsets)
-    maybe = np.flatnonzero(np.add.reduceat(np.append(_LEAD[data], False), offsets[:-1]) > 0)
+    maybe = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(_LEAD[data]), offsets)) > 0)
     whole = [
         i for i in maybe.tolist()
         if offsets[i] < offsets[i + 1] and _WIDE.search(data[offsets[i] : offsets[i + 1]].tobytes())
@@ -76,8 +99,8 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         which = np.array(
             [known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())], np.int64
         )
-        return first, which, [name.decode() for name in known]
-    names = [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
+        return first, which, list(known)
+    names = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
     return first, which, names
 
 
@@ -89,32 +112,39 @@ def flatten(parts: list[bytes], kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenation of the lists ``which``, and where each begins in it (one more than lists)."""
-    begin = np.cumsum(lengths) - lengths
     own = lengths[which]
-    return flat[ranges(begin[which], own)], np.append(0, np.cumsum(own))
+    begin, edge = (np.cumsum(lengths) - lengths)[which], np.append(0, np.cumsum(own))
+    out = np.empty(int(edge[-1]), flat.dtype)
+    at = 0
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + _GATHERED, side="right")) - 1)
+        out[edge[at] : edge[to]] = flat[ranges(begin[at:to], own[at:to])]
+        at = to
+    return out, edge
 
 
 class Known:
     """Lists of numbers that belong to strings, made once for a worker as long as there is room.
 
-    ``make`` gives the lists of some strings, for each of ``kinds`` as all numbers and how many
+    Strings may be given as their UTF-8 throughout; ``make`` gets them as they are given.
+    It gives the lists of some strings, for each of ``kinds`` as all numbers and how many
     each string has.  ``lists`` holds them so.  Once there are more than ``entries`` strings, or
     more than ``size`` bytes of strings and numbers, all go before the next call.
     """
 
     def __init__(
-        self, make: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], kinds: tuple = (np.int32,),
+        self, make: Callable[[list], list[tuple[np.ndarray, np.ndarray]]], kinds: tuple = (np.int32,),
         entries: int = 800_000, size: int = 128 << 20,
     ):
         self.make, self.kinds, self.entries, self.size = make, kinds, entries, size
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str | bytes, int] = {}
         self.characters = 0
         self.lists = [(np.zeros(0, kind), np.zeros(0, np.int64)) for kind in self.kinds]
 
-    def __call__(self, names: list[str]) -> np.ndarray:
+    def __call__(self, names: list[str] | list[bytes]) -> np.ndarray:
         """Which of ``lists`` belongs to each string."""
         if len(self.place) > self.entries or self.characters + sum(x.nbytes for x, _ in self.lists) > self.size:
             self._forget()
@@ -135,7 +165,7 @@ class Known:
 
 def tokenize(data: np.ndarray, offsets: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and where each text begins; ``known`` holds 32-bit ids."""
-    first, which, names = cut(data, offsets)
+    first, which, names = cut_bytes(data, offsets)
     at = known(names)[which]
     ids, begin = gather(*known.lists[0], at)
     return ids, begin[first]
@@ -143,8 +173,8 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, known: Known) -> tuple[np.nd
 
 def joined(
     encode: Callable[[list[str]], list[list[int]]], size: np.ndarray
-) -> Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]:
-    """Ids of distinct segments by an ``encode`` for texts that costs much for each text.
+) -> Callable[[list], list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of distinct segments, given as strings or their UTF-8, by an ``encode`` for texts that costs much for each text.
 
     Segments that begin with white space and go on after it may stand behind each other, as they
     do in texts, and are encoded together.  ``size`` tells the bytes of every id, and so
@@ -152,14 +182,16 @@ def joined(
     normalising would have it, every segment is encoded by itself.
     """
 
-    def make(names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        raw = [name.encode() for name in names]
+    def make(names: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        raw = [name if isinstance(name, bytes) else name.encode() for name in names]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
-        some = [i for i, name in enumerate(raw) if SPACE[name[0]] and not name.isspace()]
+        some = [i for i, name in enumerate(raw) if name[0] in _BLANK and not name.isspace()]
         groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
-        groups = [g for g in groups if not _WIDE.search(b"".join([raw[i] for i in g]))]
+        texts = [b"".join([raw[i] for i in g]) for g in groups]
+        narrow = [i for i, text in enumerate(texts) if not _WIDE.search(text)]
+        groups, texts = [groups[i] for i in narrow], [texts[i].decode() for i in narrow]
         order, ids, counts = [], [], []
-        for group, found in zip(groups, encode(["".join([names[i] for i in g]) for g in groups])):
+        for group, found in zip(groups, encode(texts)):
             found = np.array(found, np.int32)
             ends, want = np.cumsum(size[found]), np.cumsum(length[group])
             last = np.searchsorted(ends, want)
@@ -170,7 +202,7 @@ def joined(
         rest = np.ones(len(names), bool)
         rest[order] = False
         alone = np.flatnonzero(rest).tolist()
-        for found in encode([names[i] for i in alone]):
+        for found in encode([raw[i].decode() for i in alone]):
             ids.append(np.array(found, np.int32))
             counts.append([len(found)])
         place = np.empty(len(names), np.int64)

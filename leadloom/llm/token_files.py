@@ -34,8 +34,10 @@ _BLOCK = (
     "part int, block bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, "
     "ranked binary, control binary, data binary"
 )
+#: Bytes of a number.
+_PLACE = np.arange(4, dtype=np.uint8)
 #: Lengths of the four numbers that a control byte describes.
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
+_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -45,35 +47,32 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         found = np.bincount(ids)
         distinct, number = np.flatnonzero(found), ids
         count = found[distinct]
-        rank = np.empty(len(found), np.int64)
+        rank = np.empty(len(found), np.uint32)
     else:
         distinct, number, count = np.unique(ids, return_inverse=True, return_counts=True)
-        rank = np.empty(len(distinct), np.int64)
+        rank = np.empty(len(distinct), np.uint32)
     by = np.lexsort((distinct, -count))
     rank[distinct[by] if number is ids else by] = np.arange(len(by))
-    value = rank[number]
-    length = 1 + (value > 0xFF) + (value > 0xFFFF) + (value > 0xFFFFFF)
+    value = rank[number].astype("<u4")
     code = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
-    code[: len(ids)] = length - 1
+    for least in (1 << 8, 1 << 16, 1 << 24):
+        if len(distinct) > least:
+            code[: len(ids)] += value >= least
+    length = code[: len(ids)] + np.uint8(1)
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    start = np.cumsum(length) - length
-    data = np.zeros(int(length.sum()), np.uint8)
-    for byte in range(4):
-        has = length > byte
-        data[start[has] + byte] = value[has] >> 8 * byte & 0xFF
+    # Little end first: a number's bytes are the first ones of its four.
+    data = value.view(np.uint8).reshape(-1, 4)[_PLACE < length[:, None]]
     return distinct[by].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     """The ids that ``pack`` was given."""
     length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(length) - length
     raw = np.frombuffer(data, np.uint8)
-    value = raw[start].astype(np.int64)
-    for byte in range(1, 4):
-        has = length > byte
-        value[has] |= raw[start[has] + byte].astype(np.int64) << 8 * byte
+    four = np.zeros((n, 4), np.uint8)
+    four[_PLACE < length[:, None]] = raw
+    value = four.view("<u4").ravel()
     return np.frombuffer(ranked, "<u4")[value]
 
 

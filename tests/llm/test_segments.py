@@ -1,6 +1,7 @@
 """Ids of segments that are kept or encoded together, against one text at a time."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,45 @@ def test_known_forgets_and_makes_again():
 def test_pack_of_dense_and_sparse_ids(high):
     ids = (np.random.default_rng(high).integers(0, 9, 500) * (high + 1)).astype(np.int32)
     assert (token_files.unpack(len(ids), *token_files.pack(ids)) == ids).all()
+
+
+def test_lists_are_gathered_in_slices():
+    """What puts lists together holds their numbers, not eight bytes of place for each of them."""
+    lengths = np.array([40, 0, 7, 700_000], np.int64)
+    flat = np.arange(int(lengths.sum()), dtype=np.int64).astype(np.uint8)
+    which = np.array([*[0, 1, 2] * 50_000, 3, 1, 0])
+    tracemalloc.start()
+    out, edge = segments.gather(flat, lengths, which)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    begin = np.cumsum(lengths) - lengths
+    assert out.tobytes() == b"".join(flat[begin[i] : begin[i] + lengths[i]].tobytes() for i in which.tolist())
+    assert edge.tolist() == [0, *np.cumsum(lengths[which]).tolist()]
+    assert peak < 8 * len(out)
+
+
+def test_known_segments_are_not_decoded():
+    """Segments are looked up by their bytes; what is new is made of bytes too."""
+    made = []
+
+    def make(names):
+        made.extend(names)
+        return [(np.arange(len(names), dtype=np.int32), np.ones(len(names), np.int64))]
+
+    known = Known(make)
+    for text in ("ab cd ab", "cd ab é", "cd"):
+        tokenize(*utf8(pa.array([text])), known)
+    assert made == [b"ab", b" cd", b" ab", b"cd", " é".encode()]
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 63, 64, 65, 500])
+def test_bytes_of_segments_are_compared(n):
+    """Segments that differ in any one byte are told apart."""
+    one = np.arange(n, dtype=np.uint8)
+    for place in {0, n // 2, n - 1}:
+        other = one.copy()
+        other[place] ^= 0x80
+        for second in (one, other):
+            data = np.concatenate([one, second])
+            start = np.array([0, n])
+            assert segments._equal(data, start, start + n, np.array([0, 0])) == (second is one)
