@@ -375,10 +375,17 @@ def _groups_to_use(hot: DataFrame) -> DataFrame:
     return members.select(F.col("b").alias("sig"), F.col("a").alias("key"), "n", "own")
 
 
+def _texts(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, text`` of a row that has the set, for each ``key`` that is wanted."""
+    first = sets.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "twin")).alias("row"))
+    # Landed, so that Spark knows its size: joined unlanded, all texts would be shuffled for a few.
+    wanted = materialize(first.select("key", "row.id", "row.twin"), "wanted")
+    # Rows that share id and text are the same set, so either may stand for it.
+    return docs.join(wanted, ["id", "twin"]).select("key", "text")
+
+
 def _grams(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """``key, grams`` of the sets whose ``key`` is wanted, once each."""
-    first = sets.groupBy("key").agg(F.min(F.struct("id", "twin")).alias("row"))
-    wanted = keys.join(first, "key").select("key", "row.id", "row.twin")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,8 +401,8 @@ def _grams(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFra
                     }
                 )
 
-    # Rows that share id and text are the same set, so either may stand for it.
-    texts = docs.join(wanted, ["id", "twin"]).select("key", "text")
+    # Few texts come from every part of the documents; each part would write a file of its own.
+    texts = _texts(keys, docs, sets).hint("rebalance")
     return materialize(texts.mapInArrow(collect, "key bigint, grams binary"), "grams").dropDuplicates(["key"])
 
 
@@ -407,7 +414,7 @@ def _maps(keys: DataFrame, sets: DataFrame) -> DataFrame:
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of keys that bitmaps do not rule out."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    maps = materialize(_maps(keys, sets), "maps")
+    maps = materialize(_maps(materialize(keys, "pair_keys"), sets), "maps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -542,7 +549,8 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Every two blocks of a group meet in a task's group of their own, with bitmaps only.
     """
-    maps = materialize(_maps(open_.select("key").distinct(), sets).drop("n"), "maps")
+    keys = materialize(open_.select("key").distinct(), "open_keys")
+    maps = materialize(_maps(keys, sets).drop("n"), "maps")
     cells = _dealt(open_, MAP_SETS, MAP_SHINGLES).join(maps, "key")
     return cells.groupBy("sig", "i", "j").applyInArrow(
         lambda table: _map_cell(table, percent), "a bigint, b bigint"

@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from leadloom.llm import language, substring_dedup
+from leadloom.llm import bpe_sql, jaccard_join, language, substring_dedup
+from leadloom.sources.scratch import materialize
 
 
 
@@ -59,3 +60,22 @@ def test_language_samples_hold_no_empty_slots(monkeypatch):
     assert np.allclose(some.margins(factor[[0, 2, 3]]), (full[[0, 2, 3]] @ full[[0, 2, 3]].T) @ factor[[0, 2, 3]])
     monkeypatch.setattr(language, "_MATRIX", 0)
     assert np.allclose(x.margins(factor), want)
+
+
+def test_few_texts_are_looked_up_without_a_shuffle_of_all(spark):
+    """The join takes texts by ids that are known to be few, and what it finds lands in few files."""
+    rows = [(i, i % 7, f"a b c d e f {i} " * 8) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "id bigint, twin int, text string").repartition(16)
+    sets = materialize(jaccard_join._set_table(docs, 5, 80).drop("lacking"), "sets")
+    keys = sets.where("id % 1000 = 3").select("key").distinct()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        texts = jaccard_join._texts(keys, docs, sets)
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        grams = jaccard_join._grams(keys, docs, sets, 5)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r["text"] for r in texts.collect()) == sorted(rows[i][2] for i in (3, 1003, 2003, 3003))
+        assert grams.count() == 4 and len(grams.inputFiles()) <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
