@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadloom.llm.arrays import group_starts, pieces
-from leadloom.llm.segments import Known, cut, flatten, gather
+from leadloom.llm.segments import Known, cut_bytes, flatten, gather
 from leadloom.llm.tables import bounded_batches
 
 #: Bytes of text whose distinct pieces are encoded together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
+#: Segments that a worker keeps.
+KEPT = 400_000
 #: Bytes of distinct pieces per recursive query; bounds what its rounds hold.
 QUERY_BYTES = 200_000
 #: Memory that a query may use for every byte of a piece beyond 300 MB in all.
@@ -116,7 +118,7 @@ class BpeDatabase:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.known = Known(self._segments, (np.int32, np.uint8))
+        self.known = Known(self._segments, (np.int32, np.uint8), KEPT)
         # Two tokens merge if their bytes together are a token; its rank is the merge's.
         merges = [
             (ranks[whole[:i]], ranks[whole[i:]], rank)
@@ -219,17 +221,17 @@ class BpeDatabase:
         self, data: np.ndarray, offsets: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where each text begins in them, their decoded bytes, and the same."""
-        first, which, names = cut(data, offsets)
+        first, which, names = cut_bytes(data, offsets)
         at = self.known(names)[which]
         ids, raws = self.known.lists
         tokens, token_at = gather(*ids, at)
         raw, raw_at = gather(*raws, at)
         return tokens, token_at[first], raw, raw_at[first]
 
-    def _segments(self, names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _segments(self, names: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of segments, and the bytes that these decode to."""
         number: dict[str, int] = {}
-        inside = [self.pattern.findall(name) for name in names]
+        inside = [self.pattern.findall(name.decode()) for name in names]
         pieces_of = np.fromiter(map(len, inside), np.int64, len(inside))
         which = np.array(
             [number.setdefault(piece, len(number)) for some in inside for piece in some], np.int64

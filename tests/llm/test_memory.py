@@ -79,3 +79,9 @@ def test_few_texts_are_looked_up_without_a_shuffle_of_all(spark):
         assert grams.count() == 4 and len(grams.inputFiles()) <= 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_bytes_of_a_text_batch_stay_small():
+    """Two workers beside a full heap: a batch and the kept segments leave room."""
+    assert bpe_sql.BATCH_BYTES <= 4 << 20
+    assert bpe_sql.BpeDatabase({bytes([i]): i for i in range(256)}, r"\w+|\W").known.entries == bpe_sql.KEPT <= 400_000
