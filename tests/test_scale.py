@@ -1,11 +1,13 @@
 """Plans that keep whole rows out of shuffles give the rows of the plain ones."""
 
+from pyspark.sql import functions as F
+
 from checks import leads as fixture, queries as Q
 from checks.leads import raw_leads
 from leadloom import CleanOptions, clean_leads, functions as L
 from leadloom.operators import cleaning, dedup, mapping as maps
 from leadloom.operators.mapping import HeaderMapping
-from leadloom.schema import TARGET
+from leadloom.schema import SUMMARY_LENGTH, TARGET, WHITESPACE
 from leadloom.sources import sinks
 from leadloom.sources.scratch import new_path
 
@@ -101,3 +103,18 @@ def test_choice_of_ids_that_come_again(spark):
     assert sorted(((r["company_name"], r["row_index"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     cleaned = clean_leads(table, HeaderMapping({c: c for c in TARGET}), CleanOptions(one_contact_per_company=True))
     assert sorted(((r["company_name"], r["row_index"]) for r in cleaned.collect()), key=str) == sorted(want, key=str)
+
+
+def test_summaries_are_counted_once(spark):
+    """Characters are counted in the bytes that a summary can have, not in whole texts."""
+    ends = ["", "x", "é", "\u3000", "\u00a0", " \n", "𝔘", "\u2003x", "é ", "x\x85"]
+    texts = [None, *(w + fill * n + a + b for w in ("", " \u3000") for fill in ("a", "é", "中", "𝔘", " b") for n in (0, 1, 665, 999, 1000, 1998, 1999, 2000, 2001, 2003) for a in ends for b in ("", " ", "tail"))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def want(text):
+        begun = (text or "").lstrip(WHITESPACE)
+        return begun[:SUMMARY_LENGTH] if begun[SUMMARY_LENGTH:].strip(WHITESPACE) else begun[:SUMMARY_LENGTH].rstrip(WHITESPACE)
+
+    made = rows.select("i", L.normalize_summary(F.col("t")).alias("t"))
+    assert {r["i"]: r["t"] for r in made.collect()} == {i: want(t) for i, t in enumerate(texts)}
+    assert "substring(ltrim(" not in made._jdf.queryExecution().optimizedPlan().toString()
