@@ -8,7 +8,7 @@ from leadloom import CleanOptions, clean_leads, functions as L
 from leadloom.operators import cleaning, dedup, mapping as maps
 from leadloom.operators.mapping import HeaderMapping
 from leadloom.schema import SUMMARY_LENGTH, TARGET, WHITESPACE
-from leadloom.sources import sinks
+from leadloom.sources import feeds, sinks
 from leadloom.sources.scratch import new_path
 
 
@@ -118,3 +118,37 @@ def test_summaries_are_counted_once(spark):
     made = rows.select("i", L.normalize_summary(F.col("t")).alias("t"))
     assert {r["i"]: r["t"] for r in made.collect()} == {i: want(t) for i, t in enumerate(texts)}
     assert "substring(ltrim(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_splits_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Records over pieces of four lines are those over whole splits, whatever state a piece begins in."""
+    lines = ["a,b"] + [("x,1", '"open', "still", 'shut",2', "", '"y ""q"" z",3', "  ", '"1\r', 'in ""', '",4')[i * 7 % 10 if i % 50 > 40 else i % 10] for i in range(200)]
+    (tmp_path / "f.csv").write_text("\n".join(lines), newline="")
+    (tmp_path / "never.csv").write_text('a,b\n1,2\n"x,y\n' + "1,2\n" * 9, newline="")
+    whole = feeds.read_feeds(spark, str(tmp_path))
+    made = [sorted(map(str, d.collect())) for d in (whole.headers, whole.rows, whole.rejects, whole.unread)]
+    landed = []
+    monkeypatch.setattr(feeds, "_PIECE_BITS", 2)
+    monkeypatch.setattr(feeds, "materialize", lambda df, name, land=feeds.materialize: landed.append((name, land(df, name))) or landed[-1][1])
+    pieces = feeds.read_feeds(spark, str(tmp_path))
+    assert [sorted(map(str, d.collect())) for d in (pieces.headers, pieces.rows, pieces.rejects, pieces.unread)] == made
+    assert dict(landed)["piece_states"].count() > 50 and len(made[1]) > 20 and len(made[3]) == 12
+    # More tasks than shuffles have by default, where there are more lines.
+    assert dict(landed)["marked_lines"].inputFiles().__len__() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_files_are_written_by_blocks_of_lines(spark, monkeypatch):
+    """The task that writes a file sorts blocks; lines are in order, those without a number first."""
+    monkeypatch.setattr(fixture, "LINES_PER_BLOCK", 8)
+    given = [None, None, None, 5, 5, *range(100, 0, -1), 10**12]
+    rows = spark.createDataFrame([("f.csv", n, f"v{i}") for i, n in enumerate(given)], "source_file string, row_index bigint, v string")
+    for end in ("\n", "\r"):
+        path = new_path(spark, "blocks")
+        fixture.write_lines(rows, {"f.csv": "v"}, ["v"], path, {"f.csv": end})
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
+        text = files[0]["content"].decode()
+        assert len(files) == 1 and text.endswith(end)
+        got = text[:-1].split(end)
+        number = {f"v{i}": n for i, n in enumerate(given)}
+        assert got[3] == "v" and sorted(got[:3]) == ["v0", "v1", "v2"] and sorted(got[4:]) == sorted(f"v{i}" for i in range(3, len(given)))
+        assert [number[v] for v in got[4:]] == sorted(n for n in given if n is not None)
