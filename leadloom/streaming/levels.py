@@ -86,8 +86,10 @@ class Levels:
                 continue
         return max(known)
 
-    def folders(self, spark: SparkSession) -> list[str]:
-        return [self._folder(*f) for f in live_folders(self.finished(spark), self.fan)]
+    def folders(self, spark: SparkSession, batches: int | None = None) -> list[str]:
+        """Folders that hold all finished micro-batches, or the first ``batches``."""
+        done = self.finished(spark) if batches is None else batches
+        return [self._folder(*f) for f in live_folders(done, self.fan)]
 
     def merged_folders(self, spark: SparkSession) -> list[str]:
         """Folders whose rows are in a higher level by now."""
@@ -97,9 +99,9 @@ class Levels:
             level += 1
         return out
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """All changes, merged."""
-        folders = self.folders(spark)
+    def read(self, spark: SparkSession, batches: int | None = None) -> DataFrame:
+        """All changes, merged, or those of the first ``batches``."""
+        folders = self.folders(spark, batches)
         if not folders:
             raise ValueError(f"no finished batch in {self.path}")
         return self.merge(spark.read.parquet(*folders))

@@ -19,13 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from leadloom.operators.cleaning import add_source_label, drops_unfilled
+from leadloom.operators.cleaning import add_source_label, empty_ledger
 from leadloom.operators.dedup import with_company, with_priority, without_company
 from leadloom.operators.jobs import FINISHED, state_aggregates, with_progress
-from leadloom.operators.mapping import HeaderMapping, apply_mapping
-from leadloom.plans.pipeline import CleanOptions, clean_leads, filled_rows
+from leadloom.operators.mapping import HeaderMapping
+from leadloom.plans.pipeline import CleanOptions, clean_leads, filled_rows, row_scores
 from leadloom.plans.run import RunPaths, run
 from leadloom.schema import DETAILS_DUPLICATE, REASON_DUPLICATE, RETENTION_HOURS, ROW_INDEX, TARGET
+from leadloom.sources.scratch import landed_at
 from leadloom.streaming.levels import Levels, latest_by, sum_of
 
 
@@ -168,44 +169,25 @@ def current_best(spark: SparkSession, output: str, source_label: str | None = No
     return add_source_label(chosen.unionByName(others), source_label)
 
 
-# -- ledger of duplicates ------------------------------------------------------
+# -- ledger of drops -----------------------------------------------------------
 
 
-class _Winners(StatefulProcessor):
-    """Changes of the ledger as contacts of a company come in.
-
-    Every contact counts 1, the company's best one also -1.  When a better contact comes, the
-    old best one counts 1 again.  Ids whose changes add up to 1 are duplicates.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "score bigint, row_index bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.best.get()) if self.best.exists() else None
-        best = old
-        for chunk in rows:
-            top = chunk.sort_values(["priority_score", ROW_INDEX], ascending=[False, True]).iloc[0]
-            score, row = int(top["priority_score"]), int(top[ROW_INDEX])
-            if best is None or (-score, row) < (-best[0], best[1]):
-                best = (score, row)
-            yield self._changes(key, chunk[ROW_INDEX], 1)
-        if best != old:
-            if old is not None:
-                yield self._changes(key, [old[1]], 1)
-            yield self._changes(key, [best[1]], -1)
-            self.best.update(best)
-
-    @staticmethod
-    def _changes(key, ids, change: int) -> pd.DataFrame:
-        return pd.DataFrame({"company_key": key[0], ROW_INDEX: list(ids), "change": change})
-
-    def close(self) -> None:
-        pass
+def _ledger(output: str) -> tuple[Levels, Levels, Levels]:
+    """Contacts by company, the best one of each company, and empty rows."""
+    return (
+        Levels(f"{output}/contacts", sum_of("change", "company_key", ROW_INDEX)),
+        Levels(f"{output}/winners", _winners),
+        Levels(f"{output}/unfilled", lambda changes: changes),
+    )
 
 
-def _ledger(output: str) -> Levels:
-    return Levels(f"{output}/duplicates", sum_of("change", "company_key", ROW_INDEX))
+def _winners(scores: DataFrame) -> DataFrame:
+    """The best contact of each company.  The best of the best ones of batches is the best of all, so no state is kept."""
+    better = F.struct("priority_score", -F.col(ROW_INDEX))
+    best = scores.groupBy("company_key").agg(
+        F.max_by(F.struct(ROW_INDEX, "priority_score"), better).alias("best"), F.max("batch_id").alias("batch_id")
+    )
+    return best.select("company_key", "best.*", "batch_id")
 
 
 def stream_drops(
@@ -217,42 +199,46 @@ def stream_drops(
 ) -> list[StreamingQuery]:
     """The ledger of dropped rows over everything seen so far; read it with ``current_drops``.
 
-    Duplicates are a changelog: one state row per company, and per micro-batch what its rows
-    change.  A company's rows of a batch pass through one task as narrow rows, chunk by chunk.
-    The state needs the RocksDB store (``spark.sql.streaming.stateStore.providerClass``).
+    Every row is read once and scored from its raw cells.  A batch lands its narrow scores (the
+    next one overwrites them) and adds its contacts, the best one of each of its companies and
+    its empty rows to three changelogs.  A contact is in the ledger as long as another one of its
+    company is better, so one that is beaten later comes in by then; nothing is kept per company.
     """
-    scored = with_priority(with_company(filled_rows(rows, mapping, options)), options.word_match)
-    changes = (
-        scored.select("company_key", ROW_INDEX, "priority_score")
-        .groupBy("company_key")
-        .transformWithStateInPandas(
-            _Winners(), f"company_key string, {ROW_INDEX} bigint, change bigint", "Append", "None"
-        )
-        .writeStream.outputMode("append")
-        .option("checkpointLocation", f"{checkpoint}/duplicates")
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        landed = landed_at(batch, f"{output}/scores")
+        scores = landed.where("filled").select("company_key", ROW_INDEX, "priority_score")
+        contacts, winners, unfilled = _ledger(output)
+        contacts.write(scores.select("company_key", ROW_INDEX, F.lit(1).cast("bigint").alias("change")), batch_id)
+        winners.write(_winners(scores.withColumn("batch_id", F.lit(batch_id).cast("bigint"))), batch_id)
+        unfilled.write(landed.where("NOT filled").select(ROW_INDEX), batch_id)
+
+    # Rows that can be dropped: empty ones, and those with a company.
+    scores = row_scores(rows, mapping, options).where("NOT filled OR company_key != ''")
+    return [
+        scores.select(ROW_INDEX, "company_key", "priority_score", "filled")
+        .writeStream.option("checkpointLocation", f"{checkpoint}/scores")
         .trigger(availableNow=True)
-        .foreachBatch(_ledger(output).write)
+        .foreachBatch(take_in)
         .start()
-    )
-    empty = (
-        drops_unfilled(apply_mapping(rows, mapping, options.strict_titles), options.allow_schemeless)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{checkpoint}/empty")
-        .trigger(availableNow=True)
-        .start(f"{output}/empty")
-    )
-    return [changes, empty]
+    ]
 
 
 def current_drops(spark: SparkSession, output: str) -> DataFrame:
     """The ledger so far: empty rows, and contacts that lost against another of their company."""
-    empty = spark.read.schema(f"{ROW_INDEX} bigint, reason string, details string").parquet(f"{output}/empty")
-    lost = _ledger(output).read(spark).select(
+    ledger = _ledger(output)
+    # What all three have; a batch may be half written.
+    done = min(log.finished(spark) for log in ledger)
+    contacts, winners, unfilled = (log.read(spark, done) for log in ledger)
+    columns = ["company_key", ROW_INDEX, "change"]
+    kept = winners.withColumn("change", F.lit(-1).cast("bigint")).select(columns)
+    changes = contacts.select(columns).unionByName(kept)
+    lost = changes.groupBy("company_key", ROW_INDEX).agg(F.sum("change").alias("change")).where("change != 0").select(
         ROW_INDEX,
         F.lit(REASON_DUPLICATE).alias("reason"),
         F.concat(F.lit(DETAILS_DUPLICATE), "company_key").alias("details"),
     )
-    return empty.unionByName(lost)
+    return empty_ledger(unfilled.select(ROW_INDEX)).unionByName(lost)
 
 
 # -- jobs ----------------------------------------------------------------------

@@ -91,6 +91,30 @@ def test_drops_in_drops(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
 
 
+def test_drops_keep_no_state(spark, tmp_path):
+    """Rows are read once, no company is worked on alone, and a batch that is half written is not read."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    rows = [(1, "A", "", ""), (1, "a ", "", ""), (2, "A", "x@y.zz", ""), (3, "A", "x@y.zz", ""), (4, "", "", ""), (4, " ", "", ""), (5, "", "", "n")]
+    drop(folder, "d0", rows)
+    queries = streams.stream_drops(streams.read_drop_folder(spark, str(folder), COLUMNS), MAPPING, out, str(tmp_path / "cp"))
+    for query in queries:
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]
+    assert len(queries) == 1
+
+    def ledger():
+        return sorted((r["row_index"], r["reason"]) for r in streams.current_drops(spark, out).collect())
+
+    # An id that comes again is in the ledger once for its company, an empty row each time.
+    assert [i for i, _ in ledger()] == [1, 3, 4, 4] and {r for i, r in ledger() if i < 4} == {"duplicate_contact"}
+    contacts, winners, _ = streams._ledger(out)
+    new = spark.createDataFrame([("a", 0, 500)], "company_key string, row_index bigint, priority_score bigint")
+    contacts.write(new.selectExpr("company_key", "row_index", "1L AS change"), 1)
+    winners.write(new, 1)
+    assert [i for i, _ in ledger()] == [1, 3, 4, 4]
+
+
 def test_finished_jobs_leave_the_state(spark, tmp_path):
     def at(hours):
         return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
