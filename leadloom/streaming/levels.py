@@ -62,17 +62,18 @@ class Levels:
     def _folder(self, level: int, run: int) -> str:
         return f"{self.path}/level={level}/run={run}"
 
+    def _land(self, changes: DataFrame, level: int, run: int) -> None:
+        changes.write.mode("overwrite").option("compression", "zstd").parquet(self._folder(level, run))
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: lands the changes of a batch, then merges what is due."""
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            self._folder(0, batch_id)
-        )
+        self._land(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), 0, batch_id)
         done, level = batch_id + 1, 0
         while done % self.fan ** (level + 1) == 0:
             last = done // self.fan**level
             parts = spark.read.parquet(*(self._folder(level, r) for r in range(last - self.fan, last)))
-            self.merge(parts).write.mode("overwrite").parquet(self._folder(level + 1, last // self.fan - 1))
+            self._land(self.merge(parts), level + 1, last // self.fan - 1)
             level += 1
         spark.range(done, done + 1, 1, 1).write.mode("overwrite").parquet(f"{self.path}/finished/slot={batch_id % 2}")
 

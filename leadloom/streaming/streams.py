@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from leadloom.operators.cleaning import add_source_label, empty_ledger
@@ -26,7 +26,7 @@ from leadloom.operators.mapping import HeaderMapping
 from leadloom.plans.pipeline import CleanOptions, clean_leads, filled_rows, row_scores
 from leadloom.plans.run import RunPaths, run
 from leadloom.schema import DETAILS_DUPLICATE, REASON_DUPLICATE, RETENTION_HOURS, ROW_INDEX, TARGET
-from leadloom.sources.scratch import landed_at
+from leadloom.sources.scratch import landed_at, likely_with, materialize, rows_with
 from leadloom.streaming.levels import Levels, latest_by, sum_of
 
 
@@ -119,7 +119,19 @@ def arrived(spark: SparkSession, output: str, table: str = "rows") -> DataFrame:
 
 
 def _best(output: str) -> Levels:
-    return Levels(f"{output}/companies", latest_by("company_key"))
+    return Levels(f"{output}/best", _best_rows)
+
+
+def _best_rows(candidates: DataFrame) -> DataFrame:
+    """Whole rows of the best contacts, of those that batches had for the best.
+
+    The others are found by narrow columns and landed, and taken out by their ids: few of a
+    batch's candidates lose, so whole rows are shuffled only where many batches meet.
+    """
+    ids = ["batch_id", "candidate"]
+    order = Window.partitionBy("company_key").orderBy(F.col("priority_score").desc(), (-F.col(ROW_INDEX)).desc(), *ids)
+    ranked = candidates.select(*ids, "company_key", "priority_score", ROW_INDEX).withColumn("place", F.row_number().over(order))
+    return rows_with(candidates, materialize(ranked.where("place > 1").select(*ids), "beaten_rows"), ids, "left_anti")
 
 
 def stream_best_contact(
@@ -131,31 +143,36 @@ def stream_best_contact(
 ) -> list[StreamingQuery]:
     """The best contact of each company over everything seen so far.
 
-    Two queries: an aggregate with one state row per company, whose changes are
-    written batch by batch, and a plain append for rows without a company,
-    which need no state.  Read the result with ``current_best``.
+    Two queries: one that adds the best contacts of every batch, and a plain append for rows
+    without a company.  A batch lands narrow scores, told from raw cells, and whose are the best
+    (the next one overwrites both); its files are read again for the whole rows of these alone.
+    The best of the best ones of batches is the best of all, so no state is kept.  Read the
+    result with ``current_best``.
     """
-    normalized = filled_rows(rows, mapping, options)
     columns = [ROW_INDEX, *TARGET]
-    scored = with_priority(with_company(normalized), options.word_match)
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        scores = row_scores(batch, mapping, options).where("filled AND company_key != ''")
+        scores = landed_at(scores.select("company_key", ROW_INDEX, "priority_score"), f"{output}/scores")
+        best = _winners(scores.withColumn("batch_id", F.lit(batch_id)))
+        chosen = landed_at(best.select(ROW_INDEX), f"{output}/chosen")
+        some = likely_with(batch, chosen, [ROW_INDEX])
+        scored = with_priority(with_company(filled_rows(some, mapping, options)), options.word_match)
+        candidates = scored.select("company_key", "priority_score", *columns)
+        _best(output).write(candidates.withColumn("candidate", F.monotonically_increasing_id()), batch_id)
+
     best = (
-        scored.groupBy("company_key")
-        .agg(
-            F.max_by(
-                F.struct(*columns), F.struct("priority_score", -F.col(ROW_INDEX))
-            ).alias("best")
-        )
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", f"{checkpoint}/companies")
+        rows.writeStream.option("checkpointLocation", f"{checkpoint}/best")
         .trigger(availableNow=True)
-        .foreachBatch(_best(output).write)
+        .foreachBatch(take_in)
         .start()
     )
     others = (
-        without_company(normalized)
+        without_company(filled_rows(rows, mapping, options))
         .select(*columns)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{checkpoint}/others")
+        .option("compression", "zstd")
         .trigger(availableNow=True)
         .start(f"{output}/others")
     )
@@ -164,7 +181,7 @@ def stream_best_contact(
 
 def current_best(spark: SparkSession, output: str, source_label: str | None = None) -> DataFrame:
     """Clean rows chosen so far: one per company and all without a company."""
-    chosen = _best(output).read(spark).select("best.*")
+    chosen = _best(output).read(spark).select(ROW_INDEX, *TARGET)
     others = spark.read.schema(chosen.schema).parquet(f"{output}/others")
     return add_source_label(chosen.unionByName(others), source_label)
 

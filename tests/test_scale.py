@@ -9,7 +9,7 @@ from leadloom.operators import cleaning, dedup, mapping as maps
 from leadloom.operators.mapping import HeaderMapping
 from leadloom.schema import SUMMARY_LENGTH, TARGET, WHITESPACE
 from leadloom.sources import feeds, sinks
-from leadloom.sources.scratch import new_path
+from leadloom.sources.scratch import likely_with, new_path
 
 
 def _rows(spark, ids):
@@ -75,6 +75,19 @@ def test_contacts_are_chosen_by_numbers(spark, sf_dir):
         assert "LeftSemi" in plan and "LeftSemi" not in first and "Window" not in plan
 
 
+def test_likely_rows(spark):
+    """All rows with a chosen id, null included, few others, and no shuffle of the table."""
+    table = spark.range(20_000).selectExpr("id", "CASE WHEN id % 7 > 0 THEN id * 3 END AS `a.b`", "'x' AS v")
+    chosen = table.where("id % 10 = 3").select("id", "`a.b`")
+    got = likely_with(table, chosen, ["id", "`a.b`"])
+    assert got.columns == table.columns and got.where("id % 10 = 3").count() == 2_000 and got.count() < 2_100
+    assert likely_with(table, chosen.where("false"), ["id"]).isEmpty()
+    nulls = table.where("`a.b` IS NULL")
+    assert likely_with(table, nulls.limit(1).select("`a.b`"), ["`a.b`"]).count() >= nulls.count()
+    probed = _plan(got).split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in probed and "Exchange" not in probed
+
+
 def test_scores_of_raw_cells(spark):
     """Scores told from raw cells are those of the normalised rows."""
     texts = [None, "", " ", "\u00a0", "a", " a  b ", "x@y.co", "x@localhost", "+", "n/a 5", "#", "\x01", "//linkedin.com/in/a",

@@ -91,6 +91,24 @@ def test_drops_in_drops(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
 
 
+def test_best_contact_keeps_no_whole_rows(spark, tmp_path, monkeypatch):
+    """No state, and ids that come again, in a batch or over three of them, leave one row per company."""
+    monkeypatch.setattr(streams, "_best", lambda output: Levels(f"{output}/best", streams._best_rows, fan=2))
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    first = [(1, "A", "", "x"), (1, "B", "x@y.zz", ""), (1, "", "", "n"), (2, "A", "", "y"), (2, "", "", "n"), (3, "C", "", ""), (3, "C", "", "")]
+    for n, rows in enumerate([first, *([(1 - k, "A", "", f"k{k}")] for k in (1, 2))]):
+        drop(folder, f"d{n}", rows)
+        source = streams.read_drop_folder(spark, str(folder), COLUMNS)
+        for query in streams.stream_best_contact(source, MAPPING, out, str(tmp_path / "cp")):
+            query.awaitTermination()
+            assert not query.lastProgress["stateOperators"]
+        if n in (0, 2):
+            kept = [(r["company_name"], r["row_index"]) for r in streams.current_best(spark, out).collect()]
+            assert sorted(kept) == [("", 1), ("", 2), ("A", 1 if n == 0 else -1), ("B", 1), ("C", 3)]
+    assert len(streams._best(out).folders(spark)) == 2
+
+
 def test_drops_keep_no_state(spark, tmp_path):
     """Rows are read once, no company is worked on alone, and a batch that is half written is not read."""
     folder, out = tmp_path / "in", str(tmp_path / "out")
