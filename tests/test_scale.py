@@ -50,6 +50,24 @@ def test_texts_join_last(spark, sf_dir):
     assert "doc_id" in joins[0]
 
 
+def test_feeds_are_mapped_before_the_texts_come_in(spark, sf_dir):
+    """Positions of files and chosen ids are joined to narrow rows, not to whole ones."""
+    for name, kinds in (("apply_feed_mapping", {"Inner"}), ("clean_feeds", {"Inner", "LeftSemi"})):
+        plan = Q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert "doc_id" in joins[0] and all(any(f"Join {kind}" in line for line in joins[1:]) for kind in kinds), name
+
+
+def test_positions_may_come_before(spark):
+    rows = spark.createDataFrame([("a", 1, ["x", "y"]), ("b", 2, ["z"]), ("a", 1, ["u", None])], "source_file string, row_index bigint, cells array<string>")
+    headers = spark.createDataFrame([("a", 0, "E"), ("a", 1, "F"), ("b", 0, "E")], "source_file string, pos int, input_header string")
+    mapping = spark.createDataFrame([("a", 0, "E", "email", "direct"), ("a", 1, "F", "sources", "direct")], "source_file string, pos int, input_header string, target string, kind string")
+    positions = maps.cell_positions(headers, mapping)
+    want = maps.apply_mapping_table(rows, positions)
+    got = maps.apply_mapping_table(maps.with_positions(rows, positions))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns and want.count() == 2
+
+
 def test_sample_is_chosen_by_numbers(spark):
     rows = _rows(spark, [*range(100, 0, -1), 3, 3, None])
     got = sinks.sample_rows(rows, 4)
