@@ -168,6 +168,25 @@ def test_splits_are_read_in_pieces(spark, tmp_path, monkeypatch):
     assert dict(landed)["marked_lines"].inputFiles().__len__() > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_texts_of_lines_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """States are told without texts; records are put together in pieces, and only cut ones meet again."""
+    lines = ["a,b"] + [x for i in range(60) for x in (f'{i},"x', "", "m", f'y{i}"', f"p,{i}")]
+    (tmp_path / "f.csv").write_text("\n".join(lines))
+    landed = {}
+
+    def land(df, name, land=feeds.materialize):
+        landed[name] = land(df, name)
+        return landed[name]
+
+    monkeypatch.setattr(feeds, "_PIECE_BITS", 3)
+    monkeypatch.setattr(feeds, "materialize", land)
+    rows = feeds.read_feeds(spark, str(tmp_path)).rows
+    assert [r["cells"] for r in rows.orderBy("row_index").collect()] == [c for i in range(60) for c in ([str(i), f"x\n\nm\ny{i}"], ["p", str(i)])]
+    assert "text" not in landed["marked_lines"].columns
+    cut = landed["pieces_of_records"].groupBy("cut").count().collect()
+    assert 0 < dict(map(tuple, cut))[True] < dict(map(tuple, cut))[False]
+
+
 def test_files_are_written_by_blocks_of_lines(spark, monkeypatch):
     """The task that writes a file sorts blocks; lines are in order, those without a number first."""
     monkeypatch.setattr(fixture, "LINES_PER_BLOCK", 8)
