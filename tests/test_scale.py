@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import leads as fixture, queries as Q
 from checks.leads import raw_leads
-from leadloom import CleanOptions, clean_leads, functions as L
+from leadloom import CleanOptions, clean, clean_leads, functions as L
 from leadloom.operators import cleaning, dedup, mapping as maps
 from leadloom.operators.mapping import HeaderMapping
 from leadloom.schema import SUMMARY_LENGTH, TARGET, WHITESPACE
@@ -93,6 +93,18 @@ def test_contacts_are_chosen_by_numbers(spark, sf_dir):
         assert "LeftSemi" in plan and "LeftSemi" not in first and "Window" not in plan
 
 
+def test_scores_are_landed_once_for_rows_and_drops(spark, sf_dir):
+    """Clean rows and ledger start from one table of scores; a file's rows are looked up by file and number."""
+    result = clean(raw_leads(spark, sf_dir, source_file=True), Q.MAPPING, Q.DEDUP, lambda c: raw_leads(spark, sf_dir, source_file=True, choice=c))
+    assert result._scores.inputFiles() and set(result.drops.inputFiles()) == set(result._scores.inputFiles())
+    want = clean_leads(raw_leads(spark, sf_dir, source_file=True), Q.MAPPING, Q.DEDUP)
+    assert sorted(map(str, result.clean.collect())) == sorted(map(str, want.collect()))
+    file, number = raw_leads(spark, sf_dir, (), True).select("source_file", "row_index").first()
+    best = spark.createDataFrame([(file, number), ("other.csv", number + 1), (None, number)], "source_file string, row_index bigint")
+    rows = raw_leads(spark, sf_dir, ("about",), True, dedup.Choice(best, True))
+    assert [(r["source_file"], r["row_index"]) for r in rows.collect()] == [(file, number)]
+
+
 def test_likely_rows(spark):
     """All rows with a chosen id, null included, few others, and no shuffle of the table."""
     table = spark.range(20_000).selectExpr("id", "CASE WHEN id % 7 > 0 THEN id * 3 END AS `a.b`", "'x' AS v")
